@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import _run as R
-from tallyforge.llm import language, mixing, quality_rules
+from tallyforge.llm import decontaminate, language, mixing, quality_rules, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,14 +19,26 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(R.load(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(R.load(spark, sf_dir, "documents"), R.load(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(R.load(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{R.shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write(R.load(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, manifest).drop("target_uri")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
+    "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
+    "op10_warc": op10_warc,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,4 +78,23 @@ t AS (SELECT source, source_size, least(cap, weight * level) AS target FROM c, l
 SELECT doc_id, size, source_size, target,
   (floor(floor(target) / greatest(source_size, 1)) * size + greatest(0, least(size, floor(target) - floor(floor(target) / greatest(source_size, 1)) * source_size - before)))::BIGINT AS taken
 FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",
+    "op8_decontaminate": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+t AS (SELECT rid, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g))),
+m AS (SELECT rid, item, t.k, t.n FROM t JOIN g ON t.g = g.g AND t.n = g.n),
+hit AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT rid, k, n FROM m)) GROUP BY rid),
+it AS (SELECT rid, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS r, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS chosen FROM pages),
+x AS (SELECT *, sha1(h) AS s FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda j: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+    ('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[((('0x' || substr(s, 5 * j + 1, 5))::INT >> b) & 31)::INT + 1]), '')), '') AS payload_digest,
+  CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN chosen END AS refers_to
+FROM x""",
 }
