@@ -86,7 +86,7 @@ def hash_bits(df: DataFrame, key: str, log2: int = 24) -> np.ndarray:
     words = (
         df.select(F.pmod(F.col(key), F.lit(1 << log2)).alias("bit"))
         .groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
     )
     out = np.zeros(1 << (log2 - 6), np.int64)
     got = words.toArrow()
