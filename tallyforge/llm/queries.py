@@ -8,13 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import _run as R
-from tallyforge.llm import decontaminate, language, line_dedup, mixing, near_duplicates, quality_rules, warc
+from tallyforge.llm import decontaminate, language, line_dedup, mixing, near_duplicates, quality_rules, substring_dedup, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(R.load(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(R.load(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(R.load(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
@@ -107,4 +112,15 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
     ('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[((('0x' || substr(s, 5 * j + 1, 5))::INT >> b) & 31)::INT + 1]), '')), '') AS payload_digest,
   CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN chosen END AS refers_to
 FROM x""",
+    "op2_substring_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT rid, s, md5(substr(h, 2 * s + 1, 800)) AS m FROM (SELECT rid, h, unnest(range(0, n - 399)) AS s FROM d)),
+r AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
+e AS (SELECT rid, s, s > lag(s) OVER (PARTITION BY rid ORDER BY s) + 400 AS gap FROM r),
+i AS (SELECT rid, min(s) AS a, max(s) + 400 AS b FROM (SELECT rid, s, count(CASE WHEN gap THEN 1 END) OVER (PARTITION BY rid ORDER BY s) AS k FROM e) GROUP BY rid, k),
+g AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM i),
+k AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS stop, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM g JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE kept || substr(h, 2 * stop + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)""",
 }
