@@ -1,2 +1,67 @@
-ORACLE_SQL=None
-run=None
+"""The corpus pipeline: language, lines, near duplicates, benchmark passages, mix; each stage works on what the last kept."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import _run as R
+from tallyforge.llm import decontaminate, language, line_dedup, mixing, near_duplicates
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those that the model rejects go, null and letterless texts among them."""
+    docs = docs.withColumn("key_", R.doc_key())
+    gone = language.identify(docs, id_col="key_", model=language.fit(docs)).where("rejected").select("key_").distinct()
+    return docs.join(gone, "key_", "left_anti").drop("key_")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that a similar, earlier line stands for; texts left without a word go. n_chars is renewed."""
+    out = line_dedup.rewrite(docs, line_dedup.decide(docs))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class; of rows equal in id and text one."""
+    kept = near_duplicates.classes(docs).where("is_kept").select(F.col("doc_id").alias("id_"), F.col("node").alias("node_"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    joined = docs.withColumn("key_", R.doc_key()).withColumn("text_node_", F.xxhash64(text, F.length(text)))
+    chosen = joined.join(kept, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_node_") == F.col("node_")), "left_semi")
+    return chosen.dropDuplicates(["key_"]).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
+    found = decontaminate.decontaminate(docs, R.load(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("key").alias("key_")).distinct()
+    return docs.withColumn("key_", R.doc_key()).join(gone, "key_", "left_anti").drop("key_")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document that is left."""
+    return mixing.mix(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", keep_known_language),
+    ("lines", drop_repeated_lines),
+    ("near_duplicates", keep_one_of_each),
+    ("decontaminate", drop_contaminated),
+    ("mix", mix_sources),
+]
+
+#: No SQL has the language model, the sampled signatures or the components; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; each result is written to the shared folder and read again."""
+    docs = R.load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = R.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import _run as R
-from tallyforge.llm import decontaminate, language, line_dedup, mixing, near_duplicates, quality_rules, substring_dedup, warc
+from tallyforge.llm import decontaminate, language, licenses, line_dedup, mixing, near_duplicates, quality_model, quality_rules, substring_dedup, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(R.load(spark, sf_dir, "documents")).drop("node")
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(R.load(spark, sf_dir, "documents"), R.load(spark, sf_dir, "labels"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(R.load(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.decide(R.load(spark, sf_dir, "documents")).drop("key")
 
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality_model": op5_quality_model,
+    "op6_license_scan": op6_license_scan,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
