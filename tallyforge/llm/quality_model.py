@@ -1,6 +1,6 @@
 """Quality classifier by hierarchical empirical Bayes: document evidence under host and path priors.
 
-The document classifier is a logistic regression on hashed presence features (words, word shapes, repeated words),
+The document classifier is a logistic regression on hashed presence features (words, stems, word shapes, repeated words),
 chosen by chi-square and fitted on a bounded sample of labelled rows.  Its probabilities, averaged by path and by host,
 are shrunk towards the level above with strengths found by the method of moments; the path's posterior is the prior
 under which each document's own evidence is read.  Quality and toxicity are two such models.
@@ -21,12 +21,15 @@ from tallyforge.llm import _vec as V
 
 LOG2 = 18
 SHARES = (0.0, 0.1, 0.3)  # a feature counts as present above each of these shares of the words
+STEM = 6  # bytes at the front of a longer word that make a feature of their own
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[0x41:0x5B] += 32
 #: Shape classes: small and capital letters, digits and bytes beyond ASCII fall together, other bytes stay.
 _shape = np.arange(256, dtype=np.uint8)
 _shape[0x61:0x7B], _shape[0x41:0x5B], _shape[0x30:0x3A], _shape[0x80:] = 1, 2, 3, 1
+_mark = np.ones(256, bool)  # what parts plain words: every ASCII byte but letters and digits
+_mark[0x61:0x7B] = _mark[0x41:0x5B] = _mark[0x30:0x3A] = _mark[0x80:] = False
 
 
 def features(block: V.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +40,10 @@ def features(block: V.Block) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = V.Block(_lower[block.data], block.start, block.stop)
     word = low.hashes(start, stop)
+    plain_start, plain_stop, plain_doc = low.words(_mark)
+    plain = low.hashes(plain_start, plain_stop)
+    long = plain_stop - plain_start > STEM
+    stem = low.hashes(plain_start[long], plain_start[long] + STEM) + V.U(3)
     shape = _shape[block.data]
     # a shape is what kinds of bytes a word holds and how it ends
     kinds = np.zeros(len(block.data) + 1, np.uint64)
@@ -47,8 +54,8 @@ def features(block: V.Block) -> tuple[np.ndarray, np.ndarray]:
     same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
     size = np.bincount(doc, minlength=n)
     out = []
-    for kind, (key, shares) in enumerate(((word, SHARES[:1]), (form, SHARES), (V.mix(same + V.U(11)), SHARES))):
-        both = (doc.astype(np.uint64) << V.U(44)) | (key >> V.U(20))
+    for kind, (owner, key, shares) in enumerate(((plain_doc, plain, SHARES[:1]), (plain_doc[long], stem, SHARES[:1]), (doc, form, SHARES), (doc, V.mix(same + V.U(11)), SHARES))):
+        both = (owner.astype(np.uint64) << V.U(44)) | (key >> V.U(20))
         found, count = np.unique(both, return_counts=True)
         d, k = (found >> V.U(44)).astype(np.int64), found & V.U((1 << 44) - 1)
         for level, share in enumerate(shares):
@@ -67,7 +74,7 @@ class Head:
     rate: float
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, chosen: int = 500, l2: float = 1.0) -> Head:
+    def fit(cls, rows: list[np.ndarray], y: np.ndarray, chosen: int = 800, l2: float = 0.1) -> Head:
         none = cls(np.zeros(1 << LOG2, np.float32), 0.0, 0.5)
         if not len(y) or y.min() == y.max():
             if len(y):
@@ -105,7 +112,7 @@ class Head:
         return np.bincount(doc, self.weights[feature], n)[:n] + self.bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample: int = 8000, seed: int = 5) -> dict[str, Head]:
+def fit(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample: int = 12000, seed: int = 5) -> dict[str, Head]:
     """One head for each label column, from at most ``sample`` labelled rows drawn by a hash of the id.
 
     Rows with a null label, a null id or no document do not count; an id labelled twice counts as its least labels."""
