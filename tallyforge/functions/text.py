@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyforge.functions import fixed
 from tallyforge.sources.files import lookup
@@ -46,7 +47,7 @@ def repair_mojibake(c: Column) -> Column:
     return F.when(latin & F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         return None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch))

@@ -51,7 +51,7 @@ def build(events: DataFrame, shifts: DataFrame, games: DataFrame, skaters: DataF
     events = events.join(games.select("gameId"), "gameId", "left_semi").join(lasting.select("gameId").distinct(), "gameId", "left_semi")
     marks = faceoff_starts(events)
     bounds = lasting.select(*keys, F.explode(F.array("startSec", "endSec")).alias("t"))
-    ends = lasting.select(*keys).unionByName(events.select(*keys)).distinct().select(*keys, F.explode(F.array(F.lit(0), F.lit(PERIOD_END))).cast("bigint").alias("t"))
+    ends = lasting.select(*keys).unionByName(events.select(*keys)).distinct().select(*keys, F.explode(F.array(F.lit(0), F.lit(PERIOD_END)).cast("array<bigint>")).alias("t"))
     grid = bounds.unionByName(marks.select(*keys, "t")).unionByName(ends).select(*keys, F.col("t").cast("bigint").alias("t")).distinct()
     for side in ("home", "away"):
         own = lasting.where(F.col("teamAbbrev") == F.col(f"{side}_team")).select(*keys, "playerId", "startSec", "endSec")

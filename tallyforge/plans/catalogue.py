@@ -54,11 +54,11 @@ def rate_per_unit(spark, sf):
     return sums.select("l_suppkey", _r(numeric.ratio(F.col("p"), F.col("q"))).alias("rate"), "n")
 
 
-@query("""SELECT l_partkey, round(CASE WHEN sum(w) > 0 THEN sum(l_extendedprice * w) / sum(w) ELSE avg(l_extendedprice) END, 4) AS mean
+@query("""SELECT l_partkey, round(CASE WHEN sum(w) > 0 THEN sum(l_extendedprice * w) / sum(w) ELSE avg(l_extendedprice) END, 6) AS mean
 FROM (SELECT l_partkey, l_extendedprice, CASE WHEN l_discount > 0.05 THEN l_quantity ELSE 0 END AS w FROM lineitem) GROUP BY l_partkey""")
 def weighted_mean_fallback(spark, sf):
     rows = _t(spark, sf, "lineitem").withColumn("w", F.when(F.col("l_discount") > 0.05, F.col("l_quantity")).otherwise(0.0))
-    return rows.groupBy("l_partkey").agg(_r(stats.weighted_mean("l_extendedprice", "w")).alias("mean"))
+    return rows.groupBy("l_partkey").agg(_r(stats.weighted_mean("l_extendedprice", "w"), 6).alias("mean"))
 
 
 @query("""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.95) AS hi FROM lineitem GROUP BY l_returnflag)
