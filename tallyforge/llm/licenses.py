@@ -62,13 +62,14 @@ GAP = 3  # sentences without an identifier that may stand between two of a rule
 
 _END = re.compile(r"(?<=[.!?:;])\s+|\n")
 _PUNCT = re.compile(r"[^a-z0-9]+")
+_LIST_MARK = re.compile(r"^\s*(?:\(?(?:\d{1,2}|[A-Za-z])[.)]|[*+-])\s+")
 #: A text in which none of these occurs cannot hold a known sentence.
 _MARK = re.compile(r"licen|permi|warrant|redistribut|liab", re.IGNORECASE)
 
 
 def normalise(sentence: str) -> str:
     """Lower-case ASCII letters and digits, single blanks, no list marks at the front."""
-    return re.sub(r"^(?:\d{1,2}|[a-z]) (?=[a-z]+ [a-z]+ )", "", _PUNCT.sub(" ", sentence.lower()).strip())
+    return _PUNCT.sub(" ", _LIST_MARK.sub("", sentence).lower()).strip()
 
 
 _KNOWN: dict[tuple[str, ...], list[tuple[str, str]]] = {}
