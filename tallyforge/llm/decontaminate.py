@@ -35,22 +35,27 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
     return cutout.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("length", F.size("window"))
 
 
-def _anchors(docs: DataFrame, grams: DataFrame, text_col: str, small: bool) -> DataFrame:
-    """(term, places): for each test window its term that is rarest in training, with its offset in the window."""
+def _anchors(docs: DataFrame, grams: DataFrame, text_col: str, small: bool, anchors: int = 1) -> DataFrame:
+    """(term, place): for each test window its ``anchors`` rarest terms in training, with their offsets in the window.
+    One is enough for exact matches; near ones may lack it, so they are looked for around several."""
     hint = F.broadcast if small else (lambda df: df)
     vocabulary = grams.select(F.explode("window").alias("term")).distinct()
     tokens = docs.select(F.explode(words(F.col(text_col))).alias("term"))
     seen = tokens.join(hint(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     seen = R.cut(seen)
     terms = grams.select("window", "items", "length", F.posexplode("window").alias("offset", "term"))
-    rated = terms.join(seen, "term", "left").groupBy("window", "items", "length").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).alias("rarest"))
-    # a window with a term that training never holds cannot occur exactly, nor near its rarest term
-    rated = rated.where(F.col("rarest.n") > 0)
+    rated = terms.join(seen, "term", "left").withColumn("rated", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).groupBy("window", "items", "length")
+    if anchors == 1:
+        # a window with a term that training never holds cannot occur exactly
+        rated = rated.agg(F.min("rated").alias("rarest")).where(F.col("rarest.n") > 0)
+    else:
+        known = F.filter(F.sort_array(F.collect_list("rated")), lambda x: x["n"] > 0)
+        rated = rated.agg(known.alias("known")).select("window", "items", "length", F.explode(F.slice("known", 1, anchors)).alias("rarest"))
     place = F.struct(F.col("rarest.offset").alias("offset"), "length", "window", "items")
     return rated.select(F.col("rarest.term").alias("term"), place.alias("place"))
 
 
-def postings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, small: bool) -> DataFrame:
+def postings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, small: bool, size: int = WINDOW) -> DataFrame:
     """Offset-adjusted postings: (id, key, n_words or null, start, place) with a row of null place for each document.
 
     A document's own row carries its number of words, so that no second pass over the texts is needed."""
@@ -62,8 +67,8 @@ def postings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, sma
         met = met.select("id", "key", "w", "pos", F.explode_outer("places").alias("place"))
     else:
         # beyond the broadcast limit a posting carries its neighbourhood, not its document
-        near = F.slice("w", F.greatest(F.col("pos") + 2 - WINDOW, F.lit(1)), 2 * WINDOW - 1)
-        narrow = tokens.select("id", "key", "pos", "term", F.when(F.col("term") != NEVER, near).alias("w"), F.least(F.col("pos"), F.lit(WINDOW - 1)).alias("back"))
+        near = F.slice("w", F.greatest(F.col("pos") + 2 - size, F.lit(1)), 2 * size - 1)
+        narrow = tokens.select("id", "key", "pos", "term", F.when(F.col("term") != NEVER, near).alias("w"), F.least(F.col("pos"), F.lit(size - 1)).alias("back"))
         met = narrow.join(places, "term", "left").where(F.col("place").isNotNull() | (F.col("term") == NEVER))
     start = F.col("pos") - F.col("place.offset")
     at = start if small else F.col("back") - F.col("place.offset")
@@ -73,16 +78,16 @@ def postings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, sma
     return met.select("id", "key", F.when(own, F.col("pos")).alias("n_words"), F.when(~own, start).alias("start"), "place", found.alias("found"))
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, near_share: float = 1.0, broadcast_windows: int = 200_000) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, near_share: float = 1.0, near_anchors: int = 3, broadcast_windows: int = 200_000) -> DataFrame:
     """(id, key, n_words, start, length, items, kind): one row for each match, and one with ``kind`` null for each document.
 
     ``kind`` is ``exact`` where all words of the window stand at their offsets, else ``near`` where at least
-    ``near_share`` of them do, the rarest among them; the default asks for exact ones alone.
+    ``near_share`` of them do, one of the ``near_anchors`` rarest among them; the default asks for exact ones alone.
     """
     grams = R.cut(windows(items, item_col, item_text, size))
     small = grams.count() <= broadcast_windows
-    places = R.cut(_anchors(docs, grams, text_col, small))
-    met = postings(docs, places, id_col, text_col, small)
+    places = R.cut(_anchors(docs, grams, text_col, small, 1 if near_share >= 1 else near_anchors))
+    met = postings(docs, places, id_col, text_col, small, size)
     exact = F.col("found") == F.col("place.window")
     keep = exact
     if near_share < 1:
@@ -90,7 +95,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         keep = exact | (same >= F.ceil(F.col("place.length") * near_share))
     met = met.where(F.col("n_words").isNotNull() | keep)
     kind = F.when(F.col("n_words").isNull(), F.when(exact, "exact").otherwise("near"))
-    return met.select("id", "key", "n_words", "start", F.col("place.length").alias("length"), F.col("place.items").alias("items"), kind.alias("kind"))
+    out = met.select("id", "key", "n_words", "start", F.col("place.length").alias("length"), F.col("place.items").alias("items"), kind.alias("kind"))
+    # several anchors of a window meet in one place; rows of documents have no kind and are all kept
+    return out if near_share >= 1 else out.where("kind is null").unionByName(out.where("kind is not null").distinct())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
