@@ -13,11 +13,20 @@ from tallyforge.llm import decontaminate, language, line_dedup, mixing, near_dup
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+KEYS = 500_000  # so many keys, of 8 bytes each, are sent to every task; more are joined by a shuffle
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose ``key_`` is not among the keys: texts stay where they are while the keys are few."""
+    gone = R.cut(gone)
+    return docs.join(F.broadcast(gone) if gone.count() <= KEYS else gone, "key_", "left_anti")
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that the model rejects go, null and letterless texts among them."""
     docs = docs.withColumn("key_", R.doc_key())
     gone = language.identify(docs, id_col="key_", model=language.fit(docs)).where("rejected").select("key_").distinct()
-    return docs.join(gone, "key_", "left_anti").drop("key_")
+    return _without(docs, gone).drop("key_")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +37,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class; of rows equal in id and text one."""
-    kept = near_duplicates.classes(docs).where("is_kept").select(F.col("doc_id").alias("id_"), F.col("node").alias("node_"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("key_", R.doc_key()).withColumn("text_node_", F.xxhash64(text, F.length(text)))
-    chosen = joined.join(kept, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_node_") == F.col("node_")), "left_semi")
-    return chosen.dropDuplicates(["key_"]).select(*docs.columns)
+    keyed = docs.withColumn("key_", R.doc_key())
+    classes = R.cut(near_duplicates.classes(keyed, id_col="key_").groupBy("key_").agg(F.max(F.col("is_kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n")))
+    left = _without(keyed, classes.where("kept = 0").select("key_"))
+    again = R.cut(classes.where("kept = 1 and n > 1").select("key_"))
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    # rows equal in id and text: only these are brought together
+    few = F.broadcast(again) if again.count() <= KEYS else again
+    once = left.join(few, "key_", "left_semi").dropDuplicates(["key_"])
+    return left.join(few, "key_", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
     found = decontaminate.decontaminate(docs, R.load(spark, sf_dir, "benchmark"))
     gone = found.where("contaminated").select(F.col("key").alias("key_")).distinct()
-    return docs.withColumn("key_", R.doc_key()).join(gone, "key_", "left_anti").drop("key_")
+    return _without(docs.withColumn("key_", R.doc_key()), gone).drop("key_")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
