@@ -136,12 +136,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     row: a model of no language, which predicts ``und``.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    sizes = known.groupBy(lang_col).count().withColumn("rate", F.lit(float(per_language)) / F.col("count")).select(F.col(lang_col).alias("lang_"), "rate")
-    n_lang = sizes.count()
+    sizes = known.groupBy(lang_col).count().collect()  # one row for each language, of which the model holds a column
+    n_lang = len(sizes)
     if not n_lang:
         return Model([], np.zeros((1 << LOG2_BUCKETS, 1), np.float32), 1.0, 0.0)
+    rates = F.create_map(*[F.lit(x) for name, n in sizes for x in (name, per_language / n)])
     drawn = known.select(F.col(lang_col).alias("lang_"), F.col(text_col).alias("text_"), F.xxhash64(F.lit(seed), id_col, text_col).alias("u"))
-    drawn = drawn.join(sizes, "lang_").where(F.pmod("u", F.lit(1 << 40)) < F.col("rate") * (1 << 40))
+    drawn = drawn.where(F.pmod("u", F.lit(1 << 40)) < F.try_element_at(rates, F.col("lang_")) * (1 << 40))
     rows = R.map_arrow(drawn.select("lang_", "text_", "u"), _features, "lang string, u long, ids binary, share binary")
     got = rows.orderBy("u", "lang", "ids").limit(2 * per_language * n_lang).toArrow().to_pylist()
     languages = sorted({r["lang"] for r in got})
