@@ -15,6 +15,7 @@ from tallyforge.llm import _vec as V
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
+BROADCAST_SOURCES = 100_000
 
 
 def _count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -87,5 +88,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     budget, size = F.floor("target"), F.greatest(F.col("source_size"), F.lit(1))
     left = budget - F.floor(budget / size) * F.col("source_size") - (F.col("before") - F.col("first"))
     taken = F.floor(budget / size) * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
+    aim = R.cut(aim)
+    # few sources are sent to every task; beyond the limit both sides are shuffled by source, and a hot one is split
+    aim = F.broadcast(aim) if aim.count() <= BROADCAST_SOURCES else aim
     out = spread.join(aim, F.col("source").eqNullSafe(F.col("source_")), "left")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
