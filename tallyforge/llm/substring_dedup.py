@@ -109,6 +109,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dept
     spark = docs.sparkSession
     runs = R.stored(R.map_arrow(docs.select("key", "text"), _anchors(length, gram), "key long, s0 long, s1 long, p long, gram long, run long"), "anchors")
     repeated = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p", "s0")).alias("witness")).where("n > 1")
+    repeated = R.stored(repeated, "repeated")  # on its own, so that the join below can split a run that many documents share
     known = R.stored(runs.join(repeated, "run", "left"), "runs")
     spans = [known.where("n is not null").select("key", F.col("s0").alias("start"), (F.col("s1") + length).alias("stop"))]
     buckets = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
@@ -133,6 +134,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dept
         nodes = active.groupBy("key").agg(F.collect_list(F.struct("p", "a", "low", "high", "done")).alias("nodes"))
         keyed = R.stored(R.map_arrow(texts.join(nodes, "key").select("key", "text", "nodes"), _node_keys(length, size), "key long, p long, a long, low long, high long, done boolean, core long, cover long"), f"keys-{size}")
         covers = keyed.where("cover is not null").groupBy("cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p")).alias("witness")).where("n > 1")
+        covers = R.cut(covers)
         found = keyed.join(covers, "cover", "left")
         found = R.stored(found, f"found-{size}") if depth + 1 < len(depths) else found
         hit = found.where("n is not null and not done")
@@ -141,6 +143,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dept
             break
         left = F.col("n").isNull() & ~F.col("done")
         alive = found.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.sum(left.cast("int")).alias("left")).where("m > 1 and left > 0").select("core")
+        alive = R.cut(alive)
         stays = left | F.when(F.col("n").isNull(), F.col("done")).otherwise((F.col("witness.key") == F.col("key")) & (F.col("witness.p") == F.col("p")))
         after = found.join(alive, "core", "left_semi").where(stays).select("key", "p", "low", "high", (~left).alias("done"), "a").distinct()
         step = depths[depth + 1]
