@@ -79,6 +79,11 @@ def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """A list column from the rows of a matrix."""
+    return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), rows.reshape(-1))
+
+
 def hash_bits(df: DataFrame, key: str, log2: int = 24) -> np.ndarray:
     """A bit array of 2**log2 bits with those of the keys set, as 64-bit words. Its size is fixed whatever the number
     of keys, so it may be broadcast; a test against it has no false negatives and, as keys grow, more false positives,

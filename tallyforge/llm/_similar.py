@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _run as R
@@ -23,17 +25,37 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return V.mix(out)
 
 
-def candidates(members: DataFrame, neighbours: int = NEIGHBOURS, split: int = 500) -> DataFrame:
-    """(a, b), a < b: distinct candidate pairs from (band, node) rows, linear in the rows.
+def packed(signature: np.ndarray) -> np.ndarray:
+    """The lowest byte of each sample, seven to a 64-bit number: (things, numbers). It is enough to estimate with."""
+    n, samples = signature.shape
+    out = np.zeros((n, -(-samples // 7)), np.int64)
+    for j in range(samples):
+        out[:, j // 7] |= (signature[:, j] & np.uint32(0xFF)).astype(np.int64) << np.int64(9 * (j % 7))
+    return out
+
+
+def agreement(x: Column, y: Column, samples: int) -> Column:
+    """Share of equal samples of two packed signatures. Nine bits a sample, so that the sums carry nowhere."""
+    full, high = (sum(v << (9 * i) for i in range(7)) for v in (0xFF, 0x100))
+    unequal = [F.bit_count((F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))) + F.lit(full)).bitwiseAND(F.lit(high))) for i in range(-(-samples // 7))]
+    return F.lit(1.0) - functools.reduce(lambda p, q: p + q, unequal) / F.lit(float(samples))
+
+
+def shared(members: DataFrame) -> DataFrame:
+    """(band, node, n) of the distinct (band, node) rows whose band holds n > 1 nodes."""
+    rows = members.groupBy("band", "node").agg(F.lit(1).alias("one")).select("band", "node")
+    counts = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return R.cut(rows.join(counts, "band"))
+
+
+def candidates(rows: DataFrame, neighbours: int = NEIGHBOURS, split: int = 500) -> DataFrame:
+    """(a, b), a < b: distinct candidate pairs from ``shared`` rows, linear in the rows.
 
     In a band every node meets the band's most central node (the one whose bands hold most nodes in all) and its
     ``neighbours`` next ones in an order that differs from band to band; bands of up to ``neighbours + 1`` nodes so meet
     in full. Bands of over ``split`` nodes are dealt by hash into parts before they are ordered, so none of any size
-    meets in one task; the most central node comes from a pre-aggregated maximum.
+    meets in one task; the most central node comes from a pre-aggregated maximum. ``remaining`` gives the other pairs.
     """
-    rows = members.groupBy("band", "node").agg(F.lit(1).alias("one")).select("band", "node")
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = R.cut(rows.join(shared, "band"))
     degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
     centre = rows.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).getField("node").alias("centre"))
     star = rows.join(centre, "band").select(F.col("node").alias("x"), F.col("centre").alias("y"))
@@ -45,6 +67,26 @@ def candidates(members: DataFrame, neighbours: int = NEIGHBOURS, split: int = 50
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def remaining(rows: DataFrame, few: DataFrame, roots: DataFrame, samples: int, floor: float, neighbours: int = NEIGHBOURS, block: int = 200) -> DataFrame:
+    """(a, b, est), a < b: every pair of different components that shares a band and whose packed samples (node, few)
+    agree on a share of at least ``floor``; bands that ``candidates`` met in full are left out.
+
+    Bands whose nodes are all in one component are done. The others are dealt by hash into blocks of about ``block``
+    nodes, and each block is joined with each, so no task meets a whole band; a pair is estimated within the join.
+    """
+    ends = rows.where(F.col("n") > neighbours + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    unsettled = ends.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    ends = R.cut(ends.join(unsettled, "band", "left_semi"))
+    parts = F.ceil(F.col("n") / block)
+    ends = ends.join(few, "node").withColumn("last", parts - 1).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), parts))
+    side = lambda i, j, s: ends.select("band", i, j, F.col("node").alias(f"node_{s}"), F.col("root").alias(f"root_{s}"), F.col("few").alias(f"few_{s}"))
+    x = side(F.col("part").alias("i"), F.explode(F.sequence("part", "last")).alias("j"), "x")
+    y = side(F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("i"), F.col("part").alias("j"), "y")
+    met = x.join(y, ["band", "i", "j"]).where("root_x <> root_y and (i < j or node_x < node_y)")
+    met = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), agreement(F.col("few_x"), F.col("few_y"), samples).alias("est"))
+    return met.where(F.col("est") >= floor).groupBy("a", "b").agg(F.max("est").alias("est"))
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root): the least node of each connected component of (a, b) edges, for every node that has an edge.
 
@@ -86,15 +128,26 @@ def best_first(pairs: DataFrame) -> DataFrame:
     return pick.select("p.a", "p.b").distinct()
 
 
-def linked(pairs: DataFrame, verify) -> DataFrame:
+def linked(pairs: DataFrame, verify, others=None) -> DataFrame:
     """(node, root) over all pairs (a, b, est) that ``verify`` confirms, without verifying pairs already in one component.
 
-    First each node's most promising pair is verified; then every pair that still crosses two components is."""
-    first = best_first(pairs)
-    sure = R.cut(verify(first))
-    roots = R.cut(components(sure))
-    rest = crossing(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
-    more = R.cut(verify(rest))
-    if more.isEmpty():
+    First each node's most promising pair is verified; then every pair that still crosses two components is. The same
+    is then done with the pairs that ``others`` gives for the components found so far."""
+
+    def settle(some: DataFrame, roots: DataFrame | None) -> DataFrame:
+        first = best_first(some)
+        known = R.cut(verify(first))
+        if roots is not None:
+            known = known.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = R.cut(components(known))
+        rest = crossing(some.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
+        more = R.cut(verify(rest))
+        if more.isEmpty():
+            return roots
+        return R.cut(components(known.unionByName(more)))
+
+    roots = settle(pairs, None)
+    if others is None:
         return roots
-    return R.cut(components(sure.unionByName(more)))
+    new = R.cut(others(roots).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    return roots if new.isEmpty() else settle(new, roots)

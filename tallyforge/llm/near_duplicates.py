@@ -145,23 +145,18 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
                 nodes = node[lo:hi][some]
                 _, one = np.unique(nodes, return_index=True)
                 keys = V.signed(S.band_keys(signed[one], rows))
-                few = (signed[one] & np.uint32(0xFF)).astype(np.uint8)  # a byte of each sample is enough to estimate with
-                yield R.record(node=nodes[one], bands=pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.reshape(-1)), few=pa.array([f.tobytes() for f in few], pa.binary()))
+                yield R.record(node=nodes[one], bands=R.lists(keys), few=R.lists(S.packed(signed[one])))
 
-    signed = R.cut(R.map_arrow(texts, sign, "node long, bands array<long>, few binary").dropDuplicates(["node"]))
-    pairs = S.candidates(signed.select(F.explode("bands").alias("band"), "node"))
+    signed = R.cut(R.map_arrow(texts, sign, "node long, bands array<long>, few array<long>").dropDuplicates(["node"]))
+    shared = S.shared(signed.select(F.explode("bands").alias("band"), "node"))
+    pairs = S.candidates(shared)
     few = signed.select("node", "few")
     pairs = pairs.join(few.select(F.col("node").alias("a"), F.col("few").alias("few_a")), "a").join(few.select(F.col("node").alias("b"), F.col("few").alias("few_b")), "b")
     # four deviations below the threshold: of pairs exactly at it three in 100,000 are left out
     floor = similarity - 4 * float(np.sqrt(similarity * (1 - similarity) / samples))
 
-    def estimate(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, samples) for i in (2, 3))
-        est = (a == b).mean(axis=1)
-        ok = pa.array(est >= floor)
-        yield R.record(a=batch.column(0).filter(ok), b=batch.column(1).filter(ok), est=est[est >= floor])
-
-    pairs = R.cut(R.map_arrow(pairs.select("a", "b", "few_a", "few_b"), estimate, "a long, b long, est double"))
+    est = S.agreement(F.col("few_a"), F.col("few_b"), samples)
+    pairs = R.cut(pairs.select("a", "b", est.alias("est")).where(F.col("est") >= floor))
 
     def verify(some: DataFrame) -> DataFrame:
         some = R.cut(some)
@@ -194,7 +189,7 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
 
         return R.map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long")
 
-    return S.linked(pairs, verify)
+    return S.linked(pairs, verify, lambda roots: S.remaining(shared, few, roots, samples, floor))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -159,6 +159,28 @@ def test_near_duplicates_of_a_drifting_crowd(spark):
     assert {frozenset(g) for g in out.groupby("class_id").doc_id.apply(set)} == groups(links, ids)
 
 
+def crowd(rng, n, planted, template, own, same):
+    """n lists of words of one template each with words of its own; the first ones, two by two, share some of these."""
+    base = [f"t{i}" for i in range(template)]
+    out = []
+    for i in range(n):
+        mine = [f"o{i}x{j}" for j in range(own)]
+        if i < 2 * planted:
+            mine[:same] = [f"p{i // 2}x{j}" for j in range(same)]
+        out.append(base + mine)
+    return [out[i] for i in rng.permutation(n)]
+
+
+def test_near_duplicates_in_a_crowd_of_unlinked_texts(spark):
+    docs = frame(spark, [" ".join(w) for w in crowd(np.random.default_rng(5), 400, 60, 500, 40, 10)])
+    links, ids = brute_links(docs, near_duplicates.document_frequencies(docs))
+    out = near_duplicates.classes(docs).toPandas()
+    got = {frozenset(g) for g in out.groupby("class_id").doc_id.apply(set)}
+    want = groups(links, ids)
+    assert sum(len(g) == 2 for g in want) == 60
+    assert got == want, f"{len(got & want)} of {len(want)} classes"
+
+
 def test_near_duplicates_odd(spark, odd):
     out = near_duplicates.classes(odd).toPandas()
     assert len(out) == odd.count() and out.is_kept.sum() == out.groupby("class_id", dropna=False).ngroups
