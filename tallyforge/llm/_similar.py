@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +43,18 @@ def agreement(x: Column, y: Column, samples: int) -> Column:
     return F.lit(1.0) - functools.reduce(lambda p, q: p + q, unequal) / F.lit(float(samples))
 
 
-def shared(members: DataFrame) -> DataFrame:
-    """(band, node, n) of the distinct (band, node) rows whose band holds n > 1 nodes."""
-    rows = members.groupBy("band", "node").agg(F.lit(1).alias("one")).select("band", "node")
-    counts = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return R.cut(rows.join(counts, "band"))
+def shared(signed: DataFrame) -> DataFrame:
+    """(band, node, n) for the bands of (node, bands), a row a node, that hold n > 1 nodes.
+
+    Counts are pre-aggregated; a fixed number of bits then spares most of the other rows the join."""
+    rows = signed.select(F.explode("bands").alias("band"), "node")
+    counts = R.cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    bits = signed.sparkSession.sparkContext.broadcast(R.hash_bits(counts, "band"))
+
+    def likely(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(R.has_bit(bits.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    return R.cut(R.map_arrow(rows, likely, "band long, node long").join(counts, "band"))
 
 
 def candidates(rows: DataFrame, neighbours: int = NEIGHBOURS, split: int = 500) -> DataFrame:

@@ -21,7 +21,7 @@ SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 LEAST = 4  # with fewer shingles no other line reaches the similarity
-CROWD = 8  # members of one band that a batch sends on as they are
+CROWD = 8
 
 _rng = np.random.default_rng(41)
 _turn = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -89,7 +89,7 @@ def _signatures(shingle: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
 
 def _thin(band: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Members of a batch, at most CROWD for a band; each further one is paired with the band's first under a key of
-    their own, so that a band that many lines share sends a bounded number of rows from each batch and loses no line."""
+    their own. No line is lost, but pairs of lines are, so ``links`` does not thin."""
     order = np.lexsort((node, band))
     band, node = band[order], node[order]
     new = np.append(True, band[1:] != band[:-1])
@@ -105,7 +105,7 @@ def _thin(band: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _members(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    bands, nodes, seen = [], [], np.zeros(0, np.uint64)
+    seen = np.zeros(0, np.uint64)
     for _, _, block in V.blocks(batch.column(0)):
         start, stop, _, _ = _written(block)
         node, one = np.unique(block.hashes(start, stop), return_index=True)
@@ -120,11 +120,7 @@ def _members(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         on = keep[line] if len(line) else np.zeros(0, bool)
         signed = _signatures(shingle[on], renamed[line[on]], int(keep.sum()))
         if len(signed):
-            bands.append(S.band_keys(signed, ROWS).reshape(-1))
-            nodes.append(np.repeat(node[keep], BANDS))
-    if bands:
-        band, node = _thin(np.concatenate(bands), np.concatenate(nodes))
-        yield R.record(band=V.signed(band), node=V.signed(node))
+            yield R.record(node=V.signed(node[keep]), bands=R.lists(V.signed(S.band_keys(signed, ROWS))), few=R.lists(S.packed(signed)))
 
 
 def _occurrences(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -141,11 +137,12 @@ def _occurrences(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of lines that have a similar line of other wording; a node is a 64-bit hash of a line."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    members = R.map_arrow(texts, _members, "band long, node long")
-    order = Window.partitionBy("band").orderBy("node")
-    beside = members.withColumn("up", F.lag("node").over(order)).withColumn("down", F.lead("node").over(order))
-    met = beside.where((F.col("up") != F.col("node")) | (F.col("down") != F.col("node"))).select("band", "node")
-    pairs = R.cut(S.candidates(R.cut(met)).withColumn("est", F.lit(0.0)))
+    signed = R.cut(R.map_arrow(texts, _members, "node long, bands array<long>, few array<long>").dropDuplicates(["node"]))
+    shared, few = S.shared(signed), signed.select("node", "few")
+    pairs = S.candidates(shared).join(few.toDF("a", "few_a"), "a").join(few.toDF("b", "few_b"), "b")
+    pairs = R.cut(pairs.select("a", "b", S.agreement(F.col("few_a"), F.col("few_b"), BANDS * ROWS).alias("est")))
+    # five deviations below the threshold, and only for pairs beyond the candidates, which are all verified
+    floor = similarity - 5 * float(np.sqrt(similarity * (1 - similarity) / (BANDS * ROWS)))
 
     def verify(some: DataFrame) -> DataFrame:
         some = R.cut(some)
@@ -174,7 +171,7 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
 
         return R.map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long")
 
-    return S.linked(pairs, verify)
+    return S.linked(pairs, verify, lambda roots: S.remaining(shared, few, roots, BANDS * ROWS, floor))
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -148,7 +148,7 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
                 yield R.record(node=nodes[one], bands=R.lists(keys), few=R.lists(S.packed(signed[one])))
 
     signed = R.cut(R.map_arrow(texts, sign, "node long, bands array<long>, few array<long>").dropDuplicates(["node"]))
-    shared = S.shared(signed.select(F.explode("bands").alias("band"), "node"))
+    shared = S.shared(signed)
     pairs = S.candidates(shared)
     few = signed.select("node", "few")
     pairs = pairs.join(few.select(F.col("node").alias("a"), F.col("few").alias("few_a")), "a").join(few.select(F.col("node").alias("b"), F.col("few").alias("few_b")), "b")

@@ -258,6 +258,18 @@ def test_line_dedup_against_brute_force(spark):
         assert kept.get(i, "") == ("\n".join(left) if any(WORD.search(x) for x in left) else "")
 
 
+def test_line_dedup_in_a_crowd_of_unlinked_lines(spark):
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    base, both = letters(320), [letters(22) for _ in range(60)]
+    lines = [base + both[i // 2] + letters(22) if i < 120 else base + letters(44) for i in range(400)]
+    texts = ["\n".join(lines[i] for i in part) for part in rng.permutation(400).reshape(40, 10)]
+    want = brute_lines(texts)
+    assert sum(map(len, want.values())) == 60
+    got = {r.doc_id: r.removed for r in line_dedup.decide(frame(spark, texts)).collect() if r.removed}
+    assert got == {k: sorted(v) for k, v in want.items()}, f"{sum(map(len, got.values()))} of 60 lines"
+
+
 def test_line_dedup_odd(spark, odd):
     out = line_dedup.decide(odd)
     assert out.count() == odd.count() and line_dedup.decide(odd.limit(0)).count() == 0
