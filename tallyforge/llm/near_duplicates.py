@@ -6,9 +6,8 @@ Taking idf from words and not from whole shingles keeps the weight of a passage
 so that a large group of copies does not drift apart.
 
 A sample of the weighted set draws (r, c, beta) for each element and takes the element of least
-ln c - r (t - beta + 1), t = floor(ln w / r + beta).  The draws are tabulated for buckets of elements and for weights on
-a fine geometric grid, and ties within a bucket go to the least element hash, so that a sample costs a few array
-operations.  Grid and buckets only shape the candidates; links are verified with exact weights.
+ln c - r (t - beta + 1), t = floor(ln w / r + beta).  Each of the three is drawn by its own bits of the element's hash
+for the sample, so elements are independent and weights of any size keep their share.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 5
 LOG2_WORDS = 18
-LOG2_BUCKETS, CLASSES, STEP = 10, 64, 1.06
+LOG2_DRAWS = 16
 
 
 def _words_of(block: V.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -56,18 +55,10 @@ def _weighted(block: V.Block, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 @functools.cache
-def _tables(samples: int, seed: int) -> list[np.ndarray]:
-    """For each sample the order of ln a over (weight class, bucket), in the upper 16 bits; equal values have equal order."""
-    ln_w = np.arange(CLASSES)[:, None] * np.log(STEP)
-    out = []
-    for j in range(samples):
-        rng = np.random.default_rng((seed, j))
-        r, c = rng.gamma(2, 1, 1 << LOG2_BUCKETS), rng.gamma(2, 1, 1 << LOG2_BUCKETS)
-        beta = rng.random(1 << LOG2_BUCKETS)
-        t = np.floor(ln_w / r + beta)
-        _, order = np.unique(np.log(c) - r * (t - beta + 1), return_inverse=True)
-        out.append(order.reshape(-1).astype(np.uint32) << np.uint32(16))
-    return out
+def _draws(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of r and of ln c to draw from."""
+    rng = np.random.default_rng(seed)
+    return rng.gamma(2, 1, 1 << LOG2_DRAWS), np.log(rng.gamma(2, 1, 1 << LOG2_DRAWS))
 
 
 def signatures(block: V.Block, idf: np.ndarray, samples: int, seed: int = 29) -> tuple[np.ndarray, np.ndarray]:
@@ -77,17 +68,18 @@ def signatures(block: V.Block, idf: np.ndarray, samples: int, seed: int = 29) ->
     out = np.zeros((len(some), samples), np.uint32)
     if len(some):
         first = np.searchsorted(doc, some)
-        h = (V.mix(key) >> V.U(32)).astype(np.uint32)
-        row = np.clip(np.rint(np.log(np.maximum(weight, 1)) / np.log(STEP)), 0, CLASSES - 1).astype(np.uint32) << np.uint32(LOG2_BUCKETS)
-        rng = np.random.default_rng(seed)
-        turn, times = rng.integers(0, 2**32, samples, dtype=np.uint32), rng.integers(0, 2**32, samples, dtype=np.uint32) | np.uint32(1)
-        for j, table in enumerate(_tables(samples, seed)):
-            x = (h ^ turn[j]) * times[j]
-            at = x >> np.uint32(32 - LOG2_BUCKETS)
-            at += row
-            x &= np.uint32(0xFFFF)
-            x |= table[at]
-            out[:, j] = np.minimum.reduceat(x, first)
+        ln_w = np.log(weight)
+        r_of, ln_c_of = _draws(seed)
+        lo, hi = ln_c_of.min() - r_of.max() - 24, ln_c_of.max()  # 24: above ln of the weight of any text
+        scale, few = ((1 << 24) - 1) / (hi - lo), V.U((1 << LOG2_DRAWS) - 1)
+        turn = np.random.default_rng(seed).integers(0, 2**64, samples, dtype=np.uint64)
+        for j in range(samples):
+            x = V.mix(key + turn[j])
+            r, ln_c = r_of[x >> V.U(64 - LOG2_DRAWS)], ln_c_of[(x >> V.U(32)) & few]
+            beta = ((x >> V.U(16)) & few) * (1 / (1 << LOG2_DRAWS))
+            ln_a = ln_c - r * (np.floor(ln_w / r + beta) - beta + 1)
+            order = ((ln_a - lo) * scale).astype(np.uint32) << np.uint32(8)
+            out[:, j] = np.minimum.reduceat(order | (x & V.U(0xFF)).astype(np.uint32), first)
     return some, out
 
 

@@ -181,6 +181,23 @@ def test_near_duplicates_in_a_crowd_of_unlinked_texts(spark):
     assert got == want, f"{len(got & want)} of {len(want)} classes"
 
 
+@pytest.mark.parametrize("alike, times, other", [(100, 100, 1000), (4000, 1, 8)])
+def test_near_duplicates_with_repeated_passages(alike, times, other):
+    """Once the shared passage is repeated, once what differs: the samples agree as often as the weights do."""
+    texts = []
+    for i in range(12):
+        both = " ".join(f"p{i}x{j}" for j in range(alike)) + " "
+        for s in range(2):
+            own = " ".join(f"o{i}s{s}x{j}" for j in range(other)) + " "
+            texts.append(both * times + (own if times > 1 else own * 60))
+    idf = np.full(1 << near_duplicates.LOG2_WORDS, 1.9)
+    block = next(_vec.blocks(pa.array(texts), size=1 << 24))[2]
+    _, signed = near_duplicates.signatures(block, idf, near_duplicates.BANDS * near_duplicates.ROWS)
+    est = (signed[0::2] == signed[1::2]).mean()
+    true = near_duplicates.weighted_jaccard(block, idf).mean()
+    assert 0.79 < true < 0.85 and abs(est - true) < 0.05, f"estimate {est:.3f} of {true:.3f}"
+
+
 def test_near_duplicates_odd(spark, odd):
     out = near_duplicates.classes(odd).toPandas()
     assert len(out) == odd.count() and out.is_kept.sum() == out.groupby("class_id", dropna=False).ngroups
