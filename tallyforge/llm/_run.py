@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
+DEFAULT_BATCH, BATCH_ROWS = 10_000, 2_000  # rows of whole texts that go to Python at once, where the session says nothing else
 _shipped: set[str] = set()
 
 
@@ -35,13 +38,19 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(PACKAGE.rglob("*.py")):
             archive.write(source, source.relative_to(PACKAGE.parent))
     context.addPyFile(str(path))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Where none is named, a temporary one of our own serves a driver that
+    is its own executor; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tallyforge-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="tallyforge-")
+    if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -56,10 +65,63 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a compressed columnar table in the shared folder; for rows that are wide or read more than once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables and broadcasts of one operator's run; leaving the block deletes them, so what the operator returns must
+    have been stored outside."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._tables: list[tuple[DataFrame, str]] = []
+        self._broadcasts: list = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.drop(*(df for df, _ in self._tables))
+        for sent in self._broadcasts:
+            sent.destroy()
+        self._broadcasts = []
+        tidy(self.spark)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        out = _written(df, path)
+        self._tables.append((out, path))
+        return out
+
+    def broadcast(self, value):
+        sent = self.spark.sparkContext.broadcast(value)
+        self._broadcasts.append(sent)
+        return sent
+
+    def bits(self, df: DataFrame, key: str):
+        """A broadcast of ``hash_bits``."""
+        return self.broadcast(hash_bits(df, key))
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        gone = [path for df, path in self._tables if any(df is x for x in tables)]
+        self._tables = [(df, path) for df, path in self._tables if path not in gone]
+        context = self.spark.sparkContext
+        for name in gone:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files, broadcasts and plans that nothing refers to any more; it learns of them when
+    the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -84,10 +146,55 @@ def lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), rows.reshape(-1))
 
 
-def hash_bits(df: DataFrame, key: str, log2: int = 24) -> np.ndarray:
-    """A bit array of 2**log2 bits with those of the keys set, as 64-bit words. Its size is fixed whatever the number
-    of keys, so it may be broadcast; a test against it has no false negatives and, as keys grow, more false positives,
-    so it only ever saves work before an exact join."""
+def map_groups(df: DataFrame, key: str, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, size: int = 1 << 20) -> DataFrame:
+    """mapInArrow over batches of whole groups of equal ``key``, a long, sorted by it and of about ``size`` bytes, or one
+    larger group. Groups must be bounded."""
+    ship(df.sparkSession)
+    at = df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bytes_held = [], 0
+        for batch in batches:
+            while batch.num_rows:  # a batch may be much larger than what is wanted
+                step = max(1, min(batch.num_rows, int(batch.num_rows * size / max(batch.nbytes, 1))))
+                part, batch = batch.slice(0, step), batch.slice(step)
+                held.append(part)
+                bytes_held += part.nbytes
+                if bytes_held >= size:
+                    table = pa.Table.from_batches(held)
+                    keys = table.column(at).to_numpy()
+                    whole = int(np.searchsorted(keys, keys[-1]))
+                    if whole:
+                        yield from function(_one(table.slice(0, whole)))
+                    held = table.slice(whole).to_batches()
+                    bytes_held = sum(x.nbytes for x in held) if whole else 0  # a group that goes on is looked at again after as much more
+        if held and sum(x.num_rows for x in held):
+            yield from function(_one(pa.Table.from_batches(held)))
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _one(table: pa.Table) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns], table.column_names)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+LEAST_BITS, MOST_BITS = 20, 26
+
+
+def hash_bits(df: DataFrame, key: str) -> np.ndarray:
+    """A bit array with the bits of the keys set, as 64-bit words; about 32 bits a key, between 2**20 and 2**26 in all.
+
+    Its size is bounded whatever the number of keys, so it may be broadcast; a test against it has no false negatives
+    and, as keys grow beyond some 30 million, more false positives, so it only ever saves work before an exact join."""
+    log2 = min(MOST_BITS, max(LEAST_BITS, (32 * df.count()).bit_length()))
     words = (
         df.select(F.pmod(F.col(key), F.lit(1 << log2)).alias("bit"))
         .groupBy(F.shiftright("bit", 6).cast("int").alias("word"))

@@ -1,19 +1,30 @@
-"""Linking similar things: bounded candidate pairs from bands, estimates from signatures, distributed union-find."""
+"""Linking similar things: bands, groups of bounded size in which every pair is judged, distributed union-find.
+
+Things meet where their signatures share a band.  A band of up to ``most`` things is one group; a larger one is dealt by
+hash into parts, each a group, and where its things are not all in one component afterwards, the parts meet pairwise.  A
+group goes to one task with the elements (shingles) of its things, which judges every pair by its exact similarity and
+returns the links of a spanning forest only.  So every pair that shares a band and is similar ends up in one component,
+whatever the partitioning, and no list of pairs is ever formed.
+"""
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _run as R
 from tallyforge.llm import _vec as V
 
-NEIGHBOURS = 4
+MOST, MOST_BYTES = 1000, 2 << 20
+SKETCH_BITS = 4096
+
+#: What a function that finds elements returns: first element of each thing and the end, elements (52 bits, ascending and
+#: distinct within a thing), their weights or None where each weighs 1.
+Elements = tuple[np.ndarray, np.ndarray, np.ndarray | None]
 
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
@@ -27,82 +38,176 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return V.mix(out)
 
 
-def packed(signature: np.ndarray) -> np.ndarray:
-    """The lowest byte of each sample, seven to a 64-bit number: (things, numbers). It is enough to estimate with."""
-    n, samples = signature.shape
-    out = np.zeros((n, -(-samples // 7)), np.int64)
-    for j in range(samples):
-        out[:, j // 7] |= (signature[:, j] & np.uint32(0xFF)).astype(np.int64) << np.int64(9 * (j % 7))
-    return out
-
+def meetings(signed: DataFrame, scratch: R.Scratch, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(band, node, size, parts) of the bands that hold two nodes or more; of bands with the same nodes only one.
 
-def agreement(x: Column, y: Column, samples: int) -> Column:
-    """Share of equal samples of two packed signatures. Nine bits a sample, so that the sums carry nowhere."""
-    full, high = (sum(v << (9 * i) for i in range(7)) for v in (0xFF, 0x100))
-    unequal = [F.bit_count((F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))) + F.lit(full)).bitwiseAND(F.lit(high))) for i in range(-(-samples // 7))]
-    return F.lit(1.0) - functools.reduce(lambda p, q: p + q, unequal) / F.lit(float(samples))
+    ``signed`` has rows (node, size, bands), of which some may repeat. Bands are found by a pre-aggregated least and
+    greatest node, so a node that every task holds is no hot spot; bits of the bands found then spare all other rows the
+    join. ``parts`` is how many groups a band is dealt into, by its nodes and by their bytes.
+    """
+    ends = signed.select(F.explode("bands").alias("band"), "node").groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = scratch.stored(ends.where("lo <> hi").select("band"), "bands")
+    bits = scratch.bits(shared, "band")
 
+    def likely(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        band, edge = batch.column(2).flatten(), batch.column(2).offsets.to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(edge))
+        ok = np.flatnonzero(R.has_bit(bits.value, band.to_numpy().view(np.uint64)))
+        at = pa.array(row[ok])
+        yield R.record(band=band.take(pa.array(ok)), node=batch.column(0).take(at), size=batch.column(1).take(at))
+
+    met = R.map_arrow(signed.select("node", "size", "bands"), likely, "band long, node long, size int").groupBy("band", "node").agg(F.max("size").alias("size"))
+    met = scratch.stored(met.join(shared, "band", "left_semi"), "members")
+    same = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"x{i}") for i in (1, 2)]
+    sets = met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *same)
+    kept = sets.groupBy("n", "x1", "x2").agg(F.min("band").alias("band"), F.max("bytes").alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("bytes") / most_bytes))
+    kept = scratch.stored(kept.select("band", parts.cast("int").alias("parts")), "kept-bands")
+    out = scratch.stored(met.join(kept, "band"), "meetings")
+    scratch.drop(shared, met, kept)
+    return out
 
-def shared(signed: DataFrame) -> DataFrame:
-    """(band, node, n) for the bands of (node, bands), a row a node, that hold n > 1 nodes.
 
-    Counts are pre-aggregated; a fixed number of bits then spares most of the other rows the join."""
-    rows = signed.select(F.explode("bands").alias("band"), "node")
-    counts = R.cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    bits = signed.sparkSession.sparkContext.broadcast(R.hash_bits(counts, "band"))
+def groups(met: DataFrame) -> DataFrame:
+    """(gid, node, root): each band's parts, in which each node is its own root."""
+    part = F.pmod(F.xxhash64("node", "band"), F.col("parts"))
+    return met.select(F.xxhash64("band", part).alias("gid"), "node", F.col("node").alias("root"))
 
-    def likely(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield batch.filter(pa.array(R.has_bit(bits.value, batch.column(0).to_numpy().view(np.uint64))))
 
-    return R.cut(R.map_arrow(rows, likely, "band long, node long").join(counts, "band"))
+def crossing(met: DataFrame, roots: DataFrame, scratch: R.Scratch, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame | None:
+    """(gid, node, root): groups in which the pairs of larger bands meet that ``groups`` did not bring together and whose
+    ends are in different components; None where there are none.
 
+    A component that could fill a part has parts of its own, which need not meet each other; the rest of a band is pooled.
+    Of one large component and a few strays only the strays' pairs are so looked at; a crowd without links costs the
+    square of its number of parts.
+    """
+    large = met.where("parts > 1")
+    if large.isEmpty():
+        return None
+    ends = large.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    open_ = ends.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    ends = scratch.stored(ends.join(open_, "band", "left_semi"), "open")
+    if ends.isEmpty():
+        return None
+    need = F.greatest(F.col("n") * 2 / most, F.col("bytes") * 2 / most_bytes)
+    by_root = ends.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).withColumn("need", need)
+    own = by_root.where("need >= 1").select("band", F.col("root").alias("own"), F.ceil("need").cast("int").alias("parts"))
+    own = scratch.stored(own, "own")
+    pool = by_root.where("need < 1").groupBy("band").agg(F.ceil(F.sum("need")).cast("int").alias("parts")).select("band", F.lit(None).cast("long").alias("own"), "parts")
+    pool = scratch.stored(pool, "pool")
+    parts = own.unionByName(pool).select("band", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
+    parts = parts.withColumn("i", F.row_number().over(Window.partitionBy("band").orderBy("own", "k")))
+    x, y = (parts.select("band", F.col("own").alias(f"own_{s}"), F.col("k").alias(f"k_{s}"), F.col("i").alias(f"i_{s}")) for s in "xy")
+    apart = F.col("own_x").isNull() | F.col("own_y").isNull() | (F.col("own_x") != F.col("own_y"))
+    pairs = x.join(y, "band").where((F.col("i_x") <= F.col("i_y")) & apart).withColumn("gid", F.xxhash64("band", "i_x", "i_y", F.lit(2)))
+    pairs = scratch.stored(pairs, "part-pairs")
+    seats = pairs.select("band", "gid", F.col("own_x").alias("own"), F.col("k_x").alias("k")).unionByName(
+        pairs.where("i_x < i_y").select("band", "gid", F.col("own_y").alias("own"), F.col("k_y").alias("k"))
+    )
+    placed = ends.join(own.select("band", F.col("own").alias("root"), "own", F.col("parts").alias("own_parts")), ["band", "root"], "left")
+    placed = placed.join(pool.select("band", F.col("parts").alias("pool_parts")), "band", "left")
+    placed = placed.withColumn("k", F.pmod(F.xxhash64("node", "band"), F.coalesce("own_parts", "pool_parts")).cast("int")).withColumn("own", F.coalesce("own", F.lit(0)))
+    return placed.join(seats.withColumn("own", F.coalesce("own", F.lit(0))), ["band", "own", "k"]).select("gid", "node", "root")
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, end to end, and where each range begins among them."""
+    size = stop - start
+    first = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(start - first, size), first
+
+
+def _two_by_two(first: np.ndarray, elements: Elements, total: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the things ``first`` are similar to the one that follows each."""
+    start, element, weight = elements
+    out = np.zeros(len(first), bool)
+    for lo in range(0, len(first), 4096):  # the pair's number in 12 bits above the element: one sort for many pairs
+        a = first[lo : lo + 4096]
+        at, _ = _ranges(start[a], start[a + 2])
+        pair = np.repeat(np.arange(len(a), dtype=np.uint64), start[a + 2] - start[a])
+        key = (pair << V.U(52)) | element[at]
+        if weight is None:
+            key.sort()
+            twice = key[1:][key[1:] == key[:-1]]
+            common = np.bincount((twice >> V.U(52)).astype(np.int64), minlength=len(a)).astype(float)
+        else:
+            order = np.argsort(key, kind="stable")
+            key, w = key[order], weight[at][order]
+            twice = np.flatnonzero(key[1:] == key[:-1])
+            common = np.bincount((key[twice] >> V.U(52)).astype(np.int64), np.minimum(w[twice], w[twice + 1]), len(a))
+        out[lo : lo + 4096] = common >= similarity * (total[a] + total[a + 1] - common)
+    return out
 
-def candidates(rows: DataFrame, neighbours: int = NEIGHBOURS, split: int = 500) -> DataFrame:
-    """(a, b), a < b: distinct candidate pairs from ``shared`` rows, linear in the rows.
 
-    In a band every node meets the band's most central node (the one whose bands hold most nodes in all) and its
-    ``neighbours`` next ones in an order that differs from band to band; bands of up to ``neighbours + 1`` nodes so meet
-    in full. Bands of over ``split`` nodes are dealt by hash into parts before they are ordered, so none of any size
-    meets in one task; the most central node comes from a pre-aggregated maximum. ``remaining`` gives the other pairs.
-    """
-    degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
-    centre = rows.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).getField("node").alias("centre"))
-    star = rows.join(centre, "band").select(F.col("node").alias("x"), F.col("centre").alias("y"))
-    part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / split))
-    order = Window.partitionBy("band", "part").orderBy(F.xxhash64("node", "band"), "node")
-    near = rows.withColumn("part", part).select(F.col("node").alias("x"), F.array(*[F.lag("node", i).over(order) for i in range(1, neighbours + 1)]).alias("ys"))
-    near = near.select("x", F.explode("ys").alias("y"))
-    both = star.unionByName(near).where(F.col("x") != F.col("y"))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def remaining(rows: DataFrame, few: DataFrame, roots: DataFrame, samples: int, floor: float, neighbours: int = NEIGHBOURS, block: int = 200) -> DataFrame:
-    """(a, b, est), a < b: every pair of different components that shares a band and whose packed samples (node, few)
-    agree on a share of at least ``floor``; bands that ``candidates`` met in full are left out.
-
-    Bands whose nodes are all in one component are done. The others are dealt by hash into blocks of about ``block``
-    nodes, and each block is joined with each, so no task meets a whole band; a pair is estimated within the join.
-    """
-    ends = rows.where(F.col("n") > neighbours + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    unsettled = ends.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    ends = R.cut(ends.join(unsettled, "band", "left_semi"))
-    parts = F.ceil(F.col("n") / block)
-    ends = ends.join(few, "node").withColumn("last", parts - 1).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), parts))
-    side = lambda i, j, s: ends.select("band", i, j, F.col("node").alias(f"node_{s}"), F.col("root").alias(f"root_{s}"), F.col("few").alias(f"few_{s}"))
-    x = side(F.col("part").alias("i"), F.explode(F.sequence("part", "last")).alias("j"), "x")
-    y = side(F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("i"), F.col("part").alias("j"), "y")
-    met = x.join(y, ["band", "i", "j"]).where("root_x <> root_y and (i < j or node_x < node_y)")
-    met = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), agreement(F.col("few_x"), F.col("few_y"), samples).alias("est"))
-    return met.where(F.col("est") >= floor).groupBy("a", "b").agg(F.max("est").alias("est"))
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def _within(lo: int, hi: int, root: np.ndarray, elements: Elements, total: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the similar pairs among things lo to hi that are in different components.
+
+    Before a pair is counted, the parity of its elements by hash cell is compared (an odd sketch): no more cells can
+    differ than elements do, so pairs with too many are surely too far apart, and no other is left out."""
+    start, element, weight = elements
+    base, m = start[lo], hi - lo
+    some = element[base : start[hi]]
+    w = np.ones(len(some)) if weight is None else weight[base : start[hi]]
+    begin, end, mine = start[lo:hi] - base, start[lo + 1 : hi + 1] - base, total[lo:hi]
+    vocabulary, word = np.unique(some, return_inverse=True)
+    bits = min(SKETCH_BITS, max(64, 1 << int((end - begin).max() - 1).bit_length()))
+    cell = np.repeat(np.arange(m) * bits, end - begin) + (some & V.U(bits - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=m * bits) & 1).astype(bool).reshape(m, bits)
+    sketch = np.packbits(odd, axis=1).view(np.uint64)
+    least = w.min() * (1 + similarity) / (1 - similarity)
+    label = np.unique(root[lo:hi], return_inverse=True)[1]
+    mark, joined = np.zeros(len(vocabulary)), np.zeros(m, bool)
+    for i in range(m - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(other):
+            continue
+        differ = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        other = other[differ * least <= (mine[i] + mine[other]) * (1 + 1e-9)]
+        if not len(other):
+            continue
+        own = slice(begin[i], end[i])
+        mark[word[own]] = w[own]
+        at, first = _ranges(begin[other], end[other])
+        common = np.add.reduceat(np.minimum(mark[word[at]], w[at]), first)
+        mark[word[own]] = 0
+        other = other[common >= similarity * (mine[i] + mine[other] - common)]
+        if not len(other):
+            continue
+        labels, one = np.unique(label[other], return_index=True)
+        for j in other[one].tolist():
+            yield lo + i, lo + j
+        joined[labels] = True
+        label[joined[label]] = label[i]
+        joined[labels] = False
+
+
+def forest(group: np.ndarray, root: np.ndarray, elements: Elements, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (one thing, other thing) that join what is similar within groups of equal, adjacent ``group``. Every pair of
+    a group whose roots differ is judged by exact (weighted) Jaccard similarity, but for those already joined."""
+    start, element, weight = elements
+    n = len(group)
+    total = np.diff(start).astype(float) if weight is None else np.add.reduceat(weight, start[:-1]) if n else np.zeros(0)
+    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
+    stop = np.append(edge[1:], n)
+    two = edge[stop - edge == 2]
+    two = two[root[two] != root[two + 1]]
+    two = two[_two_by_two(two, elements, total, similarity)]
+    found = [(int(a), int(a) + 1) for a in two]
+    for lo, hi in zip(edge.tolist(), stop.tolist()):
+        if hi - lo > 2:
+            found += _within(lo, hi, root, elements, total, similarity)
+    a, b = zip(*found) if found else ((), ())
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def components(edges: DataFrame, scratch: R.Scratch, most_rounds: int = 40) -> DataFrame:
     """(node, root): the least node of each connected component of (a, b) edges, for every node that has an edge.
 
-    Alternates large-star and small-star until nothing changes; each round is cut into the shared folder, and the driver
-    sees two numbers a round. Minima are pre-aggregated, so a node with any number of links is no hot spot.
+    Alternates large-star and small-star until nothing changes; each round is stored in the shared folder, and the
+    driver sees two numbers a round. Minima are pre-aggregated, so a node with any number of links is no hot spot.
     """
-    edges = R.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = scratch.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -111,7 +216,9 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = R.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        after = scratch.stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        scratch.drop(edges)
+        edges = after
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -123,40 +230,26 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return stars.unionByName(roots)
 
 
-def crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of the pairs whose ends are in different components."""
-    ends = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
-    ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
-    return ends.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
-
+def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Callable[[pa.Array], Elements], similarity: float, scratch: R.Scratch, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(node, root) of the nodes that are linked to another; ``texts`` gives (node, text) for a frame of wanted nodes, each
+    once, and ``elements`` the elements of texts."""
+    met = meetings(signed, scratch, most, most_bytes)
+    held = scratch.stored(texts(met.select("node").distinct()), "texts")
 
-def best_first(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, est): for each node its most promising one."""
-    sides = pairs.select(F.col("a").alias("node"), "a", "b", "est").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "est"))
-    pick = sides.groupBy("node").agg(F.max(F.struct("est", "a", "b")).alias("p"))
-    return pick.select("p.a", "p.b").distinct()
+    def judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node = batch.column(1).to_numpy()
+        a, b = forest(batch.column(0).to_numpy(), batch.column(2).to_numpy(), elements(batch.column(3)), similarity)
+        yield R.record(a=node[a], b=node[b])
 
+    def verified(some: DataFrame) -> DataFrame:
+        return R.map_groups(some.join(held, "node").select("gid", "node", "root", "text"), "gid", judge, "a long, b long")
 
-def linked(pairs: DataFrame, verify, others=None) -> DataFrame:
-    """(node, root) over all pairs (a, b, est) that ``verify`` confirms, without verifying pairs already in one component.
-
-    First each node's most promising pair is verified; then every pair that still crosses two components is. The same
-    is then done with the pairs that ``others`` gives for the components found so far."""
-
-    def settle(some: DataFrame, roots: DataFrame | None) -> DataFrame:
-        first = best_first(some)
-        known = R.cut(verify(first))
-        if roots is not None:
-            known = known.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = R.cut(components(known))
-        rest = crossing(some.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
-        more = R.cut(verify(rest))
-        if more.isEmpty():
-            return roots
-        return R.cut(components(known.unionByName(more)))
-
-    roots = settle(pairs, None)
-    if others is None:
+    edges = scratch.stored(verified(groups(met)), "links")
+    roots = scratch.stored(components(edges, scratch), "roots")
+    rest = crossing(met, roots, scratch, most, most_bytes)
+    if rest is None:
+        return roots
+    more = scratch.stored(verified(rest), "links")
+    if more.isEmpty():
         return roots
-    new = R.cut(others(roots).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    return roots if new.isEmpty() else settle(new, roots)
+    return scratch.stored(components(edges.unionByName(more), scratch), "roots")

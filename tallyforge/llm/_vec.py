@@ -44,14 +44,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser; spreads every input bit."""
-    x = x ^ (x >> U(33))
-    x = x * U(0xFF51AFD7ED558CCD)
-    x ^= x >> U(33)
+    high = x >> U(33)
+    x = x ^ high
+    x *= U(0xFF51AFD7ED558CCD)
+    np.right_shift(x, U(33), out=high)
+    x ^= high
     x *= U(0xC4CEB9FE1A85EC53)
-    x ^= x >> U(33)
+    np.right_shift(x, U(33), out=high)
+    x ^= high
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; by a sort, which long arrays of hashes like better than a hash table."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned hashes as the signed longs that Spark keeps."""
     return x.view(np.int64)
@@ -67,6 +76,15 @@ class Block:
     def __len__(self) -> int:
         return len(self.start)
 
+    def only(self, some: np.ndarray) -> Block:
+        """A block of some of the documents, in ascending order."""
+        if len(some) == len(self):
+            return self
+        size = (self.stop - self.start)[some]
+        stop = np.cumsum(size)
+        at = np.arange(int(size.sum())) + np.repeat(self.start[some] - (stop - size), size)
+        return Block(self.data[at], stop - size, stop)
+
     def hashes(self, start: np.ndarray, stop: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         """A hash for each byte range [start, stop)."""
         fwd, inv = _powers(len(self.data) + 1)

@@ -26,6 +26,7 @@ from tallyforge.llm import _vec as V
 
 SHINGLE = 5
 SIMILARITY = 0.8
+MOST, MOST_BYTES = 256, 4 << 20
 BANDS, ROWS = 16, 5
 LOG2_WORDS = 18
 LOG2_DRAWS = 16
@@ -64,7 +65,7 @@ def _draws(seed: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(block: V.Block, idf: np.ndarray, samples: int, seed: int = 29) -> tuple[np.ndarray, np.ndarray]:
     """(documents that have words, their samples)."""
     doc, key, weight = _weighted(block, idf)
-    some = np.unique(doc)
+    some = V.distinct(doc)
     out = np.zeros((len(some), samples), np.uint32)
     if len(some):
         first = np.searchsorted(doc, some)
@@ -83,18 +84,6 @@ def signatures(block: V.Block, idf: np.ndarray, samples: int, seed: int = 29) ->
     return some, out
 
 
-def weighted_jaccard(block: V.Block, idf: np.ndarray) -> np.ndarray:
-    """Similarity of documents 0 and 1, 2 and 3, and so on; 0 where either has no words."""
-    doc, key, weight = _weighted(block, idf)
-    total = np.bincount(doc, weight, len(block))
-    order = np.lexsort((doc, key, doc >> 1))
-    d, k, w = doc[order], key[order], weight[order]
-    same = np.flatnonzero((d[1:] >> 1 == d[:-1] >> 1) & (k[1:] == k[:-1]))
-    low = np.bincount(d[same] >> 1, np.minimum(w[same], w[same + 1]), len(block) // 2)
-    union = total[0::2] + total[1::2] - low
-    return np.where(union > 0, low / np.maximum(union, 1e-300), 0.0)
-
-
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """idf of each word bucket, counted over all documents. Pre-aggregated by task; the driver gets a fixed number of rows."""
     R.ship(docs.sparkSession)
@@ -105,7 +94,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             for _, _, block in V.blocks(batch.column(0)):
                 word, doc = _words_of(block)
-                bucket = np.unique((doc.astype(np.uint64) << V.U(LOG2_WORDS)) | (word >> V.U(64 - LOG2_WORDS))) & V.U((1 << LOG2_WORDS) - 1)
+                bucket = V.distinct((doc.astype(np.uint64) << V.U(LOG2_WORDS)) | (word >> V.U(64 - LOG2_WORDS))) & V.U((1 << LOG2_WORDS) - 1)
                 seen += np.bincount(bucket.astype(np.int64), minlength=len(seen))
                 total += len(block)
         some = np.flatnonzero(seen)
@@ -123,65 +112,48 @@ def _node(text) -> F.Column:
     return F.xxhash64(text, F.length(text))
 
 
-def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, root) of texts that have a near duplicate; a node is a 64-bit hash of a text, equal texts are one node."""
-    idf = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs, text_col))
+def links(docs: DataFrame, scratch: R.Scratch, text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(node, root) of texts that have a near duplicate; a node is a 64-bit hash of a text, equal texts are one node.
+
+    Texts that share a band meet in groups of at most about ``most`` texts and ``most_bytes`` bytes, and every pair of a
+    group is judged by its exact weighted Jaccard similarity."""
+    idf = scratch.broadcast(document_frequencies(docs, text_col))
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(_node(F.col("text")).alias("node"), "text")
-    samples = bands * rows
 
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        node = batch.column(0).to_numpy()
+        node, seen = batch.column(0).to_numpy(), np.zeros(0, np.int64)
         for lo, hi, block in V.blocks(batch.column(1)):
-            some, signed = signatures(block, idf.value, samples)
+            fresh = np.sort(np.unique(node[lo:hi], return_index=True)[1])
+            fresh = fresh[~np.isin(node[lo:hi][fresh], seen)]
+            seen = np.concatenate([seen, node[lo:hi][fresh]])
+            block = block.only(fresh)
+            some, signed = signatures(block, idf.value, bands * rows)
             if len(some):
-                nodes = node[lo:hi][some]
-                _, one = np.unique(nodes, return_index=True)
-                keys = V.signed(S.band_keys(signed[one], rows))
-                yield R.record(node=nodes[one], bands=R.lists(keys), few=R.lists(S.packed(signed[one])))
-
-    signed = R.cut(R.map_arrow(texts, sign, "node long, bands array<long>, few array<long>").dropDuplicates(["node"]))
-    shared = S.shared(signed)
-    pairs = S.candidates(shared)
-    few = signed.select("node", "few")
-    pairs = pairs.join(few.select(F.col("node").alias("a"), F.col("few").alias("few_a")), "a").join(few.select(F.col("node").alias("b"), F.col("few").alias("few_b")), "b")
-    # four deviations below the threshold: of pairs exactly at it three in 100,000 are left out
-    floor = similarity - 4 * float(np.sqrt(similarity * (1 - similarity) / samples))
-
-    est = S.agreement(F.col("few_a"), F.col("few_b"), samples)
-    pairs = R.cut(pairs.select("a", "b", est.alias("est")).where(F.col("est") >= floor))
-
-    def verify(some: DataFrame) -> DataFrame:
-        some = R.cut(some)
-        ends = some.select(F.col("a").alias("node")).distinct().unionByName(some.select(F.col("b").alias("node")).distinct()).distinct()
-        bits = docs.sparkSession.sparkContext.broadcast(R.hash_bits(ends, "node"))
+                keys = V.signed(S.band_keys(signed, rows))
+                yield R.record(node=node[lo:hi][fresh][some], size=(block.stop - block.start)[some].astype(np.int32), bands=R.lists(keys))
+
+    signed = scratch.stored(R.map_arrow(texts, sign, "node long, size int, bands array<long>"), "signed")
+
+    def held(nodes: DataFrame) -> DataFrame:
+        bits = scratch.bits(nodes, "node")
 
         def wanted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            yield batch.filter(pa.array(R.has_bit(bits.value, batch.column(0).to_numpy().view(np.uint64))))
-
-        held = R.map_arrow(texts, wanted, "node long, text string").join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        held = R.stored(held, "near-texts")
-        both = some.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-
-        def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            n = batch.num_rows
-            order = pa.array(np.arange(2 * n).reshape(2, n).T.reshape(-1))
-            text = pa.concat_arrays([batch.column(2), batch.column(3)]).cast(pa.large_string()).take(order)
-            sim = np.zeros(n)
-            size = np.diff(np.frombuffer(text.buffers()[1], np.int64, 2 * n + 1, text.offset * 8))
-            at = 0
-            while at < n:  # pairs of about a block's bytes at a time
-                to = max(at + 1, at + int(np.searchsorted(np.cumsum(size[2 * at :].reshape(-1, 2).sum(axis=1)), V.BLOCK_BYTES)))
-                data, offset, _ = V._buffers(text.slice(2 * at, 2 * (to - at)))
-                lo = offset[0]
-                block = V.Block(data[lo : offset[-1]], offset[:-1] - lo, offset[1:] - lo)
-                sim[at : at + len(block) // 2] = weighted_jaccard(block, idf.value)
-                at += len(block) // 2
-            ok = sim >= similarity
-            yield R.record(a=batch.column(0).filter(pa.array(ok)), b=batch.column(1).filter(pa.array(ok)))
-
-        return R.map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long")
-
-    return S.linked(pairs, verify, lambda roots: S.remaining(shared, few, roots, samples, floor))
+            node = batch.column(0).to_numpy()
+            ok = np.sort(np.unique(node, return_index=True)[1])
+            yield batch.take(pa.array(ok[R.has_bit(bits.value, node[ok].view(np.uint64))]))
+
+        return R.map_arrow(texts, wanted, "node long, text string").groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node", "left_semi")
+
+    def elements(column: pa.Array) -> S.Elements:
+        n, owner, element, weight = len(column), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for lo, _, block in V.blocks(column):
+            doc, key, w = _weighted(block, idf.value)
+            owner.append(doc + lo)
+            element.append(key)
+            weight.append(w)
+        return np.searchsorted(np.concatenate(owner), np.arange(n + 1)), np.concatenate(element), np.concatenate(weight)
+
+    return S.linked(signed, held, elements, similarity, scratch, most, most_bytes)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -191,16 +163,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     text are in one class. A text of fewer than five words, but not none, is one shingle; null and empty texts are
     equal texts and have no shingles; rows of one id are rows of their own, a null id sorts after every other, and
     exactly one row of a class is kept (the least id, then by text hash, then any of equal rows). Other columns are
-    ignored; an empty table gives an empty result. Equal texts are one node from the start and links form no list of all
-    pairs, so a class of any size costs in proportion to its rows.
+    ignored, whatever their names; an empty table gives an empty result. Texts of any length are read whole. Equal texts
+    are one node from the start and links form no list of all pairs, so a class of any size costs in proportion to its
+    rows.
     """
-    found = links(docs, text_col, **options)
-    rows = docs.select(F.col(id_col).alias("id"), _node(F.coalesce(F.col(text_col), F.lit(""))).alias("node"))
-    rows = R.cut(rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("node").alias("node"))
-    sizes = rows.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("class_size"))
-    sizes = R.cut(sizes)  # on its own, so that the join below can split a root that many rows share
-    equal = rows.groupBy("root", "id", "node").agg(F.count(F.lit(1)).alias("copies"))
-    out = equal.join(sizes, "root").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    first = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node")) & (F.col("copy") == 1)
-    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("class_id"), "class_size", first.alias("is_kept"), "node")
+    with R.Scratch(docs.sparkSession) as scratch:
+        found = links(docs, scratch, text_col, **options)
+        rows = docs.select(F.col(id_col).alias("id"), _node(F.coalesce(F.col(text_col), F.lit(""))).alias("node"))
+        equal = rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("copies")).join(found, "node", "left")
+        equal = scratch.stored(equal.withColumn("root", F.coalesce("root", "node")), "rows")
+        order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("node").alias("node"))
+        sizes = equal.groupBy("root").agg(F.min(order).alias("best"), F.sum("copies").alias("class_size"))
+        sizes = scratch.stored(sizes, "classes")  # on its own, so that the join below can split a root that many rows share
+        out = equal.join(sizes, "root").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        first = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node")) & (F.col("copy") == 1)
+        return R.stored(out.select(F.col("id").alias(id_col), F.col("best.id").alias("class_id"), "class_size", first.alias("is_kept"), "node"), "near-classes")

@@ -61,7 +61,7 @@ def features(block: V.Block) -> tuple[np.ndarray, np.ndarray]:
         for level, share in enumerate(shares):
             ok = count > share * size[d]
             out.append((d[ok] << LOG2) | (V.mix(k[ok] * V.U(16) + V.U(kind * 4 + level)) >> V.U(64 - LOG2)).astype(np.int64))
-    pairs = np.unique(np.concatenate(out))
+    pairs = V.distinct(np.concatenate(out))
     return pairs >> LOG2, pairs & ((1 << LOG2) - 1)
 
 
