@@ -28,7 +28,7 @@ from tallyforge.llm import _vec as V
 LENGTH = 400
 GRAM = 49
 DEPTHS = (32, 8, 1)
-POSITION_BITS = 28
+POSITION_BITS = 32  # an Arrow string ends before
 
 
 def _runs(block: V.Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -85,7 +85,7 @@ def _node_keys(length: int, size: int):
         fields = nodes.flatten()
         edge = nodes.offsets.to_numpy().astype(np.int64)
         edge = edge - edge[0]
-        p, a, low, high, done = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        p, a, low, high, done, gram = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(6))
         for lo, hi, block in V.blocks(batch.column(1)):
             some = slice(edge[lo], edge[hi])
             row = np.repeat(np.arange(hi - lo), np.diff(edge[lo : hi + 1]))
@@ -97,58 +97,62 @@ def _node_keys(length: int, size: int):
             w = np.flatnonzero(whole)
             cover[w] = block.hashes((base + q - node)[w] - size + 1, (base + q - node)[w] + length) + tag[w]
             yield R.record(
-                key=batch.column(0).slice(lo, hi - lo).take(pa.array(row)), p=q, a=node, low=low[some], high=high[some], done=done[some],
+                key=batch.column(0).slice(lo, hi - lo).take(pa.array(row)), gram=gram[some], p=q, a=node, low=low[some], high=high[some], done=done[some],
                 core=V.signed(core), cover=pa.array(V.signed(cover), mask=~whole),
             )
 
     return emit
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
-    """(key, start, stop): byte ranges of (key, text) rows, which may overlap, under windows that occur elsewhere too."""
-    spark = docs.sparkSession
-    runs = R.stored(R.map_arrow(docs.select("key", "text"), _anchors(length, gram), "key long, s0 long, s1 long, p long, gram long, run long"), "anchors")
-    repeated = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p", "s0")).alias("witness")).where("n > 1")
-    repeated = R.stored(repeated, "repeated")  # on its own, so that the join below can split a run that many documents share
-    known = R.stored(runs.join(repeated, "run", "left"), "runs")
+def repeated_spans(docs: DataFrame, scratch: R.Scratch, length: int = LENGTH, gram: int = GRAM, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """(key, start, stop): byte ranges of (key, text) rows, which may overlap, under windows that occur elsewhere too.
+
+    Strings are equal where their 64-bit hashes and those of their anchors' q-grams are."""
+    runs = scratch.stored(R.map_arrow(docs.select("key", "text"), _anchors(length, gram), "key long, s0 long, s1 long, p long, gram long, run long"), "anchors")
+    repeated = runs.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p", "s0")).alias("witness")).where("n > 1")
+    repeated = scratch.stored(repeated, "repeated")  # on its own, so that the join below can split a run that many documents share
+    known = scratch.stored(runs.join(repeated, ["gram", "run"], "left"), "runs")
+    scratch.drop(repeated)
     spans = [known.where("n is not null").select("key", F.col("s0").alias("start"), (F.col("s1") + length).alias("stop"))]
     buckets = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     open_ = known.where("n is null").join(buckets, "gram", "left_semi")
-    open_ = R.cut(open_.select("gram", "key", "p", "s0", "s1"))
+    open_ = scratch.stored(open_.select("gram", "key", "p", "s0", "s1"), "open")
+    scratch.drop(runs)
     is_witness = (F.col("witness.key") == F.col("key")) & (F.col("witness.p") == F.col("p")) & (F.col("witness.s0") == F.col("s0"))
     witness = known.where(F.col("n").isNotNull() & is_witness).select("gram", "key", "p", "s0", "s1").distinct()
     witness = witness.join(open_.select("gram").distinct(), "gram", "left_semi")
     active = open_.withColumn("done", F.lit(False)).unionByName(witness.withColumn("done", F.lit(True)))
-    active = active.select("key", "p", (F.col("p") - F.col("s1")).alias("low"), (F.col("p") - F.col("s0")).alias("high"), "done")
+    active = active.select("gram", "key", "p", (F.col("p") - F.col("s1")).alias("low"), (F.col("p") - F.col("s0")).alias("high"), "done")
     size = depths[0]
     first = (F.col("low") - F.col("low") % size).cast("long")
     active = active.withColumn("a", F.explode(F.sequence(first, F.col("high"), F.lit(size).cast("long"))))
     for depth, size in enumerate(depths):
-        active = R.stored(active.select("key", "p", "a", "low", "high", "done"), f"nodes-{size}")
-        bits = spark.sparkContext.broadcast(R.hash_bits(active, "key"))
+        active = scratch.stored(active.select("key", "gram", "p", "a", "low", "high", "done"), f"nodes-{size}")
+        bits = scratch.bits(active, "key")
 
         def involved(batch: pa.RecordBatch, bits=bits) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(R.has_bit(bits.value, batch.column(0).to_numpy().view(np.uint64))))
 
         texts = R.map_arrow(docs.select("key", "text"), involved, "key long, text string")
-        nodes = active.groupBy("key").agg(F.collect_list(F.struct("p", "a", "low", "high", "done")).alias("nodes"))
-        keyed = R.stored(R.map_arrow(texts.join(nodes, "key").select("key", "text", "nodes"), _node_keys(length, size), "key long, p long, a long, low long, high long, done boolean, core long, cover long"), f"keys-{size}")
-        covers = keyed.where("cover is not null").groupBy("cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p")).alias("witness")).where("n > 1")
-        covers = R.cut(covers)
-        found = keyed.join(covers, "cover", "left")
-        found = R.stored(found, f"found-{size}") if depth + 1 < len(depths) else found
+        nodes = active.groupBy("key").agg(F.collect_list(F.struct("p", "a", "low", "high", "done", "gram")).alias("nodes"))
+        keyed = scratch.stored(R.map_arrow(texts.join(nodes, "key").select("key", "text", "nodes"), _node_keys(length, size), "key long, gram long, p long, a long, low long, high long, done boolean, core long, cover long"), f"keys-{size}")
+        scratch.drop(active)
+        covers = keyed.where("cover is not null").groupBy("gram", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p")).alias("witness")).where("n > 1")
+        covers = scratch.stored(covers, f"covers-{size}")
+        found = scratch.stored(keyed.join(covers, ["gram", "cover"], "left"), f"found-{size}")
+        scratch.drop(keyed, covers)
         hit = found.where("n is not null and not done")
         spans.append(hit.select("key", (F.col("p") - F.col("a") - size + 1).alias("start"), (F.col("p") - F.col("a") + length).alias("stop")))
         if depth + 1 == len(depths):
             break
         left = F.col("n").isNull() & ~F.col("done")
-        alive = found.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.sum(left.cast("int")).alias("left")).where("m > 1 and left > 0").select("core")
-        alive = R.cut(alive)
+        alive = found.groupBy("gram", "core").agg(F.count(F.lit(1)).alias("m"), F.sum(left.cast("int")).alias("left")).where("m > 1 and left > 0").select("gram", "core")
+        alive = scratch.stored(alive, f"alive-{size}")
         stays = left | F.when(F.col("n").isNull(), F.col("done")).otherwise((F.col("witness.key") == F.col("key")) & (F.col("witness.p") == F.col("p")))
-        after = found.join(alive, "core", "left_semi").where(stays).select("key", "p", "low", "high", (~left).alias("done"), "a").distinct()
+        after = found.join(alive, ["gram", "core"], "left_semi").where(stays).select("gram", "key", "p", "low", "high", (~left).alias("done"), "a").distinct()
         step = depths[depth + 1]
         child = F.explode(F.sequence(F.col("a"), F.col("a") + size - 1, F.lit(step).cast("long")))
-        active = after.select("key", "p", "low", "high", "done", child.alias("a")).where((F.col("a") + step > F.col("low")) & (F.col("a") <= F.col("high")))
+        active = after.select("gram", "key", "p", "low", "high", "done", child.alias("a")).where((F.col("a") + step > F.col("low")) & (F.col("a") <= F.col("high")))
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
@@ -172,12 +176,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored; an empty table gives an empty result. Equal runs are counted by pre-aggregation and one witness stands for
     them afterwards, so copies of any number cost in proportion to their rows.
     """
-    spark = docs.sparkSession
+    with R.Scratch(docs.sparkSession) as scratch:
+        return R.stored(_removed(docs, scratch, id_col, text_col, length, with_text), "repeats")
+
+
+def _removed(docs: DataFrame, scratch: R.Scratch, id_col: str, text_col: str, length: int, with_text: bool) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), R.doc_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gram = max(1, min(GRAM, length // 2))
-    spans = R.stored(repeated_spans(rows, length, gram), "spans")
-    bits = spark.sparkContext.broadcast(R.hash_bits(spans, "key"))
+    spans = scratch.stored(repeated_spans(rows, scratch, length, gram), "spans")
+    bits = scratch.bits(spans, "key")
     extra = ", kept binary" if with_text else ""
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}"
 
@@ -189,13 +197,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return R.map_arrow(rows, choose, f"id {kind}, key long, text string")
 
     def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        spans = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
         found, data = [], batch.column(2).cast(pa.binary())
-        for i, some in enumerate(spans):
+        edge = np.zeros(batch.num_rows + 1, np.int64)
+        if batch.num_columns > 3:
+            spans = batch.column(3).fill_null([])
+            edge[1:] = np.cumsum(np.diff(spans.offsets.to_numpy()))
+            first, last = (spans.flatten().field(i).to_numpy() for i in (0, 1))
+        for i in range(batch.num_rows):
             text = data[i].as_py()
             starts = stops = np.zeros(0, np.int64)
-            if some:
-                starts, stops = _merged(np.array([s["start"] for s in some]), np.array([s["stop"] for s in some]))
+            if edge[i] < edge[i + 1]:
+                starts, stops = _merged(first[edge[i] : edge[i + 1]], last[edge[i] : edge[i + 1]])
             kept = b"".join(text[a:b] for a, b in zip([0, *stops], [*starts, len(text)], strict=True))
             found.append((len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
         columns = list(zip(*found, strict=True)) or [[]] * (4 + with_text)
