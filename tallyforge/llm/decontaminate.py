@@ -1,9 +1,9 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame operations only.
 
-Training postings (term, document, position) are kept for the rarest term of each test window; their offset-adjusted
-positions give the only places where a window can begin, and the words there tell exact phrases and near ones apart.
-Rarity is counted over all training text.  The windows are broadcast only while their number is under a limit; beyond
-it the same postings are joined by a shuffle.
+Training postings (term, document, position) are made for the rarest terms of each test window; their offset-adjusted
+positions give the only places where a window can begin, and the words there and around tell exact phrases and
+proximity matches.  Rarity is counted over all training text.  The windows are broadcast only while their number is
+under a limit; beyond it the same postings are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import _run as R
 
-#: Fixed value: what a word is made of, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between words, after A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BROADCAST_TERMS = 500_000
 NEVER = ""  # no word is empty: it marks the row that stands for a document itself
 
 
 def words(text: Column) -> Column:
-    """Words of a whole text; none for null. Pure ASCII text takes the cheap lower()."""
+    """Words of a whole text; none for null. Pure ASCII text takes the cheap lower(); splitting costs a fifteenth of
+    extracting, and leaves an empty piece at either end at most."""
     ascii_only = F.octet_length(text) == F.length(text)
     lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(lowered, BETWEEN), NEVER), F.array().cast("array<string>"))
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -55,49 +57,68 @@ def _anchors(docs: DataFrame, grams: DataFrame, text_col: str, small: bool, anch
     return rated.select(F.col("rarest.term").alias("term"), place.alias("place"))
 
 
-def postings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, small: bool, size: int = WINDOW) -> DataFrame:
-    """Offset-adjusted postings: (id, key, n_words or null, start, place) with a row of null place for each document.
+def postings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, small: bool, size: int = WINDOW, slack: int = 0, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """Offset-adjusted postings: (id, key, n_words, start, place, found, around) and a row of null place for each document.
 
-    A document's own row carries its number of words, so that no second pass over the texts is needed."""
-    spread = docs.select(F.col(id_col).alias("id"), R.doc_key(id_col, text_col).alias("key"), F.concat(words(F.col(text_col)), F.array(F.lit(NEVER))).alias("w"))
-    tokens = spread.select("id", "key", "w", F.posexplode("w").alias("pos", "term"))
+    ``found`` are the words where the window would be, ``around`` those and ``slack`` more on either side. Only a
+    document's own row has its number of words. While the windows are few they are sent to every task and looked up
+    where the text is. Beyond that a posting carries its neighbourhood to its term's task; while the terms are few, only
+    postings of terms that are sought leave the text, and the documents' own rows never do.
+    """
+    reach = size - 1 + slack
+    spread = docs.select(F.col(id_col).alias("id"), R.doc_key(id_col, text_col).alias("key"), words(F.col(text_col)).alias("w"))
     if small:
+        # a document's own row rides along, so that no second pass over the texts is needed
+        tokens = spread.select("id", "key", F.concat("w", F.array(F.lit(NEVER))).alias("w")).select("id", "key", "w", F.posexplode("w").alias("pos", "term"))
         grouped = places.groupBy("term").agg(F.collect_list("place").alias("places"))
         met = tokens.join(F.broadcast(grouped), "term", "left").where(F.col("places").isNotNull() | (F.col("term") == NEVER))
-        met = met.select("id", "key", "w", "pos", F.explode_outer("places").alias("place"))
+        met = met.select("id", "key", "w", "pos", F.explode_outer("places").alias("place"), F.lit(0).alias("from"), (F.size("w") - 1).alias("last"))
+        own = None
     else:
-        # beyond the broadcast limit a posting carries its neighbourhood, not its document
-        near = F.slice("w", F.greatest(F.col("pos") + 2 - size, F.lit(1)), 2 * size - 1)
-        narrow = tokens.select("id", "key", "pos", "term", F.when(F.col("term") != NEVER, near).alias("w"), F.least(F.col("pos"), F.lit(size - 1)).alias("back"))
-        met = narrow.join(places, "term", "left").where(F.col("place").isNotNull() | (F.col("term") == NEVER))
-    start = F.col("pos") - F.col("place.offset")
-    at = start if small else F.col("back") - F.col("place.offset")
-    fits = (start >= 0) & (at >= 0) & (at + F.col("place.length") <= F.size("w") - (1 if small else 0))
-    found = F.when(fits, F.slice("w", at + 1, F.col("place.length")))
-    own = F.col("place").isNull()
-    return met.select("id", "key", F.when(own, F.col("pos")).alias("n_words"), F.when(~own, start).alias("start"), "place", found.alias("found"))
-
-
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, near_share: float = 1.0, near_anchors: int = 3, broadcast_windows: int = 200_000) -> DataFrame:
+        tokens = spread.select("id", "key", "w", F.posexplode("w").alias("pos", "term"))
+        terms = places.select("term").distinct()
+        if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
+            tokens = tokens.join(F.broadcast(terms), "term", "left_semi")
+        first = F.greatest(F.col("pos") - reach, F.lit(0))
+        narrow = tokens.select("id", "key", "pos", "term", F.slice("w", first + 1, 2 * reach + 1).alias("w"), first.alias("from"))
+        met = narrow.join(places, "term").select("id", "key", "w", "pos", "place", "from", (F.col("from") + F.size("w")).alias("last"))
+        own = spread.select("id", "key", F.size("w").alias("n_words"))
+    start, length = F.col("pos") - F.col("place.offset"), F.col("place.length")
+    at = start - F.col("from")
+    found = F.when((start >= 0) & (start + length <= F.col("last")), F.slice("w", at + 1, length))
+    low = F.greatest(at - slack, F.lit(0))
+    around = F.slice("w", low + 1, F.greatest(F.least(at + length + slack, F.col("last") - F.col("from")) - low, F.lit(0))) if slack else found
+    is_own = F.col("place").isNull()
+    out = met.select("id", "key", F.when(is_own, F.col("pos")).alias("n_words"), F.when(~is_own, start).alias("start"), "place", found.alias("found"), around.alias("around"))
+    if own is None:
+        return out
+    return out.unionByName(own, allowMissingColumns=True)
+
+
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, near_share: float = 1.0, near_anchors: int = 3, near_slack: int = 2, broadcast_windows: int = 200_000, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(id, key, n_words, start, length, items, kind): one row for each match, and one with ``kind`` null for each document.
 
-    ``kind`` is ``exact`` where all words of the window stand at their offsets, else ``near`` where at least
-    ``near_share`` of them do, one of the ``near_anchors`` rarest among them; the default asks for exact ones alone.
+    ``kind`` is ``exact`` where all words of the window stand at their offsets. It is ``near`` where at least
+    ``near_share`` of the window's distinct words stand in the place of the window or up to ``near_slack`` words beside
+    it, in any order, one of the window's ``near_anchors`` rarest at its offset; so words may be changed, left out or put
+    in. The default asks for exact ones alone. Null and empty texts have no match, null ids are ids like others, repeated
+    rows have their matches each, other columns are ignored, and an empty table of either kind gives no match.
     """
     grams = R.cut(windows(items, item_col, item_text, size))
     small = grams.count() <= broadcast_windows
-    places = R.cut(_anchors(docs, grams, text_col, small, 1 if near_share >= 1 else near_anchors))
-    met = postings(docs, places, id_col, text_col, small, size)
-    exact = F.col("found") == F.col("place.window")
+    exact_only = near_share >= 1
+    places = R.cut(_anchors(docs, grams, text_col, small, 1 if exact_only else near_anchors))
+    met = postings(docs, places, id_col, text_col, small, size, 0 if exact_only else near_slack, broadcast_terms)
+    exact = F.coalesce(F.col("found") == F.col("place.window"), F.lit(False))
     keep = exact
-    if near_share < 1:
-        same = F.size(F.filter(F.zip_with("found", "place.window", lambda a, b: a == b), lambda x: x))
-        keep = exact | (same >= F.ceil(F.col("place.length") * near_share))
+    if not exact_only:
+        wanted = F.size(F.array_distinct("place.window"))
+        keep = exact | (F.size(F.array_intersect("place.window", "around")) >= F.ceil(wanted * near_share))
     met = met.where(F.col("n_words").isNotNull() | keep)
     kind = F.when(F.col("n_words").isNull(), F.when(exact, "exact").otherwise("near"))
     out = met.select("id", "key", "n_words", "start", F.col("place.length").alias("length"), F.col("place.items").alias("items"), kind.alias("kind"))
     # several anchors of a window meet in one place; rows of documents have no kind and are all kept
-    return out if near_share >= 1 else out.where("kind is null").unionByName(out.where("kind is not null").distinct())
+    return out if exact_only else out.where("kind is null").unionByName(out.where("kind is not null").distinct())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
