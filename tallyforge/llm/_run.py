@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import re
 import tempfile
@@ -12,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,7 @@ class Scratch:
         self._broadcasts: list = []
 
     def __enter__(self) -> Scratch:
+        tidy(self.spark)
         return self
 
     def __exit__(self, *failure) -> None:
@@ -118,10 +121,21 @@ class Scratch:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files, broadcasts and plans that nothing refers to any more; it learns of them when
-    the driver collects its garbage."""
+    """Let Spark drop the shuffle files, broadcasts and plans that nothing refers to any more, of which it learns when the
+    driver collects its garbage, and give the C library's free memory back to the system, where the JVM can: the
+    hundreds of threads that run stages leave it in pieces."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # other C libraries have no such command
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given = [bean, "systemTrimNativeHeap", None, None]
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        values = gateway.new_array(jvm.Object, len(given))
+        for i, value in enumerate(given):
+            values[i] = value
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -206,8 +206,6 @@ def rewrite(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_
         few = F.broadcast(again) if again.count() <= FEW_KEYS else again
         keyed = keyed.join(few, key, "left_anti").unionByName(keyed.join(few, key, "left_semi").dropDuplicates([key]))
     joined = keyed.join(cut_, key, "left")
-    lines = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    text = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
     out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(text))
     return out.where(F.col(gone).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -57,9 +57,9 @@ def _weighted(block: V.Block, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 @functools.cache
 def _draws(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values of r and of ln c to draw from."""
+    """Values of r and of ln c to draw from. Single precision: samples only shape the bands."""
     rng = np.random.default_rng(seed)
-    return rng.gamma(2, 1, 1 << LOG2_DRAWS), np.log(rng.gamma(2, 1, 1 << LOG2_DRAWS))
+    return rng.gamma(2, 1, 1 << LOG2_DRAWS).astype(np.float32), np.log(rng.gamma(2, 1, 1 << LOG2_DRAWS)).astype(np.float32)
 
 
 def signatures(block: V.Block, idf: np.ndarray, samples: int, seed: int = 29) -> tuple[np.ndarray, np.ndarray]:
@@ -69,18 +69,34 @@ def signatures(block: V.Block, idf: np.ndarray, samples: int, seed: int = 29) ->
     out = np.zeros((len(some), samples), np.uint32)
     if len(some):
         first = np.searchsorted(doc, some)
-        ln_w = np.log(weight)
+        ln_w = np.log(weight).astype(np.float32)
         r_of, ln_c_of = _draws(seed)
+        once_over_r = 1 / r_of
         lo, hi = ln_c_of.min() - r_of.max() - 24, ln_c_of.max()  # 24: above ln of the weight of any text
-        scale, few = ((1 << 24) - 1) / (hi - lo), V.U((1 << LOG2_DRAWS) - 1)
-        turn = np.random.default_rng(seed).integers(0, 2**64, samples, dtype=np.uint64)
+        scale, few = np.float32(((1 << 24) - 2) / (hi - lo)), np.uint32((1 << LOG2_DRAWS) - 1)
+        turn = np.random.default_rng(seed).integers(0, 2**64, samples, dtype=np.uint64) | V.U(1)
+        mixed = V.mix(key)
         for j in range(samples):
-            x = V.mix(key + turn[j])
-            r, ln_c = r_of[x >> V.U(64 - LOG2_DRAWS)], ln_c_of[(x >> V.U(32)) & few]
-            beta = ((x >> V.U(16)) & few) * (1 / (1 << LOG2_DRAWS))
-            ln_a = ln_c - r * (np.floor(ln_w / r + beta) - beta + 1)
-            order = ((ln_a - lo) * scale).astype(np.uint32) << np.uint32(8)
-            out[:, j] = np.minimum.reduceat(order | (x & V.U(0xFF)).astype(np.uint32), first)
+            x = mixed * turn[j]
+            x ^= x >> V.U(32)
+            x = x * V.U(0x9FB21C651E98DF25)
+            pick, rest = (x >> V.U(64 - LOG2_DRAWS)).astype(np.intp), (x >> V.U(16)).astype(np.uint32)
+            beta = (rest & few).astype(np.float32)
+            beta *= np.float32(1 / (1 << LOG2_DRAWS))
+            t = ln_w * once_over_r[pick]
+            t += beta
+            np.floor(t, out=t)
+            t -= beta
+            t += np.float32(1)
+            t *= r_of[pick]
+            ln_a = ln_c_of[rest >> np.uint32(16)]
+            ln_a -= t
+            ln_a -= lo
+            ln_a *= scale
+            order = ln_a.astype(np.uint32)
+            order <<= np.uint32(8)
+            order |= (rest >> np.uint32(8)) & np.uint32(0xFF)
+            out[:, j] = np.minimum.reduceat(order, first)
     return some, out
 
 
