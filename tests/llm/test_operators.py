@@ -114,17 +114,19 @@ def test_running_sum_over_a_hot_key(spark):
     assert out.before.tolist() == list(range(300))
 
 
-def brute_links(docs, idf, limit=0.8):
+def brute_links(docs, limit=0.8):
+    """Links by the operator's definition, with words, weights and similarities of its own."""
     rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
-    sets = {}
-    for lo, hi, block in _vec.blocks(pa.array([t for _, t in rows])):
-        for d, k, w in zip(*near_duplicates._weighted(block, idf)):
-            sets.setdefault(rows[lo + d][0], {})[int(k)] = w
-    links, by_text = [], {}
-    for i, t in rows:
+    words = [WORD.findall(t) for _, t in rows]
+    held = collections.Counter(w for ws in words for w in set(ws))
+    idf = {w: 1 + np.log((len(rows) + 1) / (n + 1)) / np.log(len(rows) + 2) for w, n in held.items()}
+    links, by_text, sets = [], {}, {}
+    for (i, t), ws in zip(rows, words):
         if t in by_text:
             links.append((i, by_text[t]))
         by_text.setdefault(t, i)
+        count = collections.Counter(tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4)) if ws)
+        sets[i] = {g: c * sum(idf[w] for w in g) / len(g) for g, c in count.items()}
     holders = collections.defaultdict(list)
     for i, s in sets.items():
         for k in s:
@@ -139,7 +141,7 @@ def brute_links(docs, idf, limit=0.8):
 def test_near_duplicates_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = near_duplicates.classes(docs).toPandas()
-    links, ids = brute_links(docs, near_duplicates.document_frequencies(docs))
+    links, ids = brute_links(docs)
     assert {frozenset(g) for g in out.groupby("class_id").doc_id.apply(set)} == groups(links, ids)
     assert out.groupby("class_id").is_kept.sum().eq(1).all()
 
@@ -154,7 +156,7 @@ def test_near_duplicates_of_a_drifting_crowd(spark):
             words[j] = f"new{i}_{j}"
         texts.append(" ".join(words))
     docs = frame(spark, texts)
-    links, ids = brute_links(docs, near_duplicates.document_frequencies(docs))
+    links, ids = brute_links(docs)
     out = near_duplicates.classes(docs).toPandas()
     assert {frozenset(g) for g in out.groupby("class_id").doc_id.apply(set)} == groups(links, ids)
 
@@ -171,16 +173,24 @@ def crowd(rng, n, planted, template, own, same):
     return [out[i] for i in rng.permutation(n)]
 
 
-def test_near_duplicates_in_a_crowd_of_unlinked_texts(spark):
+@pytest.mark.parametrize("most", [256, 40])
+def test_near_duplicates_in_a_crowd_of_unlinked_texts(spark, most):
     docs = frame(spark, [" ".join(w) for w in crowd(np.random.default_rng(5), 400, 60, 500, 40, 10)])
-    links, ids = brute_links(docs, near_duplicates.document_frequencies(docs))
-    out = near_duplicates.classes(docs).toPandas()
+    links, ids = brute_links(docs)
+    out = near_duplicates.classes(docs, most=most).toPandas()
     got = {frozenset(g) for g in out.groupby("class_id").doc_id.apply(set)}
     want = groups(links, ids)
     assert sum(len(g) == 2 for g in want) == 60
     assert got == want, f"{len(got & want)} of {len(want)} classes"
 
 
+def test_near_duplicates_of_one_word_over_and_over(spark):
+    spam = "spam " * 1500
+    docs = frame(spark, [spam + " ".join(f"o{i}x{j}" for j in range(45)) for i in range(2)] + ["spam " * 40])
+    out = near_duplicates.classes(docs).toPandas()
+    assert {frozenset(g) for g in out.groupby("class_id").doc_id.apply(set)} == {frozenset([0, 1]), frozenset([2])}
+
+
 @pytest.mark.parametrize("alike, times, other", [(100, 100, 1000), (4000, 1, 8)])
 def test_near_duplicates_with_repeated_passages(alike, times, other):
     """Once the shared passage is repeated, once what differs: the samples agree as often as the weights do."""
@@ -194,7 +204,11 @@ def test_near_duplicates_with_repeated_passages(alike, times, other):
     block = next(_vec.blocks(pa.array(texts), size=1 << 24))[2]
     _, signed = near_duplicates.signatures(block, idf, near_duplicates.BANDS * near_duplicates.ROWS)
     est = (signed[0::2] == signed[1::2]).mean()
-    true = near_duplicates.weighted_jaccard(block, idf).mean()
+    sets = collections.defaultdict(dict)
+    for d, k, w in zip(*near_duplicates._weighted(block, idf)):
+        sets[d][int(k)] = w
+    low = [sum(min(w, sets[d + 1].get(k, 0)) for k, w in sets[d].items()) for d in range(0, 24, 2)]
+    true = np.mean([x / (sum(sets[2 * i].values()) + sum(sets[2 * i + 1].values()) - x) for i, x in enumerate(low)])
     assert 0.79 < true < 0.85 and abs(est - true) < 0.05, f"estimate {est:.3f} of {true:.3f}"
 
 
@@ -206,7 +220,8 @@ def test_near_duplicates_odd(spark, odd):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
-    out = _similar.components(spark.createDataFrame(edges, "a bigint, b bigint")).toPandas()
+    with R.Scratch(spark) as scratch:
+        out = _similar.components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch).toPandas()
     assert set(out.root) == {0, 100} and len(out) == 41 + 60
 
 
@@ -287,36 +302,70 @@ def test_line_dedup_in_a_crowd_of_unlinked_lines(spark):
     assert got == {k: sorted(v) for k, v in want.items()}, f"{sum(map(len, got.values()))} of 60 lines"
 
 
+@pytest.mark.parametrize("partitions, most", [(1, 1000), (4, 1000), (12, 60)])
+def test_line_dedup_of_variants_whatever_the_partitions(spark, monkeypatch, partitions, most):
+    rng = np.random.default_rng(3)
+    base, lines = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 100)), []
+    for _ in range(300):
+        x = list(base)
+        for _ in range(rng.integers(1, 4)):
+            x[rng.integers(0, 100)] = str(rng.choice(list("0123456789")))
+        lines.append("".join(x))
+    texts = ["\n".join(lines[i : i + 10]) for i in range(0, 300, 10)]
+    want = {k: sorted(v) for k, v in brute_lines(texts).items()}
+    linked = _similar.linked
+    monkeypatch.setattr(_similar, "linked", lambda *given: linked(*given, most=most))
+    got = {r.doc_id: r.removed for r in line_dedup.decide(frame(spark, texts).repartition(partitions)).collect() if r.removed}
+    lost = sum(map(len, want.values())) - sum(map(len, got.values()))
+    assert 0 <= lost <= 2, lost  # bands of a pair at the threshold fail to meet in 5 of 1000 cases
+
+
+def test_lines_of_few_shingles_and_copies_of_documents(spark):
+    texts = ["-" * 8 + "\n" + "-" * 9 + "\n" + "-" * 10, "one line", "one line"]
+    docs = frame(spark, texts, [1, 2, 2])
+    out = line_dedup.decide(docs)
+    assert sorted((r.doc_id, r.removed) for r in out.collect()) == [(1, [1, 2]), (2, []), (2, [0])]
+    left = line_dedup.rewrite(docs, out).collect()
+    assert sorted(r.text for r in left) == ["-" * 8, "one line"]
+
+
+def test_rewriting_lines_keeps_clashing_columns(spark):
+    docs = frame(spark, ["a long line that two documents have\nown", "a long line that two documents have\nother"]).withColumn("removed_", F.lit("mine"))
+    left = line_dedup.rewrite(docs, line_dedup.decide(docs))
+    assert left.columns == docs.columns
+    assert {(r.text, r.key, r.id, r.removed, r.key_, r.removed_) for r in left.collect()} == {("a long line that two documents have\nown", 1, "x", "y", "z", "mine"), ("other", 1, "x", "y", "z", "mine")}
+
+
+def test_a_line_longer_than_a_block(spark):
+    long = "".join(np.random.default_rng(1).choice(list("abcdefgh "), 1_300_000))
+    docs = frame(spark, [long + "\nend of one", long[:-40] + "x" * 40 + "\nend of two"])
+    assert sorted((r.doc_id, r.removed) for r in line_dedup.decide(docs).collect()) == [(0, []), (1, [0])]
+
+
 def test_line_dedup_odd(spark, odd):
     out = line_dedup.decide(odd)
     assert out.count() == odd.count() and line_dedup.decide(odd.limit(0)).count() == 0
     assert line_dedup.rewrite(odd, out).columns == odd.columns
 
 
-def test_crowded_bands_are_thinned_without_loss():
-    band, node = line_dedup._thin(np.array([5] * 20 + [6], np.uint64), np.arange(21, dtype=np.uint64))
-    linked = collections.defaultdict(set)
-    for b, n in zip(band.tolist(), node.tolist()):
-        linked[b].add(n)
-    assert groups([(min(g), x) for g in linked.values() for x in g], range(21)) == {frozenset(range(20)), frozenset([20])}
-
-
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_decontamination_with_and_without_broadcast(spark, limit):
+@pytest.mark.parametrize("limits", [(200_000, 500_000), (0, 500_000), (0, 0)])
+def test_decontamination_with_and_without_broadcast(spark, limits):
     item = " ".join(f"Item{i}" for i in range(20))
     texts = ["x " + item + " y", "nothing here", " ".join(item.split()[2:15]), " ".join(item.split()[2:14]), "tiny Pair, tiny pair", None, ""]
     items = spark.createDataFrame([(1, item), (2, "tiny pair"), (3, None), (4, "...")], "item_id bigint, text string")
-    out = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(frame(spark, texts), items, broadcast_windows=limit).collect()}
+    out = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(frame(spark, texts), items, broadcast_windows=limits[0], broadcast_terms=limits[1]).collect()}
     assert out == {0: (22, 20, 1, True), 1: (2, 0, 0, False), 2: (13, 13, 1, True), 3: (12, 0, 0, False), 4: (4, 4, 1, True), 5: (0, 0, 0, False), 6: (0, 0, 0, False)}
 
 
-def test_near_matches(spark):
+@pytest.mark.parametrize("limits", [(200_000, 500_000), (0, 500_000), (0, 0)])
+def test_near_matches(spark, limits):
     words = [f"t{i}" for i in range(13)]
-    changed = [*words[:5], "other", *words[6:]]
+    changed, less, more = [*words[:5], "other", *words[6:]], [*words[:6], *words[7:]], [*words[:6], "new", *words[6:]]
     items = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
-    docs = frame(spark, [" ".join(words), " ".join(changed)])
-    got = decontaminate.matches(docs, items, near_share=0.9).where("kind is not null").select("id", "kind").collect()
-    assert {(r.id, r.kind) for r in got} == {(0, "exact"), (1, "near")}
+    docs = frame(spark, [" ".join(["before", *w, "after"]) for w in (words, changed, less, more, words[:7])])
+    got = decontaminate.matches(docs, items, near_share=0.9, broadcast_windows=limits[0], broadcast_terms=limits[1]).where("kind is not null").select("id", "kind").distinct().collect()
+    assert {(r.id, r.kind) for r in got if r.kind == "exact"} == {(0, "exact")}
+    assert {r.id for r in got} == {0, 1, 2, 3}
 
 
 def test_decontamination_odd(spark, odd):
@@ -360,6 +409,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/none", warc.write(pages.limit(0), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_warc_beyond_the_broadcast_limit_and_with_ids_far_apart(spark, tmp_path, monkeypatch):
+    rows = [(i * i * 10**12 - 5 * 10**17, f"http://host/{i}", f"page {i % 40} " * 60) for i in range(120)] + [(2**62, "u", "same"), (-(2**62), "u", "same")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    manifests = []
+    for limit in (warc.FEW_GROUPS, -1):
+        monkeypatch.setattr(warc, "FEW_GROUPS", limit)
+        folder = f"file://{tmp_path}/w{limit}"
+        manifests.append(warc.write(pages, folder, shard_bytes=6000, roll_bytes=2000))
+    assert [m["sha256"] for m in manifests[0]] == [m["sha256"] for m in manifests[1]]
+    assert len({m["shard"] for m in manifests[0]}) > 5
+    monkeypatch.setattr(warc, "FEW_FILES", 0)
+    got = warc.read(spark, folder, manifests[1]).toPandas()
+    assert sorted(got.page_id) == sorted(r[0] for r in rows) and (got.record_type == "response").sum() == 41
+
+
 def test_warc_small_payloads_stay_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id bigint, url string, html string")
     folder = f"file://{tmp_path}/w"
