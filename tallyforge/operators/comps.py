@@ -70,18 +70,26 @@ def kernel(dist: Column, scale: float = 0.85, power: float = 0.85) -> Column:
     return F.pow(F.exp(-scale * F.greatest(dist, F.lit(0.0))), F.lit(power))
 
 
-def nearest(targets: DataFrame, pool: DataFrame, target_id: str, pool_id: str, bucket: str, distance: Column, k: int = 100, prefix: tuple[str, str] = ("t_", "c_")) -> DataFrame:
+def nearest(targets: DataFrame, pool: DataFrame, target_id: str, pool_id: str, bucket: str, distance: Column, k: int = 100, prefix: tuple[str, str] = ("t_", "c_"), but_itself: bool = False, block: int = 5000) -> DataFrame:
     """The k nearest of the pool by distance within the target's bucket, or of all where the bucket holds
     fewer than k; with ``weight`` summing to one and ``sim_pct``. Both cases are equi-joins on a scope that the target
-    names, so a bucket is never paired with another."""
+    names, so a bucket is never paired with another. Every distance of a scope is looked at, in blocks of the pool of
+    about ``block`` rows: a task meets one block, keeps the k nearest of it for each target, and the best of these are
+    the answer, so no bucket of any size meets in one task and only k rows a block and target are moved on."""
     t, c = prefix
     size = pool.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    scope = targets.join(F.broadcast(size), bucket, "left").withColumn("_scope", F.when(F.coalesce("_n", F.lit(0)) < k, "*").otherwise(F.col(bucket).cast("string"))).drop("_n")
-    wide = pool.withColumn("_scope", F.explode(F.array(F.lit("*"), F.col(bucket).cast("string"))))
+    every = max(1, -(-pool.count() // block))
+    scope = targets.join(F.broadcast(size), bucket, "left").withColumn("_scope", F.when(F.coalesce("_n", F.lit(0)) < k, "*").otherwise(F.col(bucket).cast("string")))
+    blocks = F.when(F.col("_scope") == "*", F.lit(every)).otherwise(F.ceil(F.col("_n") / block)).cast("int")
+    scope = scope.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_n")
+    wide = pool.join(F.broadcast(size), bucket, "left").withColumn("_scope", F.explode(F.array(F.lit("*"), F.col(bucket).cast("string"))))
+    wide = wide.withColumn("_block", F.pmod(F.xxhash64(pool_id), F.when(F.col("_scope") == "*", F.lit(every)).otherwise(F.ceil(F.col("_n") / block))).cast("int")).drop("_n")
     left = scope.withColumnsRenamed({x: f"{t}{x}" for x in targets.columns})
     right = wide.withColumnsRenamed({x: f"{c}{x}" for x in pool.columns})
-    pairs = left.join(right, "_scope").withColumn("dist", distance)
-    best = ranks.top_k(pairs, [f"{t}{target_id}"], [F.col("dist"), F.col(f"{c}{pool_id}")], k, "neighbour")
+    pairs = left.join(right, ["_scope", "_block"]).withColumn("dist", distance)
+    pairs = pairs.where(F.col(f"{t}{target_id}") != F.col(f"{c}{pool_id}")) if but_itself else pairs
+    few = ranks.top_k(pairs, [f"{t}{target_id}", "_block"], [F.col("dist"), F.col(f"{c}{pool_id}")], k, "_place").drop("_place", "_block")
+    best = ranks.top_k(few, [f"{t}{target_id}"], [F.col("dist"), F.col(f"{c}{pool_id}")], k, "neighbour")
     best = ranks.share_of_total(best.withColumn("_kernel", kernel(F.col("dist"))), [f"{t}{target_id}"], "_kernel", "weight")
     far = F.max("dist").over(Window.partitionBy(f"{t}{target_id}"))
     sim = F.when(far > 0, F.round(100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("dist") / F.nullif(far, F.lit(0.0)))), 1)).otherwise(100.0)

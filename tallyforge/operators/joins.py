@@ -55,16 +55,18 @@ def fill_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 
 def outer_facts(facts: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """Several fact tables, full outer, null-safe, their columns marked by name. One grouped union: no chain of
-    outer joins, one shuffle, and a key that repeats within a table is an error of the caller's as in any outer join."""
+    outer joins, one shuffle. A key that repeats within a table is an error, raised when the first fact is read."""
     parts = []
     names = [f"{c}_{name}" for name, df in facts.items() for c in df.columns if c not in keys]
     for name, df in facts.items():
         own = {c: f"{c}_{name}" for c in df.columns if c not in keys}
-        parts.append(df.withColumnsRenamed(own))
+        parts.append(df.withColumnsRenamed(own).withColumn("_fact", F.lit(name)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out.groupBy(*keys).agg(*[F.max(n).alias(n) for n in names])
+    once = F.greatest(*[F.count(F.when(F.col("_fact") == name, 1)) for name in facts], F.lit(0)) <= 1
+    first = F.when(once, F.max(names[0])).otherwise(F.raise_error(F.lit(f"a key of {', '.join(keys)} repeats within a table")))
+    return out.groupBy(*keys).agg(first.alias(names[0]), *[F.max(n).alias(n) for n in names[1:]])
 
 
 def tolerant_date_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_date: str, right_date: str, row: Sequence[str], tol: int = 1, order: Sequence[Column] = ()) -> DataFrame:
@@ -106,11 +108,39 @@ def attribute_points_to_intervals(intervals: DataFrame, points: DataFrame, keys:
     return out.fillna(0, ["value_for", "value_against", "n_for", "n_against"])
 
 
+def _merged(intervals: DataFrame, keys: Sequence[str], start: str, stop: str, who: str) -> DataFrame:
+    """Each owner's intervals as disjoint ones (keys, start, stop)."""
+    w = Window.partitionBy(*keys, who).orderBy(start, stop)
+    before = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = intervals.where(F.col(start) < F.col(stop)).withColumn("_new", (before.isNull() | (F.col(start) > before)).cast("int"))
+    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, who, "_island").agg(F.min(start).alias("_start"), F.max(stop).alias("_stop"))
+
+
 def active_counts_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str], row: Sequence[str], at: str, start: str, stop: str, who: str, flag: Column | None = None, bin_size: float | None = None) -> DataFrame:
-    """For each point the number of distinct owners of intervals that cover it, and whether the flag holds for one."""
-    inside = points_in_intervals(points, intervals, keys, at, start, stop, bin_size=bin_size)
-    marks = inside.groupBy(*row).agg(F.count_distinct(who).alias("n_active"), F.bool_or(flag if flag is not None else F.lit(False)).alias("any_flag"))
-    return points.join(marks, list(row), "left").fillna({"n_active": 0, "any_flag": False})
+    """For each point the number of distinct owners of intervals that cover it, and whether the flag holds for one.
+
+    Owners' intervals are merged; the count is then the starts up to the point less the stops up to it: running sums, so
+    points and intervals are never paired. With ``bin_size`` the sums run within bins of the axis, to which the totals of
+    the bins before are added, so that a long key is no single task."""
+    def changes(rows: DataFrame, name: str) -> DataFrame:
+        ends = F.inline(F.array(F.struct(F.col("_start").alias("_at"), F.lit(1).alias(name)), F.struct(F.col("_stop").alias("_at"), F.lit(-1).alias(name))))
+        return _merged(rows, keys, start, stop, who).select(*keys, ends)
+
+    moves = changes(intervals, "_n")
+    moves = moves.unionByName(changes(intervals.where(flag), "_flagged"), allowMissingColumns=True) if flag is not None else moves.withColumn("_flagged", F.lit(0))
+    moves = moves.groupBy(*keys, "_at").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.coalesce(F.sum("_flagged"), F.lit(0)).alias("_flagged"))
+    place = lambda c: F.floor(F.col(c) / bin_size).cast("long") if bin_size else F.lit(0).cast("long")
+    kind = points.select(F.struct(*points.columns).alias("_row")).schema["_row"].dataType
+    asked = points.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_flagged"), F.struct(*points.columns).alias("_row"), place(at).alias("_bin"))
+    both = asked.unionByName(moves.withColumn("_side", F.lit(0)).withColumn("_row", F.lit(None).cast(kind)).withColumn("_bin", place("_at")))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = both.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n0"), F.sum("_flagged").alias("_f0"))
+    totals = totals.select(*keys, "_bin", F.coalesce(F.sum("_n0").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_f0").over(before), F.lit(0)).alias("_f0"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = both.withColumns({"_n": F.sum("_n").over(inside), "_flagged": F.sum("_flagged").over(inside)}).where("_side = 1")
+    out = null_safe(run, totals, [*keys, "_bin"], "left")
+    return out.select("_row.*", (F.col("_n") + F.col("_n0")).alias("n_active"), (F.col("_flagged") + F.col("_f0") > 0).alias("any_flag"))
 
 
 def active_set_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str], row: Sequence[str], at: str, start: str, stop: str, who: str, bin_size: float | None = None) -> DataFrame:
@@ -131,6 +161,19 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
     return carried.select("_row.*", *[F.col(f"_last.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
+def keep_unless(df: DataFrame, column: str, excluded: object) -> DataFrame:
+    """rows whose value is not the excluded one; null is not it, and stays."""
+    return df.where(~F.col(column).eqNullSafe(F.lit(excluded)))
+
+
+def both_sides(df: DataFrame, sides: Mapping[str, str], other: str = "opponent", own: str = "team", mark: str = "home_or_away") -> DataFrame:
+    """A row with two teams as two rows, one seen from each. ``sides`` names the side of each team's column."""
+    a, b = sides
+    rest = [c for c in df.columns if c not in sides]
+    view = lambda x, y: F.struct(F.col(x).alias(own), F.col(y).alias(other), F.lit(sides[x]).alias(mark))
+    return df.select(*rest, F.inline(F.array(view(a, b), view(b, a))))
+
+
 def drop_baseline(df: DataFrame, keys: Sequence[str], detail: str) -> DataFrame:
     """Rows without detail fall away where their key has a row with it."""
     some = F.max(F.col(detail).isNotNull()).over(Window.partitionBy(*keys))

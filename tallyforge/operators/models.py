@@ -92,13 +92,15 @@ def gram(long: DataFrame, row: Sequence[str], feature: str, value: str, weight:
 
 
 class Normal:
-    """Normal equations of ridge with a free intercept, from summed Grams."""
+    """Normal equations of ridge with a free intercept, from summed Grams: a whole matrix, or its cells by (i, j)."""
 
-    def __init__(self, sums: dict[tuple[int, int], float], features: int):
+    def __init__(self, sums: dict[tuple[int, int], float] | np.ndarray, features: int):
         self.p = features
-        g = np.zeros((features + 2, features + 2))
-        for (i, j), s in sums.items():
-            g[i + 2, j + 2] = g[j + 2, i + 2] = s
+        g = sums
+        if isinstance(sums, dict):
+            g = np.zeros((features + 2, features + 2))
+            for (i, j), s in sums.items():
+                g[i + 2, j + 2] = g[j + 2, i + 2] = s
         self.w, self.wy, self.wyy = g[0, 0], g[0, 1], g[1, 1]
         self.wx, self.xy, self.xx = g[0, 2:], g[1, 2:], g[2:, 2:]
 
@@ -119,19 +121,21 @@ def ridge_cv(long: DataFrame, row: Sequence[str], feature: str, value: str, weig
     """Losses by penalty over folds, the best (the first of equal ones, Q15), its fit on all rows, and a paired
     t-test of fold losses against no penalty. One aggregation serves every penalty and fold."""
     features = (long.agg(F.max(feature)).first()[0] or 0) + 1
-    got = gram(long, row, feature, value, weight, target, fold, features).collect()
-    by_fold: dict[int, dict] = {}
-    total: dict[tuple[int, int], float] = {}
-    for f, i, j, s in got:
-        by_fold.setdefault(f, {})[(i, j)] = s
-        total[(i, j)] = total.get((i, j), 0.0) + s
+    # the driver holds a dense matrix of features squared for each fold, filled from columns
+    f, i, j, s = (c.to_numpy() for c in gram(long, row, feature, value, weight, target, fold, features).toArrow().columns)
+    by_fold: dict[int, np.ndarray] = {}
+    for k in sorted(set(f.tolist())):
+        on, g = f == k, np.zeros((features + 2, features + 2))
+        g[i[on] + 2, j[on] + 2] = g[j[on] + 2, i[on] + 2] = s[on]
+        by_fold[k] = g
+    total = sum(by_fold.values(), np.zeros((features + 2, features + 2)))
     losses = {a: [] for a in grid}
     for sums in by_fold.values():
-        rest = Normal({k: v - sums.get(k, 0.0) for k, v in total.items()}, features)
+        rest = Normal(total - sums, features)
         held = Normal(sums, features)
         for a in grid:
             losses[a].append(held.loss(*rest.solve(a)))
-    weight_of = {f: s.get((-2, -2), 0.0) for f, s in by_fold.items()}
+    weight_of = {k: g[0, 0] for k, g in by_fold.items()}
     mean = {a: float(np.average(v, weights=list(weight_of.values()))) for a, v in losses.items()}
     best = min(grid, key=lambda a: (mean[a], list(grid).index(a)))
     beta, intercept = Normal(total, features).solve(best)

@@ -18,6 +18,12 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return rank_first(df, keys, order, "_rank").where("_rank = 1").drop("_rank")
 
 
+def dedupe_by(df: DataFrame, parts: Sequence[Column], order: Sequence[Column]) -> DataFrame:
+    """One row for each composite key, the first in the order. Parts are compared as text, nulls as empty."""
+    key = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return keep_first(df.withColumn("_key", key), ["_key"], order).drop("_key")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """O3: the first k rows of each key."""
     return rank_first(df, keys, order, out).where(F.col(out) <= k)

@@ -37,6 +37,11 @@ def weighted_mean_strict(value: str, weight: str, eps: float = 1e-9) -> Column:
     return F.when(F.count(value) == F.count(F.lit(1)), F.sum(F.col(value) * w) / F.sum(w))
 
 
+def is_finite(c: Column) -> Column:
+    """a number that is neither null, NaN nor infinite."""
+    return F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(F.coalesce(c.cast("double"), F.lit(0.0)))
+
+
 def within_quantiles(df: DataFrame, keys: Sequence[str], value: str, low: float | None, high: float | None) -> DataFrame:
     """with a flag ``inside`` for rows within the inclusive quantile band of their key. Exact quantiles, aggregated
     and joined back."""
@@ -51,7 +56,7 @@ def within_quantiles(df: DataFrame, keys: Sequence[str], value: str, low: float
 def weighted_trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str, drop_low: float = 0.0, drop_high: float = 0.0, out: str = "trimmed", default: float | None = None) -> DataFrame:
     """Weighted mean within the unweighted quantile band, bounds included; over all values where the band has no
     weight; else the default. Only finite values with a positive weight count."""
-    ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.col(weight) > 0))
+    ok = df.where(is_finite(F.col(value)) & (F.col(weight) > 0))
     band = within_quantiles(ok, keys, value, drop_low or None, (1 - drop_high) if drop_high else None)
     w, v = F.col(weight), F.col(value)
     inner, whole = F.sum(F.when(F.col("inside"), w)), F.sum(w)
@@ -178,6 +183,12 @@ def exact_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("pair")).where(F.size("pair") == 2)
 
 
+def list_scalars(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """One row with the number of values and the quantiles of each column, exact and in one aggregation."""
+    picks = [F.percentile(c, q).alias(f"{c}_p{round(100 * q)}") for c in columns for q in quantiles]
+    return df.agg(*[F.count(c).alias(f"{c}_n") for c in columns], *picks)
+
+
 def minutes_by_member(df: DataFrame, members: str, amount: str, out: str = "total") -> DataFrame:
     """An amount summed for each member of a list column."""
     return df.select(F.explode(members).alias("member"), amount).groupBy("member").agg(F.sum(amount).alias(out))
