@@ -35,6 +35,21 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gpl2-redistribute": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-redistribute": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-redistribute": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl2-head": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl2-copy-2": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "cc0-warranty": "This software is distributed without any warranty.",
+    "unlicense-head": "This is free and unencumbered software released into the public domain.",
+    "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-notice": "Distributed under the Boost Software License, Version 1.0.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 
@@ -48,6 +63,20 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl-redistribute",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("GPL-2.0-or-later", ("gpl2-redistribute",)),
+    ("LGPL-2.1-or-later", ("lgpl21-redistribute",)),
+    ("LGPL-3.0-or-later", ("lgpl3-redistribute",)),
+    ("AGPL-3.0-or-later", ("agpl3-redistribute",)),
+    ("MPL-2.0", ("mpl2-head", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-head", "mpl2-copy-2")),
+    ("MPL-2.0", ("mpl2-head",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("CC0-1.0", ("cc0-dedicated", "cc0-warranty")),
+    ("CC0-1.0", ("cc0-dedicated",)),
+    ("Unlicense", ("unlicense-head", "unlicense-grant")),
+    ("Unlicense", ("unlicense-head",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("bsl-notice",)),
     ("ISC", ("isc-grant",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-notice-2",)),
@@ -58,13 +87,18 @@ RULES = (
     ("CC-BY-4.0", ("ccby-notice",)),
     ("CC-BY-SA-4.0", ("ccbysa-notice",)),
 )
-GAP = 3  # sentences without an identifier that may stand between two of a rule
+#: Every licence is also known by the one-line tag that names it.
+_TAGS = {f"tag-{licence}": f"SPDX-License-Identifier: {licence}" for licence in dict.fromkeys(licence for licence, _ in RULES)}
+SENTENCES |= _TAGS
+RULES += tuple((name.removeprefix("tag-"), (name,)) for name in _TAGS)
+
+GAP = 9  # pieces of text, sentences or lines, without an identifier that may stand between two of a rule
 
 _END = re.compile(r"(?<=[.!?:;])\s+|\n")
 _PUNCT = re.compile(r"[^a-z0-9]+")
 _LIST_MARK = re.compile(r"^\s*(?:\(?(?:\d{1,2}|[A-Za-z])[.)]|[*+-])\s+")
 #: A text in which none of these occurs cannot hold a known sentence.
-_MARK = re.compile(r"licen|permi|warrant|redistribut|liab", re.IGNORECASE)
+_MARK = re.compile(r"licen|permi|warrant|redistribut|liab|unencumbered|public domain|anyone is free|mozilla", re.IGNORECASE)
 
 
 def normalise(sentence: str) -> str:
@@ -80,8 +114,9 @@ for _name, _text in SENTENCES.items():
     _KNOWN.setdefault(tuple(_whole.split()[:2]), []).append((_whole, _name))
 
 
-def identify(text: str) -> list[tuple[int, str]]:
-    """(segment number, identifier) of the known sentences of a text, in order; sentences may be wrapped over lines."""
+def identify(text: str) -> list[tuple[int, int, str]]:
+    """(first segment, last segment + 1, identifier) of the known sentences of a text, in order; a segment is a sentence or
+    a line of one, so sentences may be wrapped."""
     if not _MARK.search(text):
         return []
     segments = [s for s in map(normalise, _END.split(text)) if s]
@@ -95,31 +130,40 @@ def identify(text: str) -> list[tuple[int, str]]:
             while len(joined) < len(whole) and to < len(segments) and whole.startswith(joined + " "):
                 joined, to = f"{joined} {segments[to]}", to + 1
             if joined == whole:
-                found.append((i, name))
+                found.append((i, to, name))
                 step = to - i
                 break
         i += step
     return found
 
 
-def match(found: list[tuple[int, str]], rules=RULES, gap: int = GAP) -> list[tuple[str, int]]:
-    """(licence, number of its first segment): at each place the first rule whose identifiers follow in order, no further apart than the gap."""
-    out, i = [], 0
-    while i < len(found):
+def match(found: list[tuple[int, int, str]], rules=RULES, gap: int = GAP) -> list[tuple[str, int]]:
+    """(licence, number of its first segment): at each sentence that no licence has yet, the first rule whose sentences
+    follow in order, with no more than ``gap`` unknown segments between two of them.
+
+    Sentences of other licences may stand in between; they do not count, and are left for their own rules."""
+    out, free, unknown, known = [], [True] * len(found), [], 0
+    for first, stop, _ in found:
+        unknown.append(first - known)  # unknown segments before this sentence
+        known += stop - first
+    for i in range(len(found)):
+        if not free[i]:
+            continue
         for licence, wanted in rules:
-            k, at = i, []
+            at: list[int] = []
             for want in wanted:
-                while k < len(found) and found[k][1] != want and at:
+                k = at[-1] + 1 if at else i
+                last = len(found) if at else i + 1
+                while k < last and not (free[k] and found[k][2] == want) and (not at or unknown[k] - unknown[at[-1]] <= gap):
                     k += 1
-                if k >= len(found) or found[k][1] != want or (at and found[k][0] - found[at[-1]][0] > 6 + gap):
+                if k >= last or found[k][2] != want or (at and unknown[k] - unknown[at[-1]] > gap):
                     break
                 at.append(k)
-                k += 1
             if len(at) == len(wanted):
                 out.append((licence, found[i][0]))
-                i = at[-1]
+                for k in at:
+                    free[k] = False
                 break
-        i += 1
     return out
 
 
@@ -136,7 +180,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         names, rules = [], []
         for text in batch.column(1):
             found = identify(text.as_py() or "")
-            names.append([name for _, name in found])
+            names.append([name for _, _, name in found])
             rules.append([licence for licence, _ in match(found)])
         yield R.record(
             id=batch.column(0), sentences=pa.array(names, pa.list_(pa.string())), matches=pa.array(rules, pa.list_(pa.string())),

@@ -257,6 +257,63 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_licences_that_stand_among_each_other(spark):
+    say = licenses.SENTENCES
+    mixed = "\n".join(say[k] for k in ("mit-grant", "apache-notice", "mit-keep", "mit-as-is"))
+    narrow = re.sub(r"(.{35}\S*) ", r"\1\n", " ".join(say[k] for k in ("mit-grant", "mit-keep", "mit-as-is", "mit-liability")))
+    far = say["mpl2-head"] + "\n" + "Some line.\n" * 12 + say["mpl2-copy"]
+    tags = "# SPDX-License-Identifier: LGPL-2.1-or-later\n" + say["gpl2-redistribute"] + " " + say["unlicense-head"]
+    got = {r.doc_id: sorted(r.matches) for r in licenses.scan(frame(spark, [mixed, narrow, far, tags])).collect()}
+    assert got == {0: ["Apache-2.0", "MIT"], 1: ["MIT"], 2: ["MPL-2.0"], 3: ["GPL-2.0-or-later", "LGPL-2.1-or-later", "Unlicense"]}
+
+
+def test_licence_sentences_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = {licenses.normalise(text): name for name, text in licenses.SENTENCES.items()}
+    got = {r.doc_id: r.sentences for r in licenses.scan(docs).collect()}
+    seen = 0
+    for r in docs.select("doc_id", "text").collect():
+        pieces = [p for p in map(licenses.normalise, re.split(r"(?<=[.!?:;])\s+|\n", r.text or "")) if p]
+        want, i = [], 0
+        while i < len(pieces):
+            hit = next((j for j in range(i + 1, min(i + 40, len(pieces)) + 1) if " ".join(pieces[i:j]) in known), None)
+            if hit:
+                want.append(known[" ".join(pieces[i:hit])])
+            i = hit or i + 1
+        seen += len(want)
+        assert got[r.doc_id] == want
+    assert seen > 20
+
+
+def test_quality_model_on_labels_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels, "doc_id", "left_semi")
+    out = quality_model.classify(docs, labels.where("doc_id % 3 <> 0")).join(labels.toDF("doc_id", "is_good", "is_toxic"), "doc_id").where("doc_id % 3 = 0").toPandas()
+    good = (out.is_good == 1) & (out.is_toxic == 0)
+    assert (out.kept == good).mean() > 0.95
+    assert (~out.kept[out.is_toxic == 1]).mean() > 0.8  # recall of toxic documents
+
+
+def test_language_scores_against_plain_sums(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    out = {r.doc_id: r for r in language.identify(docs, model=model).collect()}
+    for r in docs.limit(20).collect():
+        data = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (r.text or "").lower().encode())
+        total, n = np.zeros(len(model.languages)), 0
+        for k in language.ORDERS:
+            for i in range(len(data) - k + 1):
+                if data[i : i + k].strip(b" "):
+                    x = k * 0x9E3779B1 & 0xFFFFFFFF
+                    for b in data[i : i + k]:
+                        x = (x ^ b) * 0x01000193 & 0xFFFFFFFF
+                    x = (x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                    total, n = total + model.table[x >> 32 - language.LOG2_BUCKETS], n + 1
+        if n:
+            z = np.exp((total / n - (total / n).max()) / model.temperature)
+            assert out[r.doc_id].lang_pred == model.languages[int(z.argmax())] and abs(out[r.doc_id].score - (z / z.sum()).max()) < 1e-3
+
+
 def brute_lines(texts):
     lines = [(i, j, line) for i, t in enumerate(texts) for j, line in enumerate((t or "").split("\n")) if WORD.search(line)]
     unique = list(dict.fromkeys(line for _, _, line in lines))
