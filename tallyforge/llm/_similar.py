@@ -21,6 +21,7 @@ from tallyforge.llm import _vec as V
 
 MOST, MOST_BYTES = 1000, 2 << 20
 SKETCH_BITS = 4096
+TASK_EDGES = 1 << 20  # links of 16 bytes that a task joins at once
 
 #: What a function that finds elements returns: first element of each thing and the end, elements (52 bits, ascending and
 #: distinct within a thing), their weights or None where each weighs 1.
@@ -207,15 +208,48 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").count() == 0
 
 
-def components(edges: DataFrame, scratch: R.Scratch, most_rounds: int = 40) -> DataFrame:
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node to the least of its component, of one task's links; the least nodes have none."""
+    nodes, end = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = end[: len(u)], end[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _contracted(edges: DataFrame, parts: int, most_edges: int) -> DataFrame:
+    """Stars in place of the links of each of ``parts`` tasks, which join the same nodes. A link goes to a task by both its
+    ends, so a node with any number of links is spread, and a link that occurs twice comes together."""
+
+    def joined(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        u, v = _stars(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield R.record(u=u, v=v)
+
+    return R.map_chunks(edges.select("u", "v").repartition(parts, "u", "v"), joined, "u long, v long", 2 * most_edges)
+
+
+def components(edges: DataFrame, scratch: R.Scratch, most_rounds: int = 40, most_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root): the least node of each connected component of (a, b) edges, for every node that has an edge.
 
-    Alternates large-star and small-star until every edge leads to a centre; each round is stored in the shared folder,
-    and the driver sees one number a round. Minima are pre-aggregated, so a node with any number of links is no hot spot.
+    Each round deals the links to tasks of some ``most_edges``, which put stars in their place, and then, unless one task
+    had all of them, runs a large-star and a small-star until every edge leads to a centre. Each round is stored in the
+    shared folder, and the driver sees two numbers a round. Minima are pre-aggregated, so a node with any number of links
+    is no hot spot.
     """
-    edges = scratch.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     for _ in range(most_rounds):
-        if _are_stars(edges):
+        parts = edges.count() // most_edges + 1
+        after = scratch.stored(_contracted(edges, parts, most_edges), "edges")
+        scratch.drop(edges)
+        edges = after
+        if parts == 1 or _are_stars(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

@@ -225,6 +225,34 @@ def test_components_of_chains_and_stars(spark):
     assert set(out.root) == {0, 100} and len(out) == 41 + 60
 
 
+@pytest.mark.parametrize("most_edges", [16, 1 << 20])
+def test_components_against_brute_force(spark, most_edges):
+    rng = np.random.default_rng(most_edges)
+    hot = [(0, -i) for i in range(1, 200)]  # a node with most of the links, the greatest of its component
+    path = [(1000 + i, 1001 + i) for i in rng.permutation(150).tolist()]
+    loose = rng.integers(5000, 5300, (150, 2)).tolist()
+    edges = [*hot, *path, *hot[:50], *map(tuple, loose), (9000, 9000)]
+    edges = [edges[i] for i in rng.permutation(len(edges))]
+    with R.Scratch(spark) as scratch:
+        made = spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)
+        out = _similar.components(made, scratch, most_edges=most_edges).toPandas()
+    nodes = sorted({x for a, b in edges if a != b for x in (a, b)})
+    root = {x: x for x in nodes}
+    for _ in nodes:
+        before = dict(root)
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert sorted(zip(out["node"], out["root"])) == sorted(root.items())
+
+
+def test_components_of_nothing(spark):
+    with R.Scratch(spark) as scratch:
+        assert _similar.components(spark.createDataFrame([], "a bigint, b bigint"), scratch).count() == 0
+
+
 def test_quality_model_finds_what_it_was_shown(spark):
     rng = np.random.default_rng(6)
     texts, labels = [], []
