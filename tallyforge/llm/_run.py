@@ -150,24 +150,6 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
     return df.mapInArrow(run, schema)
 
 
-def map_chunks(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, rows: int) -> DataFrame:
-    """mapInArrow over a partition's batches put together, ``rows`` and at most one batch more at a time."""
-    ship(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= rows:
-                yield from function(_one(pa.Table.from_batches(held)))
-                held, n = [], 0
-        if n:
-            yield from function(_one(pa.Table.from_batches(held)))
-
-    return df.mapInArrow(run, schema)
-
-
 def record(**columns) -> pa.RecordBatch:
     """A batch from numpy arrays, lists or arrow arrays."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))

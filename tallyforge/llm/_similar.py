@@ -224,29 +224,31 @@ def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _contracted(edges: DataFrame, parts: int, most_edges: int) -> DataFrame:
-    """Stars in place of the links of each of ``parts`` tasks, which join the same nodes. A link goes to a task by both its
-    ends, so a node with any number of links is spread, and a link that occurs twice comes together."""
+def _contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """Stars in place of the links of each of ``parts`` parts, which join the same nodes. A link's part is a hash of both
+    its ends, so a node with any number of links is spread, and a link that occurs twice comes together. A part is a
+    group, so that what is joined does not depend on how many partitions the session makes."""
 
     def joined(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         u, v = _stars(batch.column(0).to_numpy(), batch.column(1).to_numpy())
         yield R.record(u=u, v=v)
 
-    return R.map_chunks(edges.select("u", "v").repartition(parts, "u", "v"), joined, "u long, v long", 2 * most_edges)
+    dealt = edges.select("u", "v", F.pmod(F.xxhash64("u", "v"), F.lit(parts).cast("long")).alias("part"))
+    return R.map_groups(dealt, "part", joined, "u long, v long")
 
 
 def components(edges: DataFrame, scratch: R.Scratch, most_rounds: int = 40, most_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root): the least node of each connected component of (a, b) edges, for every node that has an edge.
 
-    Each round deals the links to tasks of some ``most_edges``, which put stars in their place, and then, unless one task
-    had all of them, runs a large-star and a small-star until every edge leads to a centre. Each round is stored in the
+    Each round deals the links to parts of some ``most_edges``, puts stars in their place, and then, unless one part had
+    all of them, runs a large-star and a small-star until every edge leads to a centre. Each round is stored in the
     shared folder, and the driver sees two numbers a round. Minima are pre-aggregated, so a node with any number of links
     is no hot spot.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     for _ in range(most_rounds):
         parts = edges.count() // most_edges + 1
-        after = scratch.stored(_contracted(edges, parts, most_edges), "edges")
+        after = scratch.stored(_contracted(edges, parts), "edges")
         scratch.drop(edges)
         edges = after
         if parts == 1 or _are_stars(edges):
