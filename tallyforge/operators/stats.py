@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators import joins
 from tallyforge.schema import numeric_columns
 
 
@@ -42,12 +43,48 @@ def is_finite(c: Column) -> Column:
     return F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(F.coalesce(c.cast("double"), F.lit(0.0)))
 
 
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], accuracy: int = 2_000) -> DataFrame:
+    """Exact interpolated quantiles by key (keys, q, quantile), as ``percentile`` gives them, for keys of any size.
+
+    ``percentile`` holds every value of a key in one task. Here values are counted first, by key and value; a sketch
+    proposes a narrow band around each quantile, exact counts below and in it tell where the ranks are, and only
+    the values there are sorted. A poor sketch widens that part and never changes the result. Null values do not count;
+    null keys are a key."""
+    k = [f"_k{i}" for i in range(len(keys))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(value).cast("double").alias("_v"))
+    counted = rows.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    margin = 2 / accuracy
+    ends = [F.lit(min(max(q + d, 0.0), 1.0)) for q in at for d in (-margin, margin)]
+    edges = rows.groupBy(*k).agg(F.percentile_approx("_v", F.array(*ends), accuracy).alias("_e"))
+    band = [F.struct(F.lit(float(q)).alias("q"), F.get("_e", F.lit(2 * i)).alias("lo"), F.get("_e", F.lit(2 * i + 1)).alias("hi")) for i, q in enumerate(at)]
+    placed = joins.null_safe(counted, edges, k) if k else counted.crossJoin(F.broadcast(edges))
+    placed = placed.select(*k, "_v", "_n", F.inline(F.array(*band)))
+    placed = placed.withColumn("_part", F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") <= F.col("hi"), 1).otherwise(2))
+    size = lambda p: F.coalesce(F.sum(F.when(F.col("_part") == p, F.col("_n"))), F.lit(0))
+    ranks = placed.groupBy(*k, "q").agg(size(0).alias("_n0"), size(1).alias("_n1"), F.sum("_n").alias("_all")).withColumn("_h", (F.col("_all") - 1) * F.col("q"))
+    part = lambda r: F.when(r < F.col("_n0"), 0).when(r < F.col("_n0") + F.col("_n1"), 1).otherwise(2)
+    ranks = ranks.withColumns({"_a": part(F.floor("_h")), "_b": part(F.ceil("_h"))})
+    ranks = ranks.withColumn("_before", F.when(F.col("_a") == 0, 0).when(F.col("_a") == 1, F.col("_n0")).otherwise(F.col("_n0") + F.col("_n1")))
+    near = joins.null_safe(placed.select(*k, "q", "_v", "_n", "_part"), ranks.select(*k, "q", "_h", "_a", "_b", "_before"), [*k, "q"])
+    run = Window.partitionBy(*k, "q").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.where(F.col("_part").between(F.col("_a"), F.col("_b"))).withColumn("_upto", F.sum("_n").over(run) + F.col("_before"))
+    value_at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
+    found = near.groupBy(*k, "q").agg(F.first("_h").alias("_h"), value_at(F.floor("_h")).alias("_x"), value_at(F.ceil("_h")).alias("_y"))
+    between = (F.ceil("_h") - F.col("_h")) * F.col("_x") + (F.col("_h") - F.floor("_h")) * F.col("_y")
+    quantile = F.when(F.col("_x") == F.col("_y"), F.col("_x")).otherwise(F.when(F.ceil("_h") == F.floor("_h"), F.col("_x")).otherwise(between))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keys, k, strict=True)], "q", quantile.alias("quantile"))
+
+
 def within_quantiles(df: DataFrame, keys: Sequence[str], value: str, low: float | None, high: float | None) -> DataFrame:
     """with a flag ``inside`` for rows within the inclusive quantile band of their key. Exact quantiles, aggregated
     and joined back."""
-    edges = df.groupBy(*keys).agg(*[F.percentile(value, q).alias(n) for n, q in (("_lo", low), ("_hi", high)) if q is not None])
-    out = df.join(edges, list(keys), "left") if keys else df.crossJoin(F.broadcast(edges))
+    bounds = [(n, q) for n, q in (("_lo", low), ("_hi", high)) if q is not None]
     inside = F.col(value).isNotNull()
+    if not bounds:
+        return df.withColumn("inside", inside)
+    of = lambda q: F.max(F.when(F.col("q") == float(q), F.col("quantile")))
+    edges = quantiles(df, keys, value, [q for _, q in bounds]).groupBy(*keys).agg(*[of(q).alias(n) for n, q in bounds])
+    out = df.join(edges, list(keys), "left") if keys else df.crossJoin(F.broadcast(edges))
     inside = inside & (F.col(value) >= F.col("_lo")) if low is not None else inside
     inside = inside & (F.col(value) <= F.col("_hi")) if high is not None else inside
     return out.withColumn("inside", inside).drop("_lo", "_hi")

@@ -32,13 +32,14 @@ def min_salary_of(year: Column, table: Mapping[str, int] = fixed.MIN_SALARY) ->
 
 
 def locf(df: DataFrame, table: DataFrame, at: str, table_at: str, value: str, growth: float = 0.0) -> DataFrame:
-    """J20, J21 over any table: the latest value at or before, grown by compounding; before the first, the first."""
-    known = table.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col(table_at).alias("t"), F.col(value).alias("v")))).alias("_known"))
-    rows = df.crossJoin(F.broadcast(known))
-    before = F.filter("_known", lambda x: x["t"] <= F.col(at))
-    last, first = F.try_element_at(before, F.lit(-1)), F.get(F.col("_known"), F.lit(0))
-    grown = last["v"] * F.pow(F.lit(1 + growth), F.col(at) - last["t"])
-    return rows.withColumn(value, F.coalesce(grown, first["v"].cast("double"))).drop("_known")
+    """J20, J21 over any table: the latest value at or before, grown by compounding; before the first, or at null, the
+    first. Each time that occurs is looked up once and joined back, so neither side is sent whole to every task."""
+    first = table.agg(F.min_by(F.col(value), F.col(table_at)).cast("double").alias("_first"))
+    known = table.select(F.col(table_at).alias("_known_at"), F.col(value).alias("_known"))
+    last = joins.as_of(df.select(F.col(at).alias("_time")).distinct(), known, [], "_time", "_known_at", ["_known_at", "_known"])
+    rows = df.join(last, df[at] == last["_time"], "left").crossJoin(F.broadcast(first))
+    grown = F.col("_known") * F.pow(F.lit(1 + growth), F.col(at) - F.col("_known_at"))
+    return rows.withColumn(value, F.coalesce(grown, F.col("_first"))).drop("_time", "_known_at", "_known", "_first")
 
 
 def replacement_levels(players: DataFrame, team: str, pos: str, toi: str, games: str, value: str, cutoff: Mapping[str, int], trim_low: float = 0.0, trim_high: float = 0.0, least_games: int = 10, least_toi: float = 100.0, seq: str = "playerId") -> DataFrame:

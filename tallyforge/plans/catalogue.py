@@ -153,12 +153,12 @@ def baseline_row_drop(spark, sf):
     return joins.drop_baseline(o, ["o_custkey"], "s")
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_custkey % 97 AS k, o_orderdate::DATE AS d FROM orders), b AS (SELECT l_orderkey, l_suppkey % 97 AS k, l_shipdate::DATE AS sd, min(l_linenumber) AS ln FROM lineitem WHERE l_quantity > 45 GROUP BY ALL),
+@query("""WITH a AS (SELECT o_orderkey, o_custkey % 97 AS k, o_orderdate::DATE AS d FROM orders), b AS (SELECT l_orderkey, l_suppkey % 97 AS k, l_shipdate::DATE AS sd, min(l_linenumber) AS ln FROM lineitem GROUP BY ALL),
 m AS (SELECT o_orderkey, l_orderkey, sd, date_diff('day', d, sd)::INT AS dist FROM a JOIN b ON a.k = b.k AND abs(date_diff('day', d, sd)) <= 1)
 SELECT o_orderkey, l_orderkey, sd::VARCHAR AS ship_date, dist AS day_offset FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(dist), dist, l_orderkey) AS r FROM m) WHERE r = 1""")
 def tolerant_date_match(spark, sf):
     a = _t(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 97).alias("k"), F.to_date("o_orderdate").alias("d"))
-    b = _t(spark, sf, "lineitem").where("l_quantity > 45").groupBy("l_orderkey", (F.col("l_suppkey") % 97).alias("k"), F.to_date("l_shipdate").alias("ship_date")).agg(F.min("l_linenumber").alias("ln"))
+    b = _t(spark, sf, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 97).alias("k"), F.to_date("l_shipdate").alias("ship_date")).agg(F.min("l_linenumber").alias("ln"))
     out = joins.tolerant_date_join(a, b, ["k"], "d", "ship_date", ["o_orderkey"], 1, [F.col("l_orderkey")])
     return out.select("o_orderkey", "l_orderkey", F.col("ship_date").cast("string").alias("ship_date"), "day_offset")
 

@@ -45,6 +45,27 @@ def test_trimmed_mean_as_numpy(spark):
     assert got == pytest.approx(np.average(v[keep], weights=w[keep]))
 
 
+@pytest.mark.parametrize("accuracy", [4, 2_000])  # a poor sketch changes nothing
+def test_quantiles_as_percentile(spark, accuracy):
+    rng = np.random.default_rng(2)
+    values = [("hot", float(x)) for x in rng.normal(size=3_000)] + [("ties", float(x)) for x in rng.integers(0, 3, 200)] + [(None, 1.0), (None, 4.0), (None, None), ("one", 7.0), ("none", None), ("ends", float("inf")), ("ends", 1.0), ("ends", 2.0)]
+    df = spark.createDataFrame(values, "g string, v double")
+    at = [0.0, 0.05, 0.5, 0.8, 1.0]
+    got = {(r.g, r.q): r.quantile for r in stats.quantiles(df, ["g"], "v", at, accuracy).collect()}
+    want = {(r.g, q): r[f"p{i}"] for r in df.groupBy("g").agg(*[F.percentile("v", q).alias(f"p{i}") for i, q in enumerate(at)]).collect() for i, q in enumerate(at) if r.g != "none"}
+    assert got == want
+    whole = stats.quantiles(df, [], "v", [0.5]).collect()
+    assert [r.quantile for r in whole] == [df.agg(F.percentile("v", 0.5)).first()[0]]
+    assert stats.quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_locf_between_before_and_at_null(spark):
+    df = spark.createDataFrame([(1, 1989), (2, 1990), (3, 1992), (4, 1996), (5, None), (6, 1992)], "id int, y int")
+    table = spark.createDataFrame([(1990, 10.0), (1995, 20.0)], "year int, cap double")
+    got = rows(value.locf(df, table, "y", "year", "cap", growth=0.5).select("id", "cap"), "id")
+    assert got == [(1, 10.0), (2, 10.0), (3, 22.5), (4, 30.0), (5, 10.0), (6, 22.5)]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([(s,) for s in ["Côté, José Jr.", "MatÃ©j Blumel", "  O’Neil–Smith  III ", None, "jr"]], "s string")
     got = [r[0] for r in df.select(text.canonical_name(F.col("s"))).collect()]
