@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import fixed
-from tallyforge.operators import ranks, stats
+from tallyforge.operators import joins, ranks, stats
 
 
 def fit_blocks(train: DataFrame, blocks: Mapping[str, Sequence[str]], euclid: Sequence[str] = ("CTX",)) -> dict[str, dict]:
@@ -134,10 +134,11 @@ def evaluate(df: DataFrame, predictions: str, term: str, actual: str) -> DataFra
 
 def errors_by_term(evaluated: DataFrame, term: str) -> DataFrame:
     """R12."""
-    return evaluated.groupBy(term).agg(F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("mae"), F.median("abs_error").alias("median_abs_error"))
+    means = evaluated.groupBy(term).agg(F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("mae"))
+    return joins.null_safe(means, stats.quantile_columns(evaluated, [term], "abs_error", {"median_abs_error": 0.5}), [term], "left")
 
 
 def baseline_by_term(history: DataFrame, targets: DataFrame, term: str, actual: str) -> DataFrame:
     """Error of the historical median of each term."""
-    medians = history.groupBy(term).agg(F.median(actual).alias("baseline"))
-    return targets.join(F.broadcast(medians), term, "left").groupBy(term).agg(F.count("baseline").alias("n"), F.avg(F.abs(F.col(actual) - F.col("baseline"))).alias("baseline_mae"))
+    medians = stats.quantile_columns(history, [term], actual, {"baseline": 0.5})
+    return targets.join(medians, term, "left").groupBy(term).agg(F.count("baseline").alias("n"), F.avg(F.abs(F.col(actual) - F.col("baseline"))).alias("baseline_mae"))

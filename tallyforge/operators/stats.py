@@ -75,6 +75,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float
     return found.select(*[F.col(n).alias(c) for c, n in zip(keys, k, strict=True)], "q", quantile.alias("quantile"))
 
 
+def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, columns: Mapping[str, float]) -> DataFrame:
+    """The exact quantiles of each key that has values, in columns by name."""
+    of = lambda q: F.max(F.when(F.col("q") == float(q), F.col("quantile")))
+    return quantiles(df, keys, value, list(columns.values())).groupBy(*keys).agg(*[of(q).alias(n) for n, q in columns.items()])
+
+
 def within_quantiles(df: DataFrame, keys: Sequence[str], value: str, low: float | None, high: float | None) -> DataFrame:
     """with a flag ``inside`` for rows within the inclusive quantile band of their key. Exact quantiles, aggregated
     and joined back."""
@@ -82,8 +88,7 @@ def within_quantiles(df: DataFrame, keys: Sequence[str], value: str, low: float
     inside = F.col(value).isNotNull()
     if not bounds:
         return df.withColumn("inside", inside)
-    of = lambda q: F.max(F.when(F.col("q") == float(q), F.col("quantile")))
-    edges = quantiles(df, keys, value, [q for _, q in bounds]).groupBy(*keys).agg(*[of(q).alias(n) for n, q in bounds])
+    edges = quantile_columns(df, keys, value, dict(bounds))
     out = df.join(edges, list(keys), "left") if keys else df.crossJoin(F.broadcast(edges))
     inside = inside & (F.col(value) >= F.col("_lo")) if low is not None else inside
     inside = inside & (F.col(value) <= F.col("_hi")) if high is not None else inside

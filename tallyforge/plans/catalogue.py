@@ -272,7 +272,7 @@ SELECT CASE WHEN grouping(o_orderstatus) = 0 THEN 'o_orderstatus' ELSE 'o_orderp
 FROM o GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))""")
 def grouping_sets_errors(spark, sf):
     o = _t(spark, sf, "orders")
-    rows = o.crossJoin(F.broadcast(o.agg(F.median("o_totalprice").alias("med")))).withColumn("e", F.abs(F.col("o_totalprice") - F.col("med")))
+    rows = o.crossJoin(F.broadcast(stats.quantile_columns(o, [], "o_totalprice", {"med": 0.5}))).withColumn("e", F.abs(F.col("o_totalprice") - F.col("med")))
     return stats.grouping_sets(rows, ["o_orderstatus", "o_orderpriority"], [F.count(F.lit(1)).alias("n"), _r(F.avg("e"), 3).alias("mae"), _r(F.median("e"), 3).alias("median_error")])
 
 
@@ -296,7 +296,9 @@ def share_flag(spark, sf):
 
 @query("SELECT o_orderpriority, round(avg(o_totalprice), 3) AS mean, round(median(o_totalprice), 3) AS median, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY o_orderpriority")
 def term_stats(spark, sf):
-    return _t(spark, sf, "orders").groupBy("o_orderpriority").agg(_r(F.avg("o_totalprice"), 3).alias("mean"), _r(F.median("o_totalprice"), 3).alias("median"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    o = _t(spark, sf, "orders")
+    ends = o.groupBy("o_orderpriority").agg(_r(F.avg("o_totalprice"), 3).alias("mean"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    return ends.join(stats.quantile_columns(o, ["o_orderpriority"], "o_totalprice", {"median": 0.5}), "o_orderpriority").withColumn("median", _r("median", 3))
 
 
 @query("""WITH r AS (SELECT year(o_orderdate) AS y, o_orderstatus AS b, (o_totalprice / 1e6) / c_acctbal AS ratio FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 AND o_totalprice > 0),
@@ -411,7 +413,7 @@ def knn_term_stats(spark, sf):
 m AS (SELECT avg(err) AS mae FROM e) SELECT term, count(*) AS n, round(avg(err), 3) AS mae, round(avg((err <= mae1)::INT), 5) AS within_1x, round(avg((err <= 2 * mae1)::INT), 5) AS within_2x FROM e, (SELECT mae AS mae1 FROM m) GROUP BY term""")
 def eval_true_term(spark, sf):
     o = _t(spark, sf, "orders").select(F.col("o_orderpriority").alias("term"), F.year("o_orderdate").alias("y"), F.col("o_totalprice").alias("actual"))
-    base = o.where("y < 1999").groupBy("term").agg(F.median("actual").alias("base"))
+    base = stats.quantile_columns(o.where("y < 1999"), ["term"], "actual", {"base": 0.5})
     e = o.where("y >= 1999").join(F.broadcast(base), "term").withColumn("err", F.abs(F.col("actual") - F.col("base")))
     rates = stats.pass_rates(e, "err", (1, 2), ["term"])
     return e.groupBy("term").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("err"), 3).alias("mae")).join(rates.drop("n"), "term").select("term", "n", "mae", _r("within_1x", 5).alias("within_1x"), _r("within_2x", 5).alias("within_2x"))
