@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.llm import _run as R
-from tallyforge.llm import decontaminate, language, licenses, line_dedup, mixing, near_duplicates, quality_model, quality_rules, substring_dedup, warc
+from tallyforge.llm import decontaminate, language, licenses, line_dedup, mixing, near_duplicates, periodic, quality_model, quality_rules, search, sharding, substring_dedup, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,42 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder, manifest).drop("target_uri")
 
 
+def cycled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the contract of operator 11 has every tenth document, by the checksum of its id, repeat a stretch of
+    its words; the others, and those of null id, keep their text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    w = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    n = F.size(w)
+    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    whole = F.concat(F.slice(w, 1, a), F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))))
+    text = F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(F.slice(whole, 1, n), " ")).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(cycled(R.load(spark, sf_dir, "documents")))
+    # the greatest exact quotient; the first of equals, as runs come by start and period
+    best = F.reduce("runs", F.element_at("runs", 1), lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x))
+    best = F.when(F.size("runs") > 0, best)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(R.load(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(R.load(spark, sf_dir, "documents"), R.load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -64,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_shard": op12_shard,
+    "op13_search": op13_search,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,4 +173,34 @@ k AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans,
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE kept || substr(h, 2 * stop + 1) END)) AS kept_sha256
 FROM d LEFT JOIN k USING (rid)""",
+    "op11_periodic_runs": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS v,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda h, b:
+    list_reduce(list_prepend(xor(h, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END + 0 * i))), 4294967295) AS h FROM documents),
+a AS (SELECT *, len(v) AS n, h % 10 = 0 AND len(v) > 0 AS turns, (h // 10) % greatest(len(v), 1) AS a, 3 + (h // 10) % 8 AS f FROM d),
+w AS (SELECT rid, doc_id, n, i, v[CASE WHEN turns AND i >= a THEN a + (i - a) % (1 + (n - a) // f) ELSE i END + 1] AS word
+      FROM (SELECT rid, doc_id, v, n, turns, a, f, unnest(range(n)) AS i FROM a)),
+g AS (SELECT rid, i, n, md5(string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) AS m FROM w),
+-- a run of 24 words and 3 periods repeats 16 words after one period; every place and period of such a repeat
+e AS (SELECT x.rid, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.rid = y.rid AND x.m = y.m AND y.i > x.i AND 3 * (y.i - x.i) <= x.n AND y.i <= y.n - 16 AND x.i <= x.n - 16),
+s AS (SELECT rid, q, min(i) AS s, max(i) - min(i) + 16 + q AS len FROM (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM e) GROUP BY rid, q, k),
+r AS (SELECT rid, s, len, min(q) AS q FROM s WHERE len >= greatest(24, 3 * q) GROUP BY rid, s, len),
+u AS (SELECT rid, count(*)::BIGINT AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs,
+        first([s, len, q, 1000 * len // q]::BIGINT[] ORDER BY len / q DESC, s, q) AS best FROM r GROUP BY rid),
+k AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = w.rid AND w.i >= r.s + r.q AND w.i < r.s + r.len) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, best[4] AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN u USING (rid) LEFT JOIN k USING (rid)""",
+    "op13_search": r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT rid, doc_id, w, len(w)::BIGINT AS n FROM t WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY rid, term),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+x AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM f, c),
+m AS (SELECT rid, doc_id, 10 + (90 * n * nn) // ll AS m FROM d, c),
+s AS (SELECT item_id, rid, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM p JOIN q USING (term) JOIN x USING (term) JOIN m USING (rid) GROUP BY item_id, rid),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score FROM s JOIN m USING (rid) WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10""",
 }
