@@ -59,9 +59,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared folder, without lineage."""
+    """The same rows, read back from the shared folder, without lineage. Spark deletes the files once no table refers to
+    them any more, unless the session says that it shall not."""
     shared_dir(df.sparkSession)
+    conf = df.sparkSession.sparkContext._jsc.sc().conf()
+    if not conf.contains(CLEAN):
+        conf.set(CLEAN, "true")
     return df.checkpoint(eager=True)
 
 

@@ -1,8 +1,11 @@
 """Linking similar things: bands, groups of bounded size in which every pair is judged, distributed union-find.
 
 Things meet where their signatures share a band.  A band of up to ``most`` things is one group; a larger one is dealt by
-hash into parts, each a group, and where its things are not all in one component afterwards, the parts meet pairwise.  A
-group goes to one task with the elements (shingles) of its things, which judges every pair by its exact similarity and
+hash into parts, each a group, and where its things are not all in one component afterwards, the parts meet pairwise.
+Where those would be many, as in a crowd of one template in which little is linked, the things of the band meet by their
+rarest elements instead: two things can only be similar if they share one of the rarest elements that make up more than
+the rest may lack (a prefix filter), which loses no pair and is short of groups where the template's elements are common.
+A group goes to one task with the elements (shingles) of its things, which judges every pair by its exact similarity and
 returns the links of a spanning forest only.  So every pair that shares a band and is similar ends up in one component,
 whatever the partitioning, and no list of pairs is ever formed.
 """
@@ -21,6 +24,8 @@ from tallyforge.llm import _vec as V
 
 MOST, MOST_BYTES = 1000, 2 << 20
 SKETCH_BITS = 4096
+CROWD = 8  # parts of a band's unlinked things beyond which they meet by their rarest elements
+LOG2_RARITY = 20  # elements are counted in so many buckets, to put rare ones first
 TASK_EDGES = 1 << 20  # links of 16 bytes that a task joins at once
 
 #: What a function that finds elements returns: first element of each thing and the end, elements (52 bits, ascending and
@@ -39,14 +44,15 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return V.mix(out)
 
 
-def meetings(signed: DataFrame, scratch: R.Scratch, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(band, node, size, parts) of the bands that hold two nodes or more; of bands with the same nodes only one.
+def meetings(signed: DataFrame, scratch: R.Scratch, most: int = MOST, most_bytes: int = MOST_BYTES, apart: str = "node") -> DataFrame:
+    """(band, node, size, parts) of the bands that hold two values of ``apart`` or more; of bands with the same nodes only
+    one.
 
     ``signed`` has rows (node, size, bands), of which some may repeat. Bands are found by a pre-aggregated least and
     greatest node, so a node that every task holds is no hot spot; bits of the bands found then spare all other rows the
     join. ``parts`` is how many groups a band is dealt into, by its nodes and by their bytes.
     """
-    ends = signed.select(F.explode("bands").alias("band"), "node").groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    ends = signed.select(F.explode("bands").alias("band"), F.col(apart).alias("a")).groupBy("band").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
     shared = scratch.stored(ends.where("lo <> hi").select("band"), "bands")
     bits = scratch.bits(shared, "band")
 
@@ -75,24 +81,30 @@ def groups(met: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("band", part).alias("gid"), "node", F.col("node").alias("root"))
 
 
-def crossing(met: DataFrame, roots: DataFrame, scratch: R.Scratch, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame | None:
-    """(gid, node, root): groups in which the pairs of larger bands meet that ``groups`` did not bring together and whose
-    ends are in different components; None where there are none.
+def crossing(met: DataFrame, roots: DataFrame, scratch: R.Scratch, most: int = MOST, most_bytes: int = MOST_BYTES, crowd: int | None = CROWD) -> tuple[DataFrame | None, DataFrame | None]:
+    """Groups (gid, node, root) in which the pairs of larger bands meet that ``groups`` did not bring together and whose
+    ends are in different components, and the nodes (node, root, size) of crowds; None where there are none.
 
     A component that could fill a part has parts of its own, which need not meet each other; the rest of a band is pooled.
-    Of one large component and a few strays only the strays' pairs are so looked at; a crowd without links costs the
-    square of its number of parts.
+    Of one large component and a few strays only the strays' pairs are so looked at. A band whose pool has more than
+    ``crowd`` parts is a crowd: its nodes are returned and not paired here.
     """
     large = met.where("parts > 1")
     if large.isEmpty():
-        return None
+        return None, None
     ends = large.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
     open_ = ends.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     ends = scratch.stored(ends.join(open_, "band", "left_semi"), "open")
     if ends.isEmpty():
-        return None
+        return None, None
     need = F.greatest(F.col("n") * 2 / most, F.col("bytes") * 2 / most_bytes)
     by_root = ends.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).withColumn("need", need)
+    crowded = None
+    if crowd is not None:
+        wide = scratch.stored(by_root.where("need < 1").groupBy("band").agg(F.sum("need").alias("parts")).where(F.col("parts") > crowd).select("band"), "crowds")
+        if not wide.isEmpty():
+            crowded = scratch.stored(ends.join(wide, "band", "left_semi").select("node", "root", "size").distinct(), "crowded")
+            ends, by_root = ends.join(wide, "band", "left_anti"), by_root.join(wide, "band", "left_anti")
     own = by_root.where("need >= 1").select("band", F.col("root").alias("own"), F.ceil("need").cast("int").alias("parts"))
     own = scratch.stored(own, "own")
     pool = by_root.where("need < 1").groupBy("band").agg(F.ceil(F.sum("need")).cast("int").alias("parts")).select("band", F.lit(None).cast("long").alias("own"), "parts")
@@ -109,7 +121,49 @@ def crossing(met: DataFrame, roots: DataFrame, scratch: R.Scratch, most: int = M
     placed = ends.join(own.select("band", F.col("own").alias("root"), "own", F.col("parts").alias("own_parts")), ["band", "root"], "left")
     placed = placed.join(pool.select("band", F.col("parts").alias("pool_parts")), "band", "left")
     placed = placed.withColumn("k", F.pmod(F.xxhash64("node", "band"), F.coalesce("own_parts", "pool_parts")).cast("int")).withColumn("own", F.coalesce("own", F.lit(0)))
-    return placed.join(seats.withColumn("own", F.coalesce("own", F.lit(0))), ["band", "own", "k"]).select("gid", "node", "root")
+    return placed.join(seats.withColumn("own", F.coalesce("own", F.lit(0))), ["band", "own", "k"]).select("gid", "node", "root"), crowded
+
+
+def rarest(elements: Elements, seen: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each thing and the end, elements): the elements that things can only be similar by sharing one of, in
+    the order of ``seen``, counts by bucket, and then of the elements themselves. From the first shared element on, a
+    thing weighs at least what is common, which is ``similarity`` of its weight at least; so that one is among them."""
+    start, element, weight = elements
+    owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    order = np.lexsort((element, seen[element & V.U(len(seen) - 1)], owner))
+    w = (np.ones(len(element)) if weight is None else weight)[order]
+    run = np.append(0.0, np.cumsum(w))
+    rest, total = run[start[1:]][owner] - run[:-1], (run[start[1:]] - run[start[:-1]])[owner]
+    first = rest >= similarity * total * (1 - 1e-9) - 1e-9
+    return np.append(0, np.cumsum(first))[start], element[order][first]
+
+
+def by_rarest(crowded: DataFrame, held: DataFrame, elements: Callable[[pa.Array], Elements], similarity: float, scratch: R.Scratch) -> DataFrame:
+    """(node, root, size, bands): the nodes with their rarest elements as bands. Rarity is counted over all of them, in a
+    fixed number of buckets, which shapes the groups and never the result."""
+    some = scratch.stored(crowded.join(held, "node").select("node", "root", "size", "text"), "crowd")
+    mask = V.U((1 << LOG2_RARITY) - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << LOG2_RARITY, np.int64)
+        for batch in batches:
+            for lo, hi, _ in V.blocks(batch.column(0)):
+                seen += np.bincount((elements(batch.column(0).slice(lo, hi - lo))[1] & mask).astype(np.int64), minlength=len(seen))
+        bucket = np.flatnonzero(seen)
+        yield R.record(bucket=bucket, n=seen[bucket])
+
+    got = some.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(1 << LOG2_RARITY, np.int64)
+    seen[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    sent = scratch.broadcast(seen)
+
+    def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo, hi, _ in V.blocks(batch.column(3)):
+            node, root, size, text = (batch.column(i).slice(lo, hi - lo) for i in range(4))
+            edge, element = rarest(elements(text), sent.value, similarity)
+            yield R.record(node=node, root=root, size=size, bands=pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(V.signed(element))))
+
+    return scratch.stored(R.map_arrow(some, sign, "node long, root long, size int, bands array<long>"), "rarest")
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,10 +339,20 @@ def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], elements:
 
     edges = scratch.stored(verified(groups(met)), "links")
     roots = scratch.stored(components(edges, scratch), "roots")
-    rest = crossing(met, roots, scratch, most, most_bytes)
-    if rest is None:
-        return roots
-    more = scratch.stored(verified(rest), "links")
-    if more.isEmpty():
-        return roots
-    return scratch.stored(components(edges.unionByName(more), scratch), "roots")
+    pairs, crowded = crossing(met, roots, scratch, most, most_bytes)
+    if crowded is not None:
+        met = meetings(by_rarest(crowded, held, elements, similarity, scratch), scratch, most, most_bytes, "root")
+        once = groups(met).drop("root").join(crowded.select("node", "root").distinct(), "node")
+        pairs = once if pairs is None else pairs.unionByName(once)
+    for again in (crowded is not None, False):
+        if pairs is None:
+            return roots
+        more = scratch.stored(verified(pairs), "links")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            roots = scratch.stored(components(edges, scratch), "roots")
+        if not again:
+            return roots
+        # what still shares a rare element with many others, and is in no component with them
+        pairs, _ = crossing(met, roots, scratch, most, most_bytes, None)
+    return roots

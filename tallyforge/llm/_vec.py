@@ -5,9 +5,12 @@ buffer and answers questions about words, lines and substrings with array
 operations, so that Python runs per block and not per row.  Nothing here knows
 about Spark; the operators call it from ``mapInArrow`` functions.
 
-Substring identity uses 64-bit polynomial hashes over a random byte table,
-finished with a bit mixer.  Blocks hold whole documents: about ``BLOCK_BYTES``
-each, or one document when that document alone is longer.
+Substring identity uses 64-bit hashes: up to seven bytes are mixed as they are,
+and of longer strings all windows of eight bytes are, each by a bijective mixer,
+and summed with powers of a base.  Mixing comes before the sum, so that strings
+of a regular build, which plain polynomials modulo 2**64 take for each other,
+stay apart.  Blocks hold whole documents: about ``BLOCK_BYTES`` each, or one
+document when that document alone is longer.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 20
 U = np.uint64
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE_CODE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64) | U(1)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
+WINDOW = 8
+_low_bytes = np.array([(1 << (8 * k)) - 1 for k in range(WINDOW)], np.uint64)
 _pow = {"fwd": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
 
 #: ASCII white space of the word rule: space and 0x09 to 0x0D.
@@ -72,6 +75,7 @@ class Block:
     def __init__(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray):
         self.data, self.start, self.stop = data, start.astype(np.int64), stop.astype(np.int64)
         self._prefix: np.ndarray | None = None
+        self._windows: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -85,19 +89,22 @@ class Block:
         at = np.arange(int(size.sum())) + np.repeat(self.start[some] - (stop - size), size)
         return Block(self.data[at], stop - size, stop)
 
-    def hashes(self, start: np.ndarray, stop: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """A hash for each byte range [start, stop)."""
-        fwd, inv = _powers(len(self.data) + 1)
-        if table is not None:
-            prefix = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(table[self.data] * fwd[: len(self.data)], out=prefix[1:])
-        else:
-            if self._prefix is None:
-                self._prefix = np.zeros(len(self.data) + 1, np.uint64)
-                np.cumsum(BYTE_CODE[self.data] * fwd[: len(self.data)], out=self._prefix[1:])
-            prefix = self._prefix
-        out = (prefix[stop] - prefix[start]) * inv[start]
-        out += (stop - start).astype(np.uint64)
+        n = len(self.data)
+        fwd, inv = _powers(n + 1)
+        if self._prefix is None:
+            padded = np.zeros(n + WINDOW, np.uint8)
+            padded[:n] = self.data
+            self._windows = np.ndarray(n + 1, "<u8", padded, strides=(1,)).copy()
+            self._prefix = np.zeros(n + 1, np.uint64)
+            np.cumsum(mix(self._windows[:n]) * fwd[:n], out=self._prefix[1:])
+        size = stop - start
+        out = (self._prefix[np.maximum(stop - (WINDOW - 1), start)] - self._prefix[start]) * inv[start]
+        short = np.flatnonzero(size < WINDOW)
+        if len(short):
+            out[short] = mix(self._windows[start[short]] & _low_bytes[size[short]])
+        out += size.astype(np.uint64)
         return mix(out)
 
     def words(self, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,6 +149,16 @@ class Block:
         return total[self.stop] - total[self.start]
 
 
+def codes(block: Block, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A number for each of ascending, disjoint byte ranges, equal for equal bytes only: they are compared, not hashed."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    edges = np.empty(2 * len(start), np.int32)
+    edges[::2], edges[1::2] = start, stop
+    pieces = pa.Array.from_buffers(pa.binary(), 2 * len(start) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(block.data))])
+    return np.asarray(pieces.dictionary_encode().indices)[::2].astype(np.int64)
+
+
 def per_doc(doc: np.ndarray, n: int, mask: np.ndarray | None = None) -> np.ndarray:
     """How many entries, or marked entries, each document has."""
     return np.bincount(doc if mask is None else doc[mask], minlength=n).astype(np.int64)

@@ -102,7 +102,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     ``near_share`` of the window's distinct words stand in the place of the window or up to ``near_slack`` words beside
     it, in any order, one of the window's ``near_anchors`` rarest at its offset; so words may be changed, left out or put
     in. The default asks for exact ones alone. Null and empty texts have no match, null ids are ids like others, repeated
-    rows have their matches each, other columns are ignored, and an empty table of either kind gives no match.
+    rows have their matches each, ties among rare words go to the first by name and change no exact match, very long texts
+    are searched whole, other columns are ignored, and an empty table of either kind gives no match.
     """
     grams = R.cut(windows(items, item_col, item_text, size))
     small = grams.count() <= broadcast_windows
@@ -126,7 +127,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     A document is contaminated when words inside exact window occurrences make up a twentieth of its words or more.
     Null and empty texts have no words and are clean; items without words or with a null id match nothing; repeated rows
-    give equal rows, one each; other columns are ignored; an empty table of either kind gives no hits. Matches are
+    give equal rows, one each; a document of exactly a twentieth is contaminated; very long texts are searched whole; other
+    columns are ignored; an empty table of either kind gives no hits. Matches are
     grouped by document only, so a passage or word of any frequency is spread over the documents that hold it.
     """
     met = matches(docs, items, id_col, text_col, item_col, item_text, **options)

@@ -174,8 +174,9 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
     Null texts, empty texts and texts without letters get ``und``, score 0 and are rejected; other texts get the
     learned language of the highest probability and are rejected under the model's threshold. Whole texts are scored.
-    Repeated rows give repeated rows, a null id is passed through, other columns are ignored, whatever their names, and
-    an empty table gives an empty result.
+    A tie of probabilities goes to the first language by name. Repeated rows give repeated rows, a null id is passed
+    through, very long texts are scored whole in the task that reads them, other columns are ignored, whatever their
+    names, and an empty table gives an empty result.
     """
     model = model or fit(docs, id_col, text_col, lang_col, **fitting)
     spark = docs.sparkSession

@@ -74,7 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Each source's whole epochs are taken first; the rest of its budget, the target rounded down, goes to documents in
     the order of an md5 of seed and id, and the document at the cut is taken in part, so a source's taken words equal
-    its budget exactly and no document exceeds ``most`` times its size. Null text has size 0, null source is a source of
+    its budget exactly and no document exceeds ``most`` times its size. Null text has size 0, very long texts are counted whole, null source is a source of
     its own, null ids and repeated rows are rows like others (equal rows may be told apart only by their place in the
     order, so reruns return the same rows), an empty table gives an empty result, and other columns are ignored.
     One source may hold any share of the rows: the order is cut over all tasks by range, not by source.

@@ -27,16 +27,6 @@ PAIRS = 1 << 20  # so many (block, period) pairs are extended at once
 RUNS = "array<struct<start:long,length:long,period:long>>"
 
 
-def word_codes(block: V.Block, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Equal words get equal numbers; the words are compared, not hashed."""
-    if not len(start):
-        return np.zeros(0, np.int64)
-    edges = np.empty(2 * len(start), np.int32)
-    edges[::2], edges[1::2] = start, stop
-    pieces = pa.Array.from_buffers(pa.binary(), 2 * len(start) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(block.data))])
-    return np.asarray(pieces.dictionary_encode().indices)[::2].astype(np.int64)
-
-
 def doubled(code: np.ndarray, owner: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Prefix doubling over sequences laid end to end, none of whose suffixes goes beyond its own end: (order, rank, slots)
     for stretches of 1, 2, 4 .. words. ``order`` are the places by their stretches, ``rank`` is equal for equal stretches
@@ -270,7 +260,7 @@ def _detect(least: int, power: int):
         for lo, hi, block in V.blocks(batch.column(1)):
             n = hi - lo
             start, stop, doc = block.words()
-            seq, at, length, period = find_runs(word_codes(block, start, stop), doc, n, least, power)
+            seq, at, length, period = find_runs(V.codes(block, start, stop), doc, n, least, power)
             first, _ = V.bounds(doc, n)
             gone = np.zeros(len(start) + 1, np.int64)  # a word goes that a run holds after its first period
             np.add.at(gone, first[seq] + at + period, 1)

@@ -115,7 +115,8 @@ class Head:
 def fit(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample: int = 12000, seed: int = 5) -> dict[str, Head]:
     """One head for each label column, from at most ``sample`` labelled rows drawn by a hash of the id.
 
-    Rows with a null label, a null id or no document do not count; an id labelled twice counts as its least labels."""
+    Ids of any type do, of documents and labels alike. Rows with a null label, a null id or no document do not count; an
+    id labelled twice counts as its least labels, and of documents of one id one counts; hash ties go by id."""
     clean = labels.where(F.col(id_col).isNotNull()).dropna(subset=list(heads)).groupBy(F.col(id_col).alias("label_id")).agg(*[F.min(h).alias(h) for h in heads])
     drawn = clean.orderBy(F.xxhash64(F.lit(seed), "label_id"), "label_id").limit(sample)
     picked = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "label_id")
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("quality",
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets, *(batch.column(2 + i).slice(lo, hi - lo) for i in range(len(heads)))], ["label_id", "features", *heads])
 
     shown = picked.select("label_id", "text", *[F.col(h).cast("int").alias(h) for h in heads])
-    got = R.map_arrow(shown, collect, "label_id long, features binary, " + ", ".join(f"{h} int" for h in heads))
+    got = R.map_arrow(shown, collect, f"label_id {shown.schema['label_id'].dataType.simpleString()}, features binary, " + ", ".join(f"{h} int" for h in heads))
     # ids may repeat among documents: one row of an id is enough, and keeps the sample within its bound
     got = got.groupBy("label_id").agg(F.min("features").alias("features"), *[F.min(h).alias(h) for h in heads]).orderBy("label_id").toArrow()
     rows = [np.frombuffer(x, np.int32).astype(np.int64) for x in got.column("features").to_pylist()]
@@ -156,8 +157,9 @@ def classify(docs: DataFrame, labels: DataFrame, heads: dict[str, Head] | None =
 
     A path is a host with the value of ``path_col``. Kept is quality at ``threshold`` or above and toxicity below it.
     Null and empty texts have no evidence and take their path's prior; null hosts and paths are hosts and paths of their
-    own; without labels every probability is a half and all is kept; repeated rows and null ids give a row each; other
-    columns are ignored; an empty table gives an empty result. Sums by path and host are pre-aggregated, so a host of
+    own; without labels every probability is a half and all is kept; repeated rows and null ids give a row each, ties of
+    probability change nothing; very long texts are read whole, in the task that meets them; other columns are ignored; an
+    empty table gives an empty result. Sums by path and host are pre-aggregated, so a host of
     any size costs a row for each task, and no path or host is held by the driver.
     """
     spark = docs.sparkSession

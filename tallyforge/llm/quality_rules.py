@@ -23,16 +23,24 @@ _lead[0x80:0xC0] = False
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+def _threes(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, first word) of each three neighbouring words of a document; equal numbers are equal words, none is hashed."""
+    if len(word) < 3:
+        return word[:0], word[:0]
+    many = int(word.max()) + 1
+    pair = np.unique(word[:-1] * many + word[1:], return_inverse=True)[1]
+    at = np.flatnonzero(doc[:-2] == doc[2:])
+    return pair[at] * many + word[at + 2], at
+
+
 def _measure(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for lo, hi, block in V.blocks(batch.column(2)):
         n = hi - lo
         start, stop, doc = block.words()
-        word = block.hashes(start, stop)
-        key, owner, at = V.shingles(doc, word, 3, n) if len(word) else (word, doc, doc)
         size = V.per_doc(doc, n)
-        again, _ = V.repeats(owner, key)
-        again &= size[owner] >= 3 if len(owner) else again
-        covered = np.zeros(len(word) + 3, bool)
+        key, at = _threes(V.codes(block, start, stop), doc)
+        again, _ = V.repeats(doc[at], key)
+        covered = np.zeros(len(doc) + 3, bool)
         for i in range(3):
             covered[at[again] + i] = True
         a, b, line_doc = block.lines()
@@ -40,7 +48,7 @@ def _measure(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         np.cumsum(~V.SPACE[block.data], out=written[1:])
         full = written[b] > written[a]
         a, b, line_doc = a[full], b[full], line_doc[full]
-        _, before = V.repeats(line_doc, block.hashes(a, b))
+        _, before = V.repeats(line_doc, V.codes(block, a, b))
         yield R.record(
             id=batch.column(0).slice(lo, hi - lo), host=batch.column(1).slice(lo, hi - lo),
             n_words=size, word_chars=block.count(_lead[block.data] & ~V.SPACE[block.data]), n_symbols=block.count(_symbol[block.data]),
@@ -104,8 +112,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each document: measures, ``base_failed`` and ``kept``.
 
     A document is kept when it passes the base rule and its host is not rejected. Null texts have no words and fail the
-    base rule; null hosts count together as one host; repeated rows and null ids give a row each; other columns are
-    ignored whatever their names; an empty table gives an empty result. Measures are computed once and cut, failures
+    base rule; null hosts count together as one host; repeated rows, hosts of equal rates and null ids give a row or host
+    each; very long texts are measured whole, in the task that reads them; words and lines are compared, not hashed; other
+    columns are ignored whatever their names; an empty table gives an empty result. Measures are computed once and cut, failures
     are pre-aggregated before they are shuffled, so one host with a third of all rows costs no more than any other.
     """
     found = R.cut(measure(docs, id_col, text_col, host_col))

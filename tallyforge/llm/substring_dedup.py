@@ -171,7 +171,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each document: id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary) where asked for.
 
     Every byte of the UTF-8 text under a string of ``length`` bytes that starts at another place of any document too,
-    this one included, is removed; strings are judged on the input. Null and empty texts have no bytes; texts under
+    this one included, is removed; strings are judged on the input. Very long texts are laid out whole in the task that
+    reads them, and their spans meet in one row. Null and empty texts have no bytes; texts under
     ``length`` bytes keep all; rows equal in id and text are each other's repeats and get a row each; other columns are
     ignored; an empty table gives an empty result. Equal runs are counted by pre-aggregation and one witness stands for
     them afterwards, so copies of any number cost in proportion to their rows.

@@ -52,3 +52,29 @@ def test_nulls_and_repeats(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert 1 <= docs.count() <= 2
+
+
+def test_clashing_names_ties_and_long_texts(spark):
+    """Columns that stages might use themselves keep their values; copies go one by one; a long text comes through whole."""
+    words = [f"word{i} runs" for i in range(60)]
+    long = "\n".join(f"line number {i} says {i * i} and {i * 7} of it" for i in range(40_000))
+    texts = [" ".join(words), " ".join(words), " ".join(f"tree{i} grows" for i in range(60)), long]
+    names = ["key_", "removed_", "copy", "id", "node", "class_id", "rejected", "contaminated", "n_words", "part_", "root"]
+    kinds = ", ".join(f"{n} string" for n in names)
+    rows = [(i, t, "en", "a", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {kinds}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        for r in docs.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names], name
+    left = {r.doc_id: r for r in docs.collect()}
+    assert set(left) == {0, 2, 3} and left[0].text == texts[0]  # of equal lines the first stays
+    assert left[3].n_chars == len(left[3].text) > 0
+
+
+def test_run_equals_its_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
