@@ -32,7 +32,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents whose language is recognised; those that the model rejects go, null and letterless texts among them.
 
     Rows equal in id and text share one fate; a null id is an id like others; where no row has a language to learn from,
-    every document is rejected; other columns keep their values, whatever their names; an empty table stays empty."""
+    every document is rejected; very long texts are read whole and equal probabilities go to the first language by name;
+    other columns keep their values, whatever their names; an empty table stays empty."""
     keyed, key = _keyed(docs)
     gone = language.identify(keyed, id_col=key, model=language.fit(keyed)).where("rejected").select(key).distinct()
     return _without(keyed, key, gone).select(*docs.columns)
@@ -42,6 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Texts without the lines that a similar, earlier line stands for; texts left without a word go. n_chars is renewed.
 
     Null and empty texts stay; of rows equal in id and text the first stays, as the others have no line of their own;
+    a tie between lines goes to the least id and line number; very long texts are cut into lines a task at a time;
     other columns keep their values, whatever their names; an empty table stays empty."""
     out = line_dedup.rewrite(docs, line_dedup.decide(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
@@ -51,7 +53,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each near-duplicate class; of rows equal in id and text one.
 
     Null and empty texts are one class; of a class the document of the least key of id and text stays, so no order of
-    the rows matters; other columns keep their values, whatever their names; an empty table stays empty."""
+    the rows and no tie matters; very long texts are compared whole; other columns keep their values, whatever their names; an empty table stays empty."""
     keyed, key = _keyed(docs)
     classes = R.cut(near_duplicates.classes(keyed, id_col=key).groupBy(key).agg(F.max(F.col("is_kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n")))
     left = _without(keyed, key, classes.where("kept = 0").select(key))
@@ -67,8 +69,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text.
 
-    Null and empty texts have no words and stay; rows equal in id and text share one fate; other columns keep their
-    values, whatever their names; an empty table of documents or of benchmark items takes nothing away."""
+    Null and empty texts have no words and stay; rows equal in id and text share one fate; a text of exactly a
+    twentieth goes; very long texts are searched whole; other columns keep their values, whatever their names; an empty table of documents or of benchmark items takes nothing away."""
     keyed, key = _keyed(docs)
     found = decontaminate.decontaminate(docs, R.load(spark, sf_dir, "benchmark"))
     gone = found.where("contaminated").select("key").distinct()
@@ -78,7 +80,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document that is left: doc_id, size, source_size, target, taken.
 
-    Null and empty texts have size 0, a null source is one of its own, repeated rows are rows like others, other columns
+    Null and empty texts have size 0, a null source is one of its own, repeated rows and ties are rows like others, very
+    long texts are counted whole, other columns
     are ignored, and an empty table gives no rows."""
     return mixing.mix(docs)
 
@@ -96,8 +99,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each result is written to the shared folder and read again."""
+    """All stages over the documents of a folder; each result is written to the shared folder and read again, and deleted
+    once the next is there. What stays is the mix, with ids and numbers and no texts."""
     docs = R.load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = R.stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with R.Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            kept = scratch.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            scratch.drop(docs)
+            docs = kept
+        return R.stored(STAGES[-1][1](spark, docs, sf_dir), f"stage-{STAGES[-1][0]}")
