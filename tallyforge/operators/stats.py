@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import joins
 from tallyforge.schema import numeric_columns
+from tallyforge.sources import sinks
 
 
 def sum_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, empty_zero: bool = True, dropna: bool = True) -> DataFrame:
@@ -44,34 +45,36 @@ def is_finite(c: Column) -> Column:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], accuracy: int = 2_000) -> DataFrame:
-    """Exact interpolated quantiles by key (keys, q, quantile), as ``percentile`` gives them, for keys of any size.
-
-    ``percentile`` holds every value of a key in one task. Here values are counted first, by key and value; a sketch
-    proposes a narrow band around each quantile, exact counts below and in it tell where the ranks are, and only
-    the values there are sorted. A poor sketch widens that part and never changes the result. Null values do not count;
-    null keys are a key."""
+    """Exact interpolated quantiles by key (keys, q, quantile), as ``percentile`` gives them, for keys of any size, in two
+    passes over ``df``.
+
+    ``percentile`` holds every value of a key in one task. Here a first pass sketches a narrow band around each quantile,
+    wider than the sketch can err. The second counts, in the tasks that read, what lies below each band, and keeps only
+    values inside, by their number: so the column itself is never shuffled, but for keys of up to ``accuracy`` values,
+    whose band is everything. Several columns or grouping sets are one call, with a key that names them. Null values do
+    not count; null keys are a key. The edges of the bands are sent to every task when counted as few."""
     k = [f"_k{i}" for i in range(len(keys))]
     rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(value).cast("double").alias("_v"))
-    counted = rows.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    margin = 2 / accuracy
+    margin = 4 / accuracy
     ends = [F.lit(min(max(q + d, 0.0), 1.0)) for q in at for d in (-margin, margin)]
-    edges = rows.groupBy(*k).agg(F.percentile_approx("_v", F.array(*ends), accuracy).alias("_e"))
-    band = [F.struct(F.lit(float(q)).alias("q"), F.get("_e", F.lit(2 * i)).alias("lo"), F.get("_e", F.lit(2 * i + 1)).alias("hi")) for i, q in enumerate(at)]
-    placed = joins.null_safe(counted, edges, k) if k else counted.crossJoin(F.broadcast(edges))
-    placed = placed.select(*k, "_v", "_n", F.inline(F.array(*band)))
-    placed = placed.withColumn("_part", F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") <= F.col("hi"), 1).otherwise(2))
-    size = lambda p: F.coalesce(F.sum(F.when(F.col("_part") == p, F.col("_n"))), F.lit(0))
-    ranks = placed.groupBy(*k, "q").agg(size(0).alias("_n0"), size(1).alias("_n1"), F.sum("_n").alias("_all")).withColumn("_h", (F.col("_all") - 1) * F.col("q"))
-    part = lambda r: F.when(r < F.col("_n0"), 0).when(r < F.col("_n0") + F.col("_n1"), 1).otherwise(2)
-    ranks = ranks.withColumns({"_a": part(F.floor("_h")), "_b": part(F.ceil("_h"))})
-    ranks = ranks.withColumn("_before", F.when(F.col("_a") == 0, 0).when(F.col("_a") == 1, F.col("_n0")).otherwise(F.col("_n0") + F.col("_n1")))
-    near = joins.null_safe(placed.select(*k, "q", "_v", "_n", "_part"), ranks.select(*k, "q", "_h", "_a", "_b", "_before"), [*k, "q"])
-    run = Window.partitionBy(*k, "q").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = near.where(F.col("_part").between(F.col("_a"), F.col("_b"))).withColumn("_upto", F.sum("_n").over(run) + F.col("_before"))
-    value_at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
-    found = near.groupBy(*k, "q").agg(F.first("_h").alias("_h"), value_at(F.floor("_h")).alias("_x"), value_at(F.ceil("_h")).alias("_y"))
+    edges = rows.groupBy(*k).agg(F.percentile_approx("_v", F.array(*ends), accuracy).alias("_e"), F.count(F.lit(1)).alias("_all"))
+    few = F.col("_all") <= accuracy
+    low = lambda i: F.when(~few, F.get("_e", F.lit(2 * i)))
+    high = lambda i: F.when(~few, F.get("_e", F.lit(2 * i + 1)))
+    band = [F.struct(F.lit(float(q)).alias("q"), low(i).alias("lo"), high(i).alias("hi")) for i, q in enumerate(at)]
+    edges = sinks.small(sinks.cut(edges.where("_all > 0").select(*k, "_all", F.array(*band).alias("_bands"))))
+    placed = joins.null_safe(rows, edges, k) if k else rows.crossJoin(edges)
+    placed = placed.select(*k, "_v", "_all", F.inline("_bands")).where(F.col("hi").isNull() | (F.col("_v") <= F.col("hi")))
+    inside = F.col("lo").isNull() | (F.col("_v") >= F.col("lo"))
+    counted = placed.groupBy(*k, "q", "_all", F.when(inside, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(*k, "q").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = counted.withColumn("_upto", F.sum("_n").over(run)).withColumn("_h", (F.col("_all") - 1) * F.col("q"))
+    value_at = lambda r: F.min(F.when((F.col("_upto") > r) & F.col("_v").isNotNull(), F.col("_v")))
+    below = F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0))
+    found = counted.groupBy(*k, "q").agg(F.first("_h").alias("_h"), value_at(F.floor("_h")).alias("_x"), value_at(F.ceil("_h")).alias("_y"), below.alias("_below"), F.max("_upto").alias("_to"))
+    held = (F.floor("_h") >= F.col("_below")) & (F.ceil("_h") < F.col("_to"))
     between = (F.ceil("_h") - F.col("_h")) * F.col("_x") + (F.col("_h") - F.floor("_h")) * F.col("_y")
-    quantile = F.when(F.col("_x") == F.col("_y"), F.col("_x")).otherwise(F.when(F.ceil("_h") == F.floor("_h"), F.col("_x")).otherwise(between))
+    quantile = F.when(~held, F.raise_error(F.lit("a sketch erred by more than its bound"))).when((F.col("_x") == F.col("_y")) | (F.ceil("_h") == F.floor("_h")), F.col("_x")).otherwise(between)
     return found.select(*[F.col(n).alias(c) for c, n in zip(keys, k, strict=True)], "q", quantile.alias("quantile"))
 
 
@@ -117,6 +120,14 @@ def grouping_sets(df: DataFrame, dimensions: Sequence[str], aggregates: Sequence
     return df.groupingSets([[F.col(d)] for d in dimensions], *[F.col(d) for d in dimensions]).agg(F.array(*[F.lit(d) for d in dimensions])[_which(dimensions)].alias("group_by"), *aggregates)
 
 
+def grouping_set_quantiles(df: DataFrame, dimensions: Sequence[str], value: str, columns: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of one grouping by each dimension alone, all placed together: a row stands once for each
+    dimension, and no group is held by a task. Keys as ``grouping_sets`` gives them: ``group_by`` and the dimensions."""
+    own = lambda d, c: F.col(d) if c == d else F.lit(None).cast(df.schema[c].dataType)
+    sets = F.array(*[F.struct(F.lit(d).alias("group_by"), *[own(d, c).alias(c) for c in dimensions]) for d in dimensions])
+    return quantile_columns(df.select(F.col(value), F.inline(sets)), ["group_by", *dimensions], value, columns)
+
+
 def _which(dimensions: Sequence[str]) -> Column:
     out = F.lit(0)
     for i, d in enumerate(dimensions):
@@ -162,7 +173,7 @@ def ape(actual: Column, predicted: Column) -> Column:
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 17) -> DataFrame:
     """N rows by a seeded hash of the key; the same rows every time, whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def pass_rates(df: DataFrame, error: str, multiples: Sequence[float] = (1, 2), keys: Sequence[str] = ()) -> DataFrame:
@@ -225,10 +236,14 @@ def exact_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("pair")).where(F.size("pair") == 2)
 
 
-def list_scalars(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = (0.5, 0.95)) -> DataFrame:
-    """One row with the number of values and the quantiles of each column, exact and in one aggregation."""
-    picks = [F.percentile(c, q).alias(f"{c}_p{round(100 * q)}") for c in columns for q in quantiles]
-    return df.agg(*[F.count(c).alias(f"{c}_n") for c in columns], *picks)
+def list_scalars(df: DataFrame, columns: Sequence[str], quantiles_at: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """One row with the number of values and the quantiles of each column, exact; the columns are keys of one call, so
+    all are placed together and none is held by a task."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns])))
+    found = quantiles(long, ["_column"], "_value", quantiles_at)
+    pick = lambda c, q: F.max(F.when((F.col("_column") == c) & (F.col("q") == float(q)), F.col("quantile")))
+    wide = found.agg(*[pick(c, q).alias(f"{c}_p{round(100 * q)}") for c in columns for q in quantiles_at])
+    return df.agg(*[F.count(c).alias(f"{c}_n") for c in columns]).crossJoin(F.broadcast(wide))
 
 
 def minutes_by_member(df: DataFrame, members: str, amount: str, out: str = "total") -> DataFrame:

@@ -273,7 +273,10 @@ FROM o GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))""")
 def grouping_sets_errors(spark, sf):
     o = _t(spark, sf, "orders")
     rows = o.crossJoin(F.broadcast(stats.quantile_columns(o, [], "o_totalprice", {"med": 0.5}))).withColumn("e", F.abs(F.col("o_totalprice") - F.col("med")))
-    return stats.grouping_sets(rows, ["o_orderstatus", "o_orderpriority"], [F.count(F.lit(1)).alias("n"), _r(F.avg("e"), 3).alias("mae"), _r(F.median("e"), 3).alias("median_error")])
+    dims = ["o_orderstatus", "o_orderpriority"]
+    means = stats.grouping_sets(rows, dims, [F.count(F.lit(1)).alias("n"), _r(F.avg("e"), 3).alias("mae")])
+    medians = stats.grouping_set_quantiles(rows, dims, "e", {"median_error": 0.5})
+    return joins.null_safe(means, medians, ["group_by", *dims]).withColumn("median_error", _r("median_error", 3))
 
 
 @query("SELECT least(floor(greatest(0, least(20, l_quantity))), 19)::INT AS bin, count(*) AS n FROM lineitem GROUP BY 1")
@@ -322,9 +325,10 @@ def price_compress(spark, sf):
 SELECT p AS priority, round(median(ape), 6) AS median_ape, round(quantile_cont(ape, 0.75) - quantile_cont(ape, 0.25), 6) AS iqr_ape FROM e GROUP BY p""")
 def ape_iqr(spark, sf):
     o = _t(spark, sf, "orders")
-    med = o.groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("med"))
+    med = stats.quantile_columns(o, ["o_orderpriority"], "o_totalprice", {"med": 0.5})
     rows = o.join(F.broadcast(med), "o_orderpriority").withColumn("ape", stats.ape(F.col("o_totalprice"), F.col("med")))
-    return rows.groupBy(F.col("o_orderpriority").alias("priority")).agg(_r(F.median("ape"), 6).alias("median_ape"), _r(stats.iqr(F.col("ape"), 1), 6).alias("iqr_ape"))
+    found = stats.quantile_columns(rows, ["o_orderpriority"], "ape", {"median_ape": 0.5, "low": 0.25, "high": 0.75})
+    return found.select(F.col("o_orderpriority").alias("priority"), _r("median_ape", 6).alias("median_ape"), _r(F.col("high") - F.col("low"), 6).alias("iqr_ape"))
 
 
 @query("""WITH b AS (SELECT year(o_orderdate) AS y, o_custkey % 25 AS t, count(*)::DOUBLE AS n, sum(o_totalprice) / 1000 AS v FROM orders GROUP BY ALL),

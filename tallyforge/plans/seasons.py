@@ -139,7 +139,9 @@ def comparables(train: DataFrame, targets: DataFrame, blocks: Mapping[str, Seque
 
 def error_breakdowns(evaluated: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """G13, R12."""
-    return stats.grouping_sets(evaluated, dimensions, [F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("MAE_cap_pct"), F.median("abs_error").alias("median_abs_error")])
+    means = stats.grouping_sets(evaluated, dimensions, [F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("MAE_cap_pct")])
+    medians = stats.grouping_set_quantiles(evaluated, dimensions, "abs_error", {"median_abs_error": 0.5})
+    return joins.null_safe(means, medians, ["group_by", *dimensions], "left")
 
 
 def training_rows(contracts: DataFrame, bank: DataFrame) -> DataFrame:
