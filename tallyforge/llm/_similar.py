@@ -4,7 +4,8 @@ Things meet where their signatures share a band.  A band of up to ``most`` thing
 hash into parts, each a group, and where its things are not all in one component afterwards, the parts meet pairwise.
 Where those would be many, as in a crowd of one template in which little is linked, the things of the band meet by their
 rarest elements instead: two things can only be similar if they share one of the rarest elements that make up more than
-the rest may lack (a prefix filter), which loses no pair and is short of groups where the template's elements are common.
+either may lack (a prefix filter by classes of weight), which loses no pair and forms few groups where the template's
+elements are common.
 A group goes to one task with the elements (shingles) of its things, which judges every pair by its exact similarity and
 returns the links of a spanning forest only.  So every pair that shares a band and is similar ends up in one component,
 whatever the partitioning, and no list of pairs is ever formed.
@@ -25,6 +26,7 @@ from tallyforge.llm import _vec as V
 MOST, MOST_BYTES = 1000, 2 << 20
 SKETCH_BITS = 4096
 CROWD = 8  # parts of a band's unlinked things beyond which they meet by their rarest elements
+CLASS = 1.05  # how much weights of one class differ at most
 LOG2_RARITY = 20  # elements are counted in so many buckets, to put rare ones first
 TASK_EDGES = 1 << 20  # links of 16 bytes that a task joins at once
 
@@ -125,17 +127,35 @@ def crossing(met: DataFrame, roots: DataFrame, scratch: R.Scratch, most: int = M
 
 
 def rarest(elements: Elements, seen: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(first of each thing and the end, elements): the elements that things can only be similar by sharing one of, in
-    the order of ``seen``, counts by bucket, and then of the elements themselves. From the first shared element on, a
-    thing weighs at least what is common, which is ``similarity`` of its weight at least; so that one is among them."""
+    """(first of each thing and the end, keys): two things can only be similar if they share a key.
+
+    A key is an element and the classes of weight, a factor of ``CLASS`` wide, of its thing and of the other. What is
+    common to similar things weighs ``s / (1 + s)`` of both at least. In the order of ``seen``, counts by bucket, and then
+    of the elements themselves, the first common element has all of that behind it; so of each thing only the first
+    elements are taken, rare ones, that have enough behind them for the least weight of the other's class."""
     start, element, weight = elements
-    owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    n = len(start) - 1
+    owner = np.repeat(np.arange(n), np.diff(start))
     order = np.lexsort((element, seen[element & V.U(len(seen) - 1)], owner))
     w = (np.ones(len(element)) if weight is None else weight)[order]
     run = np.append(0.0, np.cumsum(w))
-    rest, total = run[start[1:]][owner] - run[:-1], (run[start[1:]] - run[start[:-1]])[owner]
-    first = rest >= similarity * total * (1 - 1e-9) - 1e-9
-    return np.append(0, np.cumsum(first))[start], element[order][first]
+    total = np.maximum(run[start[1:]] - run[start[:-1]], 1e-9)
+    rest = (run[start[1:]][owner] - run[:-1]) * (1 + 1e-9) + 1e-9
+    mine = np.floor(np.log(total) / np.log(CLASS)).astype(np.int64)
+    reach = int(np.ceil(np.log(1 / similarity) / np.log(CLASS))) + 1
+    keys, things = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for step in range(-reach, reach + 1):
+        other = mine + step
+        low, high = CLASS ** other.astype(float) * (1 - 1e-9), CLASS ** (other + 1.0) * (1 + 1e-9)
+        fits = (high >= similarity * total) & (low <= total / similarity)
+        need = similarity / (1 + similarity) * (total + np.maximum(low, similarity * total * (1 - 1e-9)))
+        some = np.flatnonzero(fits[owner] & (rest >= need[owner]))
+        pair = np.minimum(mine, other) * 4096 + np.abs(step)
+        keys.append(V.mix(element[order][some] * V.U(V.BASE) + pair[owner[some]].astype(np.uint64)))
+        things.append(owner[some])
+    thing, key = np.concatenate(things), np.concatenate(keys)
+    by = np.argsort(thing, kind="stable")
+    return np.searchsorted(thing[by], np.arange(n + 1)), key[by]
 
 
 def by_rarest(crowded: DataFrame, held: DataFrame, elements: Callable[[pa.Array], Elements], similarity: float, scratch: R.Scratch) -> DataFrame:
