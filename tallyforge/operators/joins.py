@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources import sinks
+
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys meet null keys; keys of both sides become one column."""
@@ -80,10 +82,40 @@ def tolerant_date_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l
     return out.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_day").withColumnRenamed("_offset", "day_offset")
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, stop: str, left_open: bool = False, bin_size: float | None = None, how: str = "inner") -> DataFrame:
-    """Points with start <= at < stop, or start < at <= stop. With ``bin_size`` both sides are also
-    joined on a bin of the axis, which keeps long keys from pairing every point with every interval."""
-    if bin_size is not None:
+def dyadic_nodes(low: Column, high: Column) -> Column:
+    """The nodes (level, node) that tile the whole numbers from ``low`` to under ``high``: node n of level l stands for the
+    2**l numbers from n·2**l on. There are two for each binary digit of the length at most."""
+    start = F.struct(low.cast("long").alias("l"), high.cast("long").alias("h"), F.array().cast("array<struct<level:int,node:long>>").alias("out"))
+
+    def step(acc: Column, level: Column) -> Column:
+        open_ = acc["l"] < acc["h"]
+        left, right = open_ & (acc["l"] % 2 != 0), open_ & (acc["h"] % 2 != 0)
+        node = lambda at: F.array(F.struct(level.cast("int").alias("level"), at.alias("node")))
+        none = F.array().cast("array<struct<level:int,node:long>>")
+        up = acc["l"] + F.when(left, 1).otherwise(0)
+        more = F.concat(F.when(left, node(acc["l"])).otherwise(none), F.when(right & (up < acc["h"]), node(acc["h"] - 1)).otherwise(none))
+        return F.struct(F.shiftright(up, 1).alias("l"), F.shiftright(acc["h"] - F.when(right, 1).otherwise(0), 1).alias("h"), F.concat(acc["out"], more).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(high - low, F.lit(1)).cast("double"))), F.lit(0)).cast("int") + 1), start, step, lambda acc: acc["out"])
+
+
+def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, stop: str, left_open: bool = False, bin_size: float | None = None, how: str = "inner", unit: float | None = None) -> DataFrame:
+    """Points with start <= at < stop, or start < at <= stop; ``keys`` may be empty where there is a
+    ``bin_size`` or ``unit``.
+
+    With ``bin_size`` both sides are also joined on a bin of the axis, which keeps long keys from pairing every point with
+    every interval; an interval stands for each bin that it crosses. With ``unit`` the axis is cut into steps of that
+    size and an interval stands for the dyadic nodes that tile it, two for each binary digit of its length, and a point
+    for one node of each level that some interval uses: so lengths of any spread do, and neither side is multiplied by
+    more than a logarithm."""
+    if unit is not None:
+        step = lambda c: F.floor(F.col(c) / unit).cast("long")
+        intervals = intervals.where(F.col(start) <= F.col(stop)).withColumn("_node", F.explode(dyadic_nodes(step(start), step(stop) + 1)))
+        intervals = sinks.cut(intervals.select("*", F.col("_node.level").alias("_level"), F.col("_node.node").alias("_bin")).drop("_node"))
+        levels = sorted(r[0] for r in intervals.select("_level").distinct().collect())  # one for each binary digit
+        points = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_bin", F.expr(f"shiftright(cast(floor(`{at}` / {unit!r}D) as bigint), _level)"))
+        keys = [*keys, "_level", "_bin"]
+    elif bin_size is not None:
         bins = F.sequence(F.floor(F.col(start) / bin_size).cast("long"), F.floor(F.col(stop) / bin_size).cast("long"))
         intervals = intervals.where(F.col(start) <= F.col(stop)).withColumn("_bin", F.explode(bins))
         points = points.withColumn("_bin", F.floor(F.col(at) / bin_size).cast("long"))
@@ -93,7 +125,7 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[
     for k in keys:
         on = on & (F.col(k) == F.col(f"{k}__i"))
     out = points.join(right, on, how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*[f"{k}__i" for k in keys], "_bin")
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"{k}__i" for k in keys], "_bin", "_level")
 
 
 def attribute_points_to_intervals(intervals: DataFrame, points: DataFrame, keys: Sequence[str], row: Sequence[str], at: str, start: str, stop: str, value: str, team: str, point_team: str, bin_size: float | None = None) -> DataFrame:
@@ -143,11 +175,33 @@ def active_counts_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str
     return out.select("_row.*", (F.col("_n") + F.col("_n0")).alias("n_active"), (F.col("_flagged") + F.col("_f0") > 0).alias("any_flag"))
 
 
-def active_set_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str], row: Sequence[str], at: str, start: str, stop: str, who: str, bin_size: float | None = None) -> DataFrame:
-    """For each point the sorted set of owners of intervals that cover it."""
-    inside = points_in_intervals(points, intervals, keys, at, start, stop, bin_size=bin_size)
-    sets = inside.groupBy(*row).agg(F.sort_array(F.collect_set(who)).alias("active"))
-    return points.join(sets, list(row), "left").withColumn("active", F.coalesce("active", F.array().cast(dict(intervals.dtypes)[who].join(("array<", ">")))))
+def active_set_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str], row: Sequence[str], at: str, start: str, stop: str, who: str, bin_size: float = 1.0) -> DataFrame:
+    """For each point the sorted set of owners of intervals that cover it, by a sweep.
+
+    Each owner's intervals are merged. The set at the start of a bin of the axis is found once for each bin that holds a
+    point; from there a point's set follows by the starts and stops inside the bin up to it. So points are never paired
+    with the intervals that merely go on, and a bin with its changes is one task's work, whatever the key's size."""
+    kind = f"array<{dict(intervals.dtypes)[who]}>"
+    place = lambda c: F.floor(F.col(c) / bin_size).cast("long")
+    merged = sinks.cut(_merged(intervals, keys, start, stop, who))
+    asked = points.where(F.col(at).isNotNull()).select(*keys, *row, F.col(at).alias("_at"), place(at).alias("_bin"))
+    bins = asked.select(*keys, "_bin").distinct().withColumn("_from", F.col("_bin") * F.lit(float(bin_size)))
+    held = points_in_intervals(bins.withColumnRenamed("_bin", "_of"), merged, keys, "_from", "_start", "_stop", unit=float(bin_size))
+    snapshots = held.groupBy(*keys, F.col("_of").alias("_bin")).agg(F.collect_set(who).alias("_held"))
+    ends = F.inline(F.array(F.struct(F.col("_start").cast("double").alias("_at"), F.lit(1).alias("_d")), F.struct(F.col("_stop").cast("double").alias("_at"), F.lit(-1).alias("_d"))))
+    moves = merged.select(*keys, F.col(who).alias("_who"), ends).withColumn("_bin", place("_at"))
+    # what happens at the very start of a bin is in its snapshot
+    moves = moves.where(F.col("_at") > F.col("_bin") * F.lit(float(bin_size)))
+    none = F.lit(None).cast(dict(intervals.dtypes)[who])
+    mark = F.struct(*row)
+    line = asked.select(*keys, "_bin", F.col("_at").cast("double").alias("_at"), F.lit(2).alias("_d"), none.alias("_who"), mark.alias("_row"))
+    line = line.unionByName(moves.withColumn("_row", F.lit(None).cast(line.schema["_row"].dataType)))
+    w = Window.partitionBy(*keys, "_bin").orderBy("_at", "_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = F.collect_list(F.when(F.col("_d") < 2, F.struct(F.col("_who").alias("o"), F.col("_d").alias("d")))).over(w)
+    swept = null_safe(line.withColumn("_past", past).where("_d = 2"), snapshots, [*keys, "_bin"], "left")
+    move = lambda acc, x: F.when(x["d"] > 0, F.array_union(acc, F.array(x["o"]))).otherwise(F.array_remove(acc, x["o"]))
+    sets = swept.select("_row.*", F.sort_array(F.aggregate("_past", F.coalesce("_held", F.array().cast(kind)), move)).alias("active"))
+    return points.join(sets, list(row), "left").withColumn("active", F.coalesce("active", F.array().cast(kind)))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, columns: Sequence[str], tie: Sequence[str] = (), prefix: str = "") -> DataFrame:

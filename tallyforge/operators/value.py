@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions import fixed, numeric
+from tallyforge.functions import fixed, numeric, text
 from tallyforge.operators import joins, ranks, stats
+from tallyforge.sources import sinks
 from tallyforge.sources.files import lookup
 
 
@@ -54,89 +55,128 @@ def replacement_levels(players: DataFrame, team: str, pos: str, toi: str, games:
     return sides.select(F.inline(F.array(F.struct(F.lit("F").alias(pos), F.col("F").alias("level")), F.struct(F.lit("D").alias(pos), F.col("D").alias("level")))))
 
 
-def _situation(facts: DataFrame, name: str, season: str) -> DataFrame:
-    own = {c: f"{c}_{name}" for c in facts.columns if c not in ("playerId", "Player", "PosBucket", "Team", "GP", season)}
-    return facts.withColumnsRenamed(own)
+#: What each measure of a skater's season is: its situation, the table's rate and the rate that its pool is averaged by, and
+#: whether more of it is better.
+MEASURES = {"ES_off": ("ES", "xGF60", "xGF60", True), "ES_def": ("ES", "xGA60", "xGA60", False), "PP": ("PP", "xGF60", "GF60", True), "PK": ("PK", "xGA60", "GA60", False)}
+TRIM_HIGH, TRIM_LOW = 0.05, 0.10  # of a pool's best attacks, and of its best defences
+
+
+def _by_measure(column: Column, values: Mapping[str, object], default: Column | None = None) -> Column:
+    """A value for each measure."""
+    out = default
+    for name, v in values.items():
+        c = v if isinstance(v, Column) else F.lit(v)
+        out = F.when(column == name, c) if out is None else F.when(column == name, c).otherwise(out)
+    return out
+
+
+def _measured(tables: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """(keys, TOI, oz, measure, rate, pooled): a row for each measure of each row of the situations' tables."""
+    out = None
+    for situation, table in tables.items():
+        own = [F.struct(F.lit(m).alias("measure"), F.col(rate).cast("double").alias("rate"), F.col(pooled).cast("double").alias("pooled")) for m, (s, rate, pooled, _) in MEASURES.items() if s == situation]
+        oz = F.col("oz").cast("double") if "oz" in table.columns else F.lit(None).cast("double")
+        rows = table.select(*keys, F.coalesce(F.col("TOI").cast("double"), F.lit(0.0)).alias("TOI"), oz.alias("oz"), F.inline(F.array(*own)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def replacement_bases(measured: DataFrame, season: str, team: str = "Team", least_games: int = 10, least_toi: float = 100.0) -> DataFrame:
+    """(season, measure, PosBucket, base), A4: what those below their team's cutoff give, for all seasons and measures in
+    one grouped pass: means weighted by time without the best twentieth of attacks or tenth of defences. Forwards and
+    defenders stand in for each other where one group is empty; both null where both are."""
+    m = F.col("measure")
+    ranked = ranks.rank_first(measured, [season, "measure", team, "PosBucket"], [F.col("TOI").desc(), F.col("playerId")])
+    cutoff = lambda p: _by_measure(m, {name: fixed.POOL_CUTOFF[s][p] for name, (s, *_) in MEASURES.items()})
+    below = F.col("rank") > F.when(F.col("PosBucket") == "D", cutoff("D")).otherwise(cutoff("F"))
+    pool = ranked.where(below & (F.col("GP") >= least_games) & (F.col("TOI") >= least_toi))
+    pool = sinks.cut(pool.select(season, "measure", "PosBucket", "TOI", "pooled"))
+    better = m.isin([name for name, (*_, up) in MEASURES.items() if up])
+    group = [season, "measure", "PosBucket"]
+    means = stats.weighted_trimmed_mean(pool.where(better), group, "pooled", "TOI", 0.0, TRIM_HIGH, "level").unionByName(stats.weighted_trimmed_mean(pool.where(~better), group, "pooled", "TOI", TRIM_LOW, 0.0, "level"))
+    side = lambda p: F.max(F.when(F.col("PosBucket") == p, F.col("level")))
+    wide = means.groupBy(season, "measure").agg(side("F").alias("f"), side("D").alias("d"))
+    both = F.array(F.struct(F.lit("F").alias("PosBucket"), F.coalesce("f", "d").alias("base")), F.struct(F.lit("D").alias("PosBucket"), F.coalesce("d", "f").alias("base")))
+    return wide.select(season, "measure", F.inline(both))
+
+
+def _with_lags(rows: DataFrame, season: str) -> DataFrame:
+    """With TOI_1, TOI_2, lag_1 and lag_2: time and mean of ``lagged`` in the two seasons before. Rows are replicated to the
+    later seasons that they serve and grouped once; a mean over a missing value is missing."""
+    ahead = rows.where("playerId is not null").select("playerId", "measure", "TOI", "lagged", F.col(season).alias("_s"), F.explode(F.array(F.lit(1), F.lit(2))).alias("_lag"))
+    served = ahead.withColumn(season, F.col("_s") + F.col("_lag"))
+    w, aggs = F.col("TOI") + 1e-9, []
+    for i in (1, 2):
+        on = F.col("_lag") == i
+        whole = F.count(F.when(on, F.col("lagged"))) == F.count(F.when(on, 1))
+        aggs += [F.sum(F.when(on, F.col("TOI"))).alias(f"TOI_{i}"), F.when(whole, F.sum(F.when(on, F.col("lagged") * w)) / F.sum(F.when(on, w))).alias(f"lag_{i}")]
+    return rows.join(served.groupBy("playerId", "measure", season).agg(*aggs), ["playerId", "measure", season], "left")
 
 
 def gar(es: DataFrame, pp: DataFrame, pk: DataFrame, goals: DataFrame, season: str = "start_year", join_games: bool = True) -> DataFrame:
     """Goals above replacement, wins and points of all seasons at once.
 
     ``es``: playerId, Player, PosBucket, Team, GP, season, TOI, xGF60, xGA60, oz; ``pp``: .. TOI, GF60 (actual), xGF60;
-    ``pk``: .. TOI, GA60, xGA60; ``goals``: season, goals_per_win, goals_per_point. Earlier seasons come by lagged
-    joins of the same tables. With ``join_games`` the key of the outer merge holds games played, as the rows did
-    originally (Q5); without it one row stays one row.
+    ``pk``: .. TOI, GA60, xGA60; ``goals``: season, goals_per_win, goals_per_point. Each rate is shrunk towards its pool's
+    by its time, and blended with those of the two seasons before: at even strength with shrunk ones, else with raw ones.
+    The situations are stored once, a row for each measure; all later steps group or join these rows. With
+    ``join_games`` the key of a skater's row holds games played, as it did originally (Q5); without it one row stays one
+    row. A key that repeats within a situation is an error.
     """
     f = fixed
-    ks = lambda c: F.when(F.col("PosBucket") == "D", f.SHRINK_ES["D"]).otherwise(f.SHRINK_ES["F"]) if c is None else c
-    low = {"xGF60": (es, "ES", 0.0, 0.05), "xGA60": (es, "ES", 0.10, 0.0), "GF60": (pp, "PP", 0.0, 0.05), "GA60": (pk, "PK", 0.10, 0.0)}
-    levels = {}
-    for value, (table, situation, lo, hi) in low.items():
-        by_season = []
-        ranked = table.withColumn("_team", F.concat_ws("|", F.col(season).cast("string"), "Team"))
-        pool = ranks.rank_first(ranked, ["_team", "PosBucket"], [F.col("TOI").desc(), F.col("playerId")])
-        gate = F.lit(False)
-        for p, n in f.POOL_CUTOFF[situation].items():
-            gate = gate | ((F.col("PosBucket") == p) & (F.col("rank") > n))
-        pool = pool.where(gate & (F.col("GP") >= 10) & (F.col("TOI") >= 100))
-        means = stats.weighted_trimmed_mean(pool, [season, "PosBucket"], value, "TOI", lo, hi, "level")
-        wide = means.groupBy(season).agg(F.max(F.when(F.col("PosBucket") == "F", F.col("level"))).alias("F"), F.max(F.when(F.col("PosBucket") == "D", F.col("level"))).alias("D"))
-        pairs = F.array(F.struct(F.lit("F").alias("PosBucket"), F.coalesce("F", "D").alias(f"base_{value}")), F.struct(F.lit("D").alias("PosBucket"), F.coalesce("D", "F").alias(f"base_{value}")))
-        by_season = wide.select(season, F.inline(pairs))
-        levels[value] = by_season
-
-    def lagged(table: DataFrame, values: Sequence[str], years: int) -> DataFrame:
-        eps = F.col("TOI") + 1e-9
-        agg = [F.when(F.count(v) == F.count(F.lit(1)), F.sum(F.col(v) * eps) / F.sum(eps)).alias(f"{v}_{years}") for v in values]
-        return table.groupBy("playerId", (F.col(season) + years).alias(season)).agg(F.sum("TOI").alias(f"TOI_{years}"), *agg)
-
-    def blended(table: DataFrame, values: Mapping[str, str], current: Column, k_lag: float, shrunk: bool) -> DataFrame:
-        out = table
-        for value, level in values.items():
-            out = out.join(F.broadcast(levels[level].withColumnRenamed(f"base_{level}", f"base_{value}")) if level != value else F.broadcast(levels[level]), [season, "PosBucket"], "left")
-        own = list(values)
-        if shrunk:
-            w = numeric.shrink(F.col("TOI"), ks(None))
-            out = out.withColumns({f"{v}_shr": F.when(F.col(v).isNull(), F.col(f"base_{v}")).otherwise(w * F.col(v) + (1 - w) * F.col(f"base_{v}")) for v in own})
-        lag_source = out.withColumns({v: F.col(f"{v}_shr") for v in own}) if shrunk else table
-        for years in (1, 2):
-            out = out.join(lagged(lag_source, own, years), ["playerId", season], "left")
-        weights = [current, numeric.shrink(F.coalesce("TOI_1", F.lit(0.0)), k_lag), f.LAG_DECAY * numeric.shrink(F.coalesce("TOI_2", F.lit(0.0)), k_lag)]
-        total = weights[0] + weights[1] + weights[2]
-        for v in own:
-            now = F.col(f"{v}_shr") if shrunk else F.coalesce(v, f"base_{v}")
-            parts = [now, F.coalesce(f"{v}_1", f"base_{v}"), F.coalesce(f"{v}_2", f"base_{v}")]
-            out = out.withColumn(f"{v}_blend", F.when(total > 0, (parts[0] * weights[0] + parts[1] * weights[1] + parts[2] * weights[2]) / total).otherwise(F.col(f"base_{v}")))
-        return out
-
-    per_game = F.col("TOI") / F.nullif(F.col("GP").cast("double"), F.lit(0.0))
-    current = F.greatest(F.lit(0.0), F.coalesce(per_game / (ks(None) / 9) * F.col("GP") / (F.col("GP") + 9), F.lit(0.0)))
-    e = blended(es, {"xGF60": "xGF60", "xGA60": "xGA60"}, current, f.PRIOR_K["ES"], True)
-    oz = F.coalesce(F.col("oz"), F.lit(50.0))
-    mean = F.avg(100 - oz).over(Window.partitionBy(season))
-    usage = numeric.clip(1 + 0.10 * ((100 - oz) - mean) / 25, 0.92, 1.08)
-    e = e.withColumn("GAR_ES_off", (F.col("xGF60_blend") - F.col("base_xGF60")) * F.col("TOI") / 60).withColumn("GAR_ES_def", (F.col("base_xGA60") - F.col("xGA60_blend")) * usage * F.col("TOI") / 60)
-    p = blended(pp, {"xGF60": "GF60"}, numeric.shrink(F.col("TOI"), f.CURRENT_K["PP"]), f.PRIOR_K["PP"], False)
-    p = p.withColumn("GAR_PP", (F.col("xGF60_blend") - F.col("base_xGF60")) * F.col("TOI") / 60)
-    k = blended(pk, {"xGA60": "GA60"}, numeric.shrink(F.col("TOI"), f.CURRENT_K["PK"]), f.PRIOR_K["PK"], False)
-    k = k.withColumn("GAR_PK", (F.col("base_xGA60") - F.col("xGA60_blend")) * F.col("TOI") / 60)
-    keys = ["playerId", "Player", "PosBucket", "Team", season, *(["GP"] if join_games else [])]
-    games = [] if join_games else ["GP"]
-    parts = {"EV": e.select(*keys, *games, "TOI", "GAR_ES_off", "GAR_ES_def"), "PP": p.select(*keys, *games, "TOI", "GAR_PP"), "PK": k.select(*keys, *games, "TOI", "GAR_PK")}
-    merged = joins.outer_facts(parts, keys)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    out = merged.withColumn("GP", F.col("GP") if join_games else F.greatest("GP_EV", "GP_PP", "GP_PK"))
-    out = out.withColumns({"TOI_all": zero("TOI_EV") + zero("TOI_PP") + zero("TOI_PK"), "GAR_off": zero("GAR_ES_off_EV") + zero("GAR_PP_PP"), "GAR_def": zero("GAR_ES_def_EV") + zero("GAR_PK_PK")})
-    out = out.withColumn("GAR_total", F.col("GAR_off") + F.col("GAR_def")).join(F.broadcast(goals), season, "left")
-    out = out.withColumn("WAR", numeric.ratio(F.col("GAR_total"), F.col("goals_per_win"))).withColumn("SPAR", numeric.ratio(F.col("GAR_total"), F.col("goals_per_point")))
-    from tallyforge.functions.text import role_bucket
-
-    out = out.withColumn("TOI_perG", numeric.ratio(F.col("TOI_all"), F.col("GP"))).withColumn("RoleBucket", role_bucket(F.col("PosBucket"), F.col("GP"), F.col("TOI_perG")))
-    gate = F.col("GP") >= 9
-    masks = {"ES": (zero("GAR_ES_off_EV") + zero("GAR_ES_def_EV"), gate & (F.col("TOI_EV") > 0)), "PP": (F.col("GAR_PP_PP"), gate & (F.col("TOI_PP") >= 60)), "PK": (F.col("GAR_PK_PK"), gate & (F.col("TOI_PK") >= 60)), "off": (F.col("GAR_off"), gate & (F.col("TOI_all") > 0)), "def": (F.col("GAR_def"), gate & (F.col("TOI_all") > 0)), "total": (F.col("GAR_total"), gate & (F.col("TOI_all") > 0))}
+    keys = ["playerId", "Player", "PosBucket", "Team", "GP", season]
+    m, toi = F.col("measure"), F.col("TOI")
+    rows = sinks.cut(_measured({"ES": es, "PP": pp, "PK": pk}, keys))
+    bases = sinks.small(sinks.cut(replacement_bases(rows, season)))
+    usage = sinks.small(sinks.cut(rows.where("measure = 'ES_def'").groupBy(season).agg(F.avg(100 - F.coalesce("oz", F.lit(50.0))).alias("mean_dz"))))
+    # shrunk towards the pool
+    by_pos = F.when(F.col("PosBucket") == "D", f.SHRINK_ES["D"]).otherwise(f.SHRINK_ES["F"])
+    k = _by_measure(m, {"PP": f.CURRENT_K["PP"], "PK": f.CURRENT_K["PK"]}, by_pos)
+    rows = rows.join(bases, [season, "measure", "PosBucket"], "left").withColumn("_w", numeric.shrink(toi, k))
+    rows = rows.withColumn("shrunk", F.col("_w") * F.coalesce("rate", "base") + (1 - F.col("_w")) * F.col("base"))
+    rows = rows.withColumn("lagged", F.when(m.isin("PP", "PK"), F.col("rate")).otherwise(F.col("shrunk")))
+    rows = _with_lags(sinks.cut(rows), season)
+    # blended with the seasons before
+    per_game = F.when(F.col("GP") > 0, toi / F.col("GP") / (by_pos / 9) * F.col("GP") / (F.col("GP") + 9)).otherwise(0.0)
+    now = F.when(m.isin("PP", "PK"), F.col("_w")).otherwise(F.greatest(F.lit(0.0), per_game))
+    prior = _by_measure(m, {name: f.PRIOR_K[s] for name, (s, *_) in MEASURES.items()})
+    weights = [now, numeric.shrink(F.coalesce("TOI_1", F.lit(0.0)), prior), f.LAG_DECAY * numeric.shrink(F.coalesce("TOI_2", F.lit(0.0)), prior)]
+    rows = rows.withColumns({f"_w{i}": w for i, w in enumerate(weights)})
+    total = F.col("_w0") + F.col("_w1") + F.col("_w2")
+    parts = F.col("_w0") * F.coalesce("shrunk", "base") + F.col("_w1") * F.coalesce("lag_1", "base") + F.col("_w2") * F.coalesce("lag_2", "base")
+    rows = rows.withColumn("blend", parts / F.when(total > 0, total).otherwise(1.0)).join(usage, season, "left")
+    # against replacement
+    sheltered = numeric.clip(1 + 0.10 * ((100 - F.coalesce("oz", F.lit(50.0))) - F.col("mean_dz")) / 25, 0.92, 1.08)
+    better = m.isin([name for name, (*_, up) in MEASURES.items() if up])
+    above = F.when(better, F.col("blend") - F.col("base")).otherwise(F.col("base") - F.col("blend"))
+    rows = rows.withColumn("gar", above * F.when(m == "ES_def", sheltered).otherwise(1.0) * toi / 60)
+    # one row for each skater's season
+    row = keys if join_games else [c for c in keys if c != "GP"]
+    pick = lambda name, c: F.max(F.when(m == name, F.col(c)))
+    once = F.greatest(*[F.count(F.when(m == name, 1)) for name in MEASURES]) <= 1
+    guard = lambda c: F.when(once, c).otherwise(F.raise_error(F.lit(f"a key of {', '.join(row)} repeats within a situation")))
+    facts = {
+        "TOI_EV": ("ES_off", "TOI"), "TOI_PP": ("PP", "TOI"), "TOI_PK": ("PK", "TOI"), "ES_xGF60_shr": ("ES_off", "shrunk"), "ES_xGA60_shr": ("ES_def", "shrunk"), "ES_xGF60_blend": ("ES_off", "blend"), "ES_xGA60_blend": ("ES_def", "blend"),
+        "PP_GF60_shr": ("PP", "shrunk"), "PK_GA60_shr": ("PK", "shrunk"), "GAR_ES_off": ("ES_off", "gar"), "GAR_ES_def": ("ES_def", "gar"), "GAR_PP": ("PP", "gar"), "GAR_PK": ("PK", "gar"),
+    }
+    zero = ("TOI_EV", "TOI_PP", "TOI_PK", "GAR_ES_off", "GAR_ES_def", "GAR_PP", "GAR_PK")
+    aggs = [guard(F.coalesce(pick(*at), F.lit(0.0)) if name in zero else pick(*at)).alias(name) for name, at in facts.items()]
+    out = rows.groupBy(*row).agg(*aggs, *([] if join_games else [F.max("GP").alias("GP")]))
+    out = out.withColumns({"TOI_all": F.col("TOI_EV") + F.col("TOI_PP") + F.col("TOI_PK"), "GAR_off": F.col("GAR_ES_off") + F.col("GAR_PP"), "GAR_def": F.col("GAR_ES_def") + F.col("GAR_PK")})
+    out = out.withColumn("GAR_total", F.col("GAR_off") + F.col("GAR_def")).join(sinks.small(goals), season, "left")
+    over = lambda c: F.when(F.col(c) > 0, F.col("GAR_total") / F.col(c))
+    out = out.withColumns({"WAR": over("goals_per_win"), "SPAR": over("goals_per_point"), "TOI_perG": F.when(F.col("GP") > 0, F.col("TOI_all") / F.col("GP")).otherwise(0.0)})
+    out = out.withColumn("RoleBucket", text.role_bucket(F.col("PosBucket"), F.col("GP"), F.col("TOI_perG"))).withColumn("_es", F.col("GAR_ES_off") + F.col("GAR_ES_def"))
+    # ranks within position and role: one shuffle serves them all
+    out = out.repartition(season, "PosBucket", "RoleBucket")
+    played = F.col("GP") >= 9
+    masks = {
+        "ES": ("_es", played & (F.col("TOI_EV") > 0)), "PP": ("GAR_PP", F.col("TOI_PP") >= 60), "PK": ("GAR_PK", F.col("TOI_PK") >= 60),
+        **{name: (f"GAR_{name}", played & (F.col("TOI_all") > 0)) for name in ("off", "def", "total")},
+    }
     for name, (value, mask) in masks.items():
-        out = ranks.pct_rank_avg(out.withColumn("_v", value), [season, "PosBucket", "RoleBucket"], "_v", f"pct_{name}_pos_role", mask).drop("_v")
-    return out
+        out = ranks.pct_rank_avg(out, [season, "PosBucket", "RoleBucket"], value, f"pct_{name}_pos_role", mask)
+    return out.drop("_es")
 
 
 def season_blend(df: DataFrame, key: str, year: str, columns: Sequence[str], weights: Sequence[float] = fixed.SEASON_BLEND) -> DataFrame:

@@ -13,7 +13,7 @@ from tallyforge.functions import fixed, numeric, rink, text
 from tallyforge.operators import comps, joins, models, ranks, stats, stints, value
 from tallyforge.plans import seasons
 from tallyforge.plans.catalogue import _r, _t, query
-from tallyforge.sources import files
+from tallyforge.sources import files, sinks
 
 
 def _s(c) -> F.Column:
@@ -462,39 +462,74 @@ def season_outliers(spark, sf):
     return out.select("t", "y", F.col("Reasons").alias("reasons"))
 
 
-@query()
+@query("""WITH l AS (SELECT s_suppkey AS id, s_name AS nm, CASE WHEN s_suppkey % 3 = 0 THEN 'D' ELSE 'F' END AS pos, n_regionkey AS team, year(l_shipdate) AS y, l_returnflag AS f, l_quantity / 2 AS q, l_extendedprice AS e, l_discount AS d, l_orderkey
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+g AS (SELECT id, y, count(DISTINCT l_orderkey)::DOUBLE AS gp FROM l GROUP BY ALL),
+t AS (SELECT id, nm, pos, team, y, f, sum(q) AS toi, 60 * (sum(e) / 1e5) / sum(q) AS a, 60 * (sum(d * e) / 1e4) / sum(q) AS b FROM l GROUP BY ALL),
+m AS (SELECT t.*, gp, 40 + id % 21 AS oz, u.ms, CASE WHEN ms = 'ES_off' THEN a WHEN ms = 'ES_def' THEN b WHEN ms = 'PP' THEN CASE WHEN id % 7 > 0 THEN a * 5 / 6 END ELSE b * 5 / 6 END AS rate, CASE WHEN ms IN ('ES_off', 'PP') THEN a ELSE b END AS pooled
+  FROM t JOIN g USING (id, y) JOIN (VALUES ('N', 'ES_off'), ('N', 'ES_def'), ('A', 'PP'), ('R', 'PK')) u(f, ms) USING (f)),
+pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y, ms, team, pos ORDER BY toi DESC, id) AS r FROM m)
+  WHERE r > CASE ms WHEN 'PP' THEN CASE pos WHEN 'D' THEN 2 ELSE 5 END WHEN 'PK' THEN 4 ELSE CASE pos WHEN 'D' THEN 8 ELSE 12 END END AND gp >= 10 AND toi >= 100),
+bd AS (SELECT y, ms, pos, quantile_cont(pooled, 0.95) AS hi, quantile_cont(pooled, 0.10) AS lo FROM pl GROUP BY ALL),
+lv AS (SELECT y, ms, pos, sum(pooled * toi) / sum(toi) AS v FROM pl JOIN bd USING (y, ms, pos) WHERE CASE WHEN ms IN ('ES_off', 'PP') THEN pooled <= hi ELSE pooled >= lo END GROUP BY ALL),
+bs AS (SELECT y, ms, p.pos, coalesce(max(CASE WHEN lv.pos = p.pos THEN v END), max(v)) AS base FROM lv, (VALUES ('F'), ('D')) p(pos) GROUP BY ALL),
+sh AS (SELECT m.*, base, toi / (toi + k) AS w, toi / (toi + k) * coalesce(rate, base) + (1 - toi / (toi + k)) * base AS shr
+  FROM (SELECT *, CASE WHEN ms = 'PP' THEN 120 WHEN ms = 'PK' THEN 1200 WHEN pos = 'D' THEN 260 ELSE 300 END AS k FROM m) m LEFT JOIN bs USING (y, ms, pos)),
+lg AS (SELECT id, ms, y, toi, CASE WHEN ms IN ('PP', 'PK') THEN rate ELSE shr END AS lag FROM sh),
+bl AS (SELECT sh.*, CASE WHEN sh.ms IN ('PP', 'PK') THEN w ELSE toi0 / gp / (CASE WHEN pos = 'D' THEN 260 ELSE 300 END / 9.0::DOUBLE) * gp / (gp + 9) END AS w0, coalesce(l1.toi / (l1.toi + pk), 0) AS w1, 0.55 * coalesce(l2.toi / (l2.toi + pk), 0) AS w2, l1.lag AS g1, l2.lag AS g2
+  FROM (SELECT *, toi AS toi0, CASE ms WHEN 'PP' THEN 120 WHEN 'PK' THEN 600 ELSE 240 END AS pk FROM sh) sh LEFT JOIN lg l1 ON l1.id = sh.id AND l1.ms = sh.ms AND l1.y = sh.y - 1 LEFT JOIN lg l2 ON l2.id = sh.id AND l2.ms = sh.ms AND l2.y = sh.y - 2),
+us AS (SELECT y, avg(100 - oz) AS dz FROM m WHERE ms = 'ES_def' GROUP BY y),
+ga AS (SELECT id, nm, pos, team, y, gp, ms, toi, CASE WHEN ms IN ('ES_off', 'PP') THEN b - base ELSE base - b END * CASE WHEN ms = 'ES_def' THEN greatest(0.92, least(1.08, 1 + 0.10 * ((100 - oz) - dz) / 25)) ELSE 1 END * toi / 60 AS gar
+  FROM (SELECT * EXCLUDE (b), (w0 * shr + w1 * coalesce(g1, base) + w2 * coalesce(g2, base)) / (w0 + w1 + w2) AS b FROM bl) JOIN us USING (y)),
+o AS (SELECT id, pos, y, gp, coalesce(max(CASE WHEN ms = 'ES_off' THEN toi END), 0) AS ev, coalesce(max(CASE WHEN ms = 'PP' THEN toi END), 0) AS pp, coalesce(max(CASE WHEN ms = 'PK' THEN toi END), 0) AS pk, coalesce(max(CASE WHEN ms = 'ES_off' THEN gar END), 0) AS g_off, coalesce(max(CASE WHEN ms = 'ES_def' THEN gar END), 0) AS g_def, coalesce(max(CASE WHEN ms = 'PP' THEN gar END), 0) AS g_pp, coalesce(max(CASE WHEN ms = 'PK' THEN gar END), 0) AS g_pk FROM ga GROUP BY id, nm, pos, team, y, gp),
+r AS (SELECT *, g_off + g_def + g_pp + g_pk AS total, (ev + pp + pk) / gp AS tpg, CASE WHEN gp < 15 THEN 'Other' WHEN pos = 'D' THEN CASE WHEN (ev + pp + pk) / gp <= 15 THEN '3rd Pair' WHEN (ev + pp + pk) / gp <= 18 THEN 'Bottom-4' WHEN (ev + pp + pk) / gp <= 20 THEN 'Top-4' ELSE '1st Pair' END
+  WHEN (ev + pp + pk) / gp <= 9 THEN '4th Line' WHEN (ev + pp + pk) / gp <= 12 THEN 'Bottom-6' WHEN (ev + pp + pk) / gp <= 15.5 THEN 'Middle-6' WHEN (ev + pp + pk) / gp <= 18.5 THEN 'Top-6' ELSE '1st Line' END AS role FROM o)
+SELECT id AS "playerId", y AS start_year, role AS "RoleBucket", round(g_off, 4) + 0.0 AS es_off, round(g_def, 4) + 0.0 AS es_def, round(g_pp, 4) + 0.0 AS pp, round(g_pk, 4) + 0.0 AS pk, round(total, 4) + 0.0 AS gar, round(total / 6, 4) + 0.0 AS war, round(total / 3, 4) + 0.0 AS spar,
+  CASE WHEN gp >= 9 AND ev + pp + pk > 0 THEN round(100.0::DOUBLE * (rank() OVER w + (count(*) OVER (PARTITION BY y, pos, role, total) - 1) / 2.0) / count(*) OVER (PARTITION BY y, pos, role), 3) END AS pct
+FROM r WINDOW w AS (PARTITION BY y, pos, role ORDER BY total)""")
 def gar_war_spar(spark, sf):
     """The whole assembly: three situations of a skater's seasons, shrunk, blended, against replacement, in wins and points."""
-    line = _t(spark, sf, "lineitem").join(_t(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    rows = line.groupBy(F.col("s_suppkey").alias("playerId"), F.col("s_name").alias("Player"), F.when(F.col("n_regionkey") < 3, "F").otherwise("D").alias("PosBucket"), F.col("n_name").alias("Team"), F.year("l_shipdate").alias("start_year"), "l_returnflag").agg(
-        F.sum("l_quantity").alias("TOI"), (F.sum("l_extendedprice") / 1e5).alias("a"), (F.sum(F.col("l_discount") * F.col("l_extendedprice")) / 1e4).alias("b"))
-    games = line.groupBy(F.col("s_suppkey").alias("playerId"), F.year("l_shipdate").alias("start_year")).agg(F.count_distinct("l_orderkey").alias("GP"))
-    rows = rows.join(games, ["playerId", "start_year"])
+    place = _t(spark, sf, "supplier").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    place = place.select(F.col("s_suppkey").alias("playerId"), F.col("s_name").alias("Player"), F.when(F.col("s_suppkey") % 3 == 0, "D").otherwise("F").alias("PosBucket"), F.col("n_regionkey").cast("string").alias("Team"))
+    line = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("playerId"), F.year("l_shipdate").cast("bigint").alias("start_year"), "l_returnflag", "l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
+    sums = line.groupBy("playerId", "start_year", "l_returnflag").agg((F.sum("l_quantity") / 2).alias("TOI"), (F.sum("l_extendedprice") / 1e5).alias("a"), (F.sum(F.col("l_discount") * F.col("l_extendedprice")) / 1e4).alias("b"))
+    games = line.groupBy("playerId", "start_year").agg(F.count_distinct("l_orderkey").cast("double").alias("GP"))
+    rows = sinks.cut(sums.join(games, ["playerId", "start_year"]).join(place, "playerId"))
+    rate = lambda c: 60 * F.col(c) / F.col("TOI")
     part = lambda flag, *names: rows.where(F.col("l_returnflag") == flag).select("playerId", "Player", "PosBucket", "Team", "GP", "start_year", "TOI", *names)
-    es = part("N", (60 * F.col("a") / F.col("TOI")).alias("xGF60"), (60 * F.col("b") / F.col("TOI")).alias("xGA60"), F.lit(50.0).alias("oz"))
-    pp = part("A", (60 * F.col("a") / F.col("TOI")).alias("GF60"), (50 * F.col("a") / F.col("TOI")).alias("xGF60"))
-    pk = part("R", (60 * F.col("b") / F.col("TOI")).alias("GA60"), (50 * F.col("b") / F.col("TOI")).alias("xGA60"))
+    es = part("N", rate("a").alias("xGF60"), rate("b").alias("xGA60"), (40 + F.col("playerId") % 21).alias("oz"))
+    pp = part("A", rate("a").alias("GF60"), F.when(F.col("playerId") % 7 > 0, rate("a") * 5 / 6).alias("xGF60"))
+    pk = part("R", rate("b").alias("GA60"), (rate("b") * 5 / 6).alias("xGA60"))
     years = rows.select("start_year").distinct().withColumn("goals_per_win", F.lit(6.0)).withColumn("goals_per_point", F.lit(3.0))
     out = value.gar(es, pp, pk, years)
-    return out.select("playerId", "start_year", "RoleBucket", _r("GAR_total").alias("gar"), _r("WAR").alias("war"), _r("SPAR").alias("spar"), "pct_total_pos_role")
+    # places are ranked again without rounding, as ties of rounded halves differ by language
+    out = ranks.pct_rank_avg(out, ["start_year", "PosBucket", "RoleBucket"], "GAR_total", "pct", (F.col("GP") >= 9) & (F.col("TOI_all") > 0), None)
+    return out.select("playerId", "start_year", "RoleBucket", *[(_r(c) + F.lit(0.0)).alias(n) for c, n in (("GAR_ES_off", "es_off"), ("GAR_ES_def", "es_def"), ("GAR_PP", "pp"), ("GAR_PK", "pk"), ("GAR_total", "gar"), ("WAR", "war"), ("SPAR", "spar"))], _r("pct", 3).alias("pct"))
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('17:' || o_orderkey), o_orderkey LIMIT 50")
 def hash_sampled(spark, sf):
     return stats.hash_sample(_t(spark, sf, "orders"), "o_orderkey", 50).select("o_orderkey")
 
 
-@query()
+@query("""WITH s AS (SELECT o_orderkey AS k, o_orderkey % 5 - 2 AS diff, o_orderkey % 4 = 0 AS fo FROM orders), r AS (SELECT *, h, CASE WHEN h THEN diff ELSE -diff END AS own FROM s, (VALUES (true), (false)) v(h))
+SELECT h::INT AS is_home, CASE WHEN h THEN 'PP' ELSE 'PK' END AS situation, count(*) AS n, sum(CASE WHEN fo AND h THEN 1 ELSE 0 END)::BIGINT AS zone_off, sum(CASE WHEN fo AND NOT h THEN 1 ELSE 0 END)::BIGINT AS zone_def, sum(CASE WHEN fo THEN 0 ELSE 1 END)::BIGINT AS on_fly, sum(CASE WHEN own = 2 THEN 1 ELSE 0 END)::BIGINT AS plus2, sum(CASE WHEN own = -1 THEN 1 ELSE 0 END)::BIGINT AS minus1 FROM r GROUP BY h""")
 def stint_sides(spark, sf):
-    """Two rows for each stint, from a made-up stint a thousand orders long."""
-    o = _t(spark, sf, "orders").where("o_orderkey < 1000")
+    """Two rows for each stint, one stint for each order."""
     k = F.col("o_orderkey")
-    made = o.select(k.alias("gameId"), (k % 3 + 1).alias("period"), (k % 600).alias("startSec"), (k % 600 + 30).alias("endSec"), F.array(k, k + 1).alias("home_"), F.array(k + 5).alias("away_"), (k % 5 - 2).alias("diff"), (k % 4 == 0).alias("fo_start"), F.lit("O").alias("fo_zone"), F.lit("ES").alias("before"), F.lit("PP").alias("strength"), F.lit("BOS").alias("home_team"), F.lit("NYR").alias("away_team"), k.alias("j"), F.lit(0.5).alias("home_xg"), F.lit(0.25).alias("away_xg"))
-    return stints.sides(made).groupBy("is_home", "situation").agg(F.count(F.lit(1)).alias("n"), F.sum("zone_off").alias("zone_off"), F.sum("pp_started_on_fly").alias("on_fly"), F.sum("score_plus2").alias("plus2"))
-
-
-@query()
+    made = _t(spark, sf, "orders").select(k.alias("gameId"), (k % 3 + 1).alias("period"), (k % 600).alias("startSec"), (k % 600 + 30).alias("endSec"), F.array(k, k + 1).alias("home_"), F.array(k + 5).alias("away_"), (k % 5 - 2).alias("diff"), (k % 4 == 0).alias("fo_start"), F.lit("O").alias("fo_zone"), F.lit("ES").alias("before"), F.lit("PP").alias("strength"), F.lit("BOS").alias("home_team"), F.lit("NYR").alias("away_team"), k.alias("j"), F.lit(0.5).alias("home_xg"), F.lit(0.25).alias("away_xg"))
+    count = lambda c: F.sum(F.col(c).cast("int")).cast("bigint")
+    rows = stints.sides(made).groupBy(F.col("is_home").cast("int").alias("is_home"), "situation")
+    return rows.agg(F.count(F.lit(1)).alias("n"), count("zone_off").alias("zone_off"), count("zone_def").alias("zone_def"), count("pp_started_on_fly").alias("on_fly"), count("score_plus2").alias("plus2"), count("score_minus1").alias("minus1"))
+
+
+@query("""WITH m AS (SELECT avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_tax) AS m3, avg(l_extendedprice / 1e4) AS my FROM lineitem), c AS (SELECT l_quantity - m1 AS x, l_discount - m2 AS y, l_tax - m3 AS z, l_extendedprice / 1e4 - my AS t FROM lineitem, m),
+n AS (SELECT sum(x * x) + 2 AS a, sum(x * y) AS b, sum(x * z) AS c, sum(y * y) + 2 AS d, sum(y * z) AS e, sum(z * z) + 2 AS f, sum(x * t) AS p, sum(y * t) AS q, sum(z * t) AS r FROM c),
+k AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM n),
+w AS (SELECT (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det AS w1, (a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / det AS w2, (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / det AS w3 FROM k),
+v AS (SELECT l_extendedprice / 1e4 AS y, my + w1 * (l_quantity - m1) + w2 * (l_discount - m2) + w3 * (l_tax - m3) AS p FROM lineitem, m, w)
+SELECT round(corr(p, y), 6) AS r, count(p) AS n, round(avg(p * p), 4) AS square, round(min(p), 4) AS low, round(max(p), 4) AS high FROM v""")
 def term_ridge(spark, sf):
     rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 1e4).alias("y"))
     model = models.ridge_fit(rows, ["l_quantity", "l_discount", "l_tax"], "y")
-    return models.predict_linear(rows, model, "p").agg(_r(F.corr("p", "y"), 4).alias("r"), F.count("p").alias("n"))
+    return models.predict_linear(rows, model, "p").agg(_r(F.corr("p", "y"), 6).alias("r"), F.count("p").alias("n"), _r(F.avg(F.col("p") * F.col("p"))).alias("square"), _r(F.min("p")).alias("low"), _r(F.max("p")).alias("high"))
