@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import fixed
 from tallyforge.operators import joins, ranks, stats
+from tallyforge.sources import sinks
 
 
 def fit_blocks(train: DataFrame, blocks: Mapping[str, Sequence[str]], euclid: Sequence[str] = ("CTX",)) -> dict[str, dict]:
@@ -70,30 +71,120 @@ def kernel(dist: Column, scale: float = 0.85, power: float = 0.85) -> Column:
     return F.pow(F.exp(-scale * F.greatest(dist, F.lit(0.0))), F.lit(power))
 
 
-def nearest(targets: DataFrame, pool: DataFrame, target_id: str, pool_id: str, bucket: str, distance: Column, k: int = 100, prefix: tuple[str, str] = ("t_", "c_"), but_itself: bool = False, block: int = 5000) -> DataFrame:
-    """The k nearest of the pool by distance within the target's bucket, or of all where the bucket holds
-    fewer than k; with ``weight`` summing to one and ``sim_pct``. Both cases are equi-joins on a scope that the target
-    names, so a bucket is never paired with another. Every distance of a scope is looked at, in blocks of the pool of
-    about ``block`` rows: a task meets one block, keeps the k nearest of it for each target, and the best of these are
-    the answer, so no bucket of any size meets in one task and only k rows a block and target are moved on."""
+def euclid(a: Column, b: Column) -> Column:
+    """The distance of two arrays of numbers."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
+
+
+def block_metrics(blocks: Mapping[str, dict], weights: Mapping[str, float] = fixed.BLOCK_WEIGHTS) -> dict[str, Callable[[Column, Column], Column]]:
+    """R8 in parts: for each block's vector ``z_<block>`` its weighted distance, Mahalanobis or Euclidean."""
+
+    def metric(b: dict, weight: float) -> Callable[[Column, Column], Column]:
+        p = len(b["columns"])
+
+        def between(x: Column, y: Column) -> Column:
+            d = [x[i] - y[i] for i in range(p)]
+            q = F.lit(0.0)
+            for i in range(p):
+                for j in range(p):
+                    if b["inverse"][i][j]:
+                        q = q + d[i] * d[j] * float(b["inverse"][i][j])
+            return F.sqrt(F.greatest(q, F.lit(0.0))) * weight
+
+        return between
+
+    return {f"z_{name}": metric(b, weights[name]) for name, b in blocks.items()}
+
+
+PIVOTS, BLOCK = 8, 2000
+MOST_RINGS = 4096
+
+
+def nearest(targets: DataFrame, pool: DataFrame, target_id: str, pool_id: str, bucket: str, metrics: Mapping[str, Callable[[Column, Column], Column]], k: int = 100, prefix: tuple[str, str] = ("t_", "c_"), but_itself: bool = False, block: int = BLOCK, pivots: int = PIVOTS, counts: list | None = None) -> DataFrame:
+    """The k nearest of the pool by distance within the target's bucket, or of all where the bucket holds
+    fewer than k; with ``weight`` summing to one and ``sim_pct``. Exact, and no target meets rows that surely are too far.
+
+    ``metrics`` has for each column of vectors a metric; the distance is the sum over them, and a vector that either side
+    lacks counts nothing. Some rows of the pool are pivots. By their distances to these, rows lie in cells, of the pivot
+    that is nearest, and in rings of the cells; a row that lacks a vector has a cell of its own. A target first looks at
+    the rings around it, which bounds its radius where they hold k rows; then, by the triangle inequality, at the rings alone that
+    its radius touches, and of their rows at those that no pivot shows to be farther. A ring is split by hash into blocks
+    of some ``block`` rows, each with its targets a task's work. ``counts`` is given how many distances were computed, and
+    how many pairs there are."""
     t, c = prefix
-    size = pool.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    every = max(1, -(-pool.count() // block))
-    scope = targets.join(F.broadcast(size), bucket, "left").withColumn("_scope", F.when(F.coalesce("_n", F.lit(0)) < k, "*").otherwise(F.col(bucket).cast("string")))
-    blocks = F.when(F.col("_scope") == "*", F.lit(every)).otherwise(F.ceil(F.col("_n") / block)).cast("int")
-    scope = scope.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_n")
-    wide = pool.join(F.broadcast(size), bucket, "left").withColumn("_scope", F.explode(F.array(F.lit("*"), F.col(bucket).cast("string"))))
-    wide = wide.withColumn("_block", F.pmod(F.xxhash64(pool_id), F.when(F.col("_scope") == "*", F.lit(every)).otherwise(F.ceil(F.col("_n") / block))).cast("int")).drop("_n")
-    left = scope.withColumnsRenamed({x: f"{t}{x}" for x in targets.columns})
-    right = wide.withColumnsRenamed({x: f"{c}{x}" for x in pool.columns})
-    pairs = left.join(right, ["_scope", "_block"]).withColumn("dist", distance)
-    pairs = pairs.where(F.col(f"{t}{target_id}") != F.col(f"{c}{pool_id}")) if but_itself else pairs
-    few = ranks.top_k(pairs, [f"{t}{target_id}", "_block"], [F.col("dist"), F.col(f"{c}{pool_id}")], k, "_place").drop("_place", "_block")
-    best = ranks.top_k(few, [f"{t}{target_id}"], [F.col("dist"), F.col(f"{c}{pool_id}")], k, "neighbour")
+    names = list(metrics)
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.col(n).isNotNull()
+    size = sinks.cut(pool.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")))
+    scope = targets.join(sinks.small(size), bucket, "left").withColumn("_scope", F.when(F.coalesce("_n", F.lit(0)) < k, "*").otherwise(F.col(bucket).cast("string"))).drop("_n")
+    every = not scope.where("_scope = '*'").isEmpty()
+    scopes = F.array(F.lit("*"), F.col(bucket).cast("string")) if every else F.array(F.col(bucket).cast("string"))
+    centres = [r.asDict() for r in pool.where(whole).select(*names).orderBy(F.xxhash64(*names)).limit(pivots).collect()]
+
+    def placed(df: DataFrame) -> DataFrame:
+        """With the distances to the pivots by part (``_p``), the cell and the distance to its pivot (``_d``)."""
+        literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
+        far = F.array(*[F.array(*[F.coalesce(m(F.col(n), literal(v[n])), F.lit(None).cast("double")) for n, m in metrics.items()]) for v in centres])
+        df = df.withColumn("_p", far if centres else F.array().cast("array<array<double>>"))
+        sums = F.transform("_p", lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v))
+        df = df.withColumn("_sums", F.when(whole, sums))
+        df = df.withColumn("_d", F.array_min("_sums"))
+        return df.withColumn("_cell", F.coalesce(F.array_position("_sums", F.col("_d")).cast("int") - 1, F.lit(-1)))
+
+    mine = placed(pool.withColumn("_scope", F.explode(scopes)).where("_scope is not null")).drop("_sums")
+    mine = sinks.cut(mine)
+    cells = mine.groupBy("_scope", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
+    cells = cells.withColumn("_rings", F.when(F.col("_cell") < 0, 1).otherwise(F.least(F.ceil(F.col("_n") / block), F.lit(MOST_RINGS))).cast("int"))
+    cells = sinks.cut(cells.withColumn("_wide", F.greatest((F.coalesce(F.col("_hi") - F.col("_lo"), F.lit(0.0))) / F.col("_rings"), F.lit(1e-12))))
+    ring = lambda d: F.coalesce(F.floor(F.least(F.greatest((d - F.col("_lo")) / F.col("_wide"), F.lit(0.0)), F.col("_rings") - 1.0)), F.lit(0)).cast("int")
+    cells, place = sinks.small(cells), ["_scope", "_cell", "_ring"]
+    mine = mine.join(cells, ["_scope", "_cell"]).withColumn("_ring", ring(F.col("_d"))).drop("_n", "_lo", "_hi", "_rings", "_wide")
+    splits = sinks.small(sinks.cut(mine.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_splits"))))
+    right = mine.join(splits, place).withColumn("_block", F.pmod(F.xxhash64(pool_id), F.col("_splits")).cast("int")).drop("_splits")
+    right = right.withColumnsRenamed({x: f"{c}{x}" for x in [*pool.columns, "_p", "_d"]})
+    left = sinks.cut(placed(scope).withColumnsRenamed({x: f"{t}{x}" for x in [*targets.columns, "_p", "_d", "_cell", "_sums"]}))
+    who, other = F.col(f"{t}{target_id}"), F.col(f"{c}{pool_id}")
+    parts = [F.coalesce(m(F.col(f"{t}{n}"), F.col(f"{c}{n}")), F.lit(0.0)) for n, m in metrics.items()]
+    distance = sum(parts[1:], parts[0])
+    slack = lambda r: r * (1 + 1e-9) + 1e-9
+
+    def judged(visits: DataFrame, radius: bool) -> DataFrame:
+        """The k nearest within the rings that each target visits, with ``dist``: its best of each block, then of all."""
+        asked = visits.join(splits, place).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))).drop("_splits")
+        pairs = asked.join(right, [*place, "_block"])
+        pairs = pairs.where(who != other) if but_itself else pairs
+        if radius:
+            # no pivot may show the pair to be farther than the radius
+            apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.coalesce(F.abs(u - v), F.lit(0.0))), F.lit(0.0), lambda acc, v: acc + v)
+            pairs = pairs.where(F.coalesce(F.array_max(F.zip_with(f"{t}_p", f"{c}_p", apart)), F.lit(0.0)) <= slack(F.col("_radius")))
+        if counts is not None:
+            counts.append(pairs.count())
+        best = ranks.top_k(pairs.withColumn("dist", distance), [f"{t}{target_id}", *place, "_block"], [F.col("dist"), other], k, "_place")
+        best = best.drop("_place", "_cell", "_ring", "_block", f"{c}_p", f"{c}_d")
+        return ranks.top_k(best, [f"{t}{target_id}"], [F.col("dist"), other], k, "neighbour")
+
+    between = lambda low, high: F.explode(F.sequence(low, high))
+    numbers = ("_n", "_lo", "_hi", "_rings", "_wide")
+    own = ring(F.col(f"{t}_d"))
+    home = left.withColumn("_cell", F.col(f"{t}_cell")).join(cells, ["_scope", "_cell"])
+    home = home.withColumn("_ring", between(F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.col("_rings") - 1))).drop(*numbers)
+    radius = judged(home, False).groupBy(who.alias("_who")).agg(F.count(F.lit(1)).alias("_m"), F.max("dist").alias("_radius"))
+    radius = sinks.cut(radius.select("_who", F.when(F.col("_m") >= k, F.col("_radius")).otherwise(float("inf")).alias("_radius")))
+    touched = left.join(radius, who == F.col("_who"), "left").drop("_who").withColumn("_radius", F.coalesce("_radius", F.lit(float("inf")))).join(cells, "_scope")
+    at = F.when(F.col("_cell") >= 0, F.get(f"{t}_sums", F.col("_cell")))
+    low, high = at - slack(F.col("_radius")), at + slack(F.col("_radius"))
+    touched = touched.where(at.isNull() | F.col("_lo").isNull() | ((low <= F.col("_hi")) & (high >= F.col("_lo"))))
+    last = F.col("_rings") - 1
+    touched = touched.withColumn("_ring", between(F.when(at.isNull(), 0).otherwise(ring(low)), F.when(at.isNull(), last).otherwise(ring(high)))).drop(*numbers)
+    best = judged(touched, True)
+    if counts is not None:
+        counts.append(scope.groupBy("_scope").count().join(mine.groupBy("_scope").agg(F.count(F.lit(1)).alias("m")), "_scope").agg(F.sum(F.col("count") * F.col("m"))).first()[0] or 0)
+    best = best.drop(f"{t}_p", f"{t}_d", f"{t}_cell", f"{t}_sums", "_radius", "_scope")
     best = ranks.share_of_total(best.withColumn("_kernel", kernel(F.col("dist"))), [f"{t}{target_id}"], "_kernel", "weight")
     far = F.max("dist").over(Window.partitionBy(f"{t}{target_id}"))
     sim = F.when(far > 0, F.round(100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("dist") / F.nullif(far, F.lit(0.0)))), 1)).otherwise(100.0)
-    return best.withColumn("sim_pct", sim).drop("_kernel", "_scope")
+    return best.withColumn("sim_pct", sim).drop("_kernel")
 
 
 def term_statistics(neighbours: DataFrame, target: str, term: str, value: str) -> DataFrame:

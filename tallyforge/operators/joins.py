@@ -184,7 +184,7 @@ def active_set_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     kind = f"array<{dict(intervals.dtypes)[who]}>"
     place = lambda c: F.floor(F.col(c) / bin_size).cast("long")
     merged = sinks.cut(_merged(intervals, keys, start, stop, who))
-    asked = points.where(F.col(at).isNotNull()).select(*keys, *row, F.col(at).alias("_at"), place(at).alias("_bin"))
+    asked = points.where(F.col(at).isNotNull()).select(*keys, F.struct(*row).alias("_row"), F.col(at).alias("_at"), place(at).alias("_bin"))
     bins = asked.select(*keys, "_bin").distinct().withColumn("_from", F.col("_bin") * F.lit(float(bin_size)))
     held = points_in_intervals(bins.withColumnRenamed("_bin", "_of"), merged, keys, "_from", "_start", "_stop", unit=float(bin_size))
     snapshots = held.groupBy(*keys, F.col("_of").alias("_bin")).agg(F.collect_set(who).alias("_held"))
@@ -193,8 +193,7 @@ def active_set_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     # what happens at the very start of a bin is in its snapshot
     moves = moves.where(F.col("_at") > F.col("_bin") * F.lit(float(bin_size)))
     none = F.lit(None).cast(dict(intervals.dtypes)[who])
-    mark = F.struct(*row)
-    line = asked.select(*keys, "_bin", F.col("_at").cast("double").alias("_at"), F.lit(2).alias("_d"), none.alias("_who"), mark.alias("_row"))
+    line = asked.select(*keys, "_bin", F.col("_at").cast("double").alias("_at"), F.lit(2).alias("_d"), none.alias("_who"), "_row")
     line = line.unionByName(moves.withColumn("_row", F.lit(None).cast(line.schema["_row"].dataType)))
     w = Window.partitionBy(*keys, "_bin").orderBy("_at", "_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     past = F.collect_list(F.when(F.col("_d") < 2, F.struct(F.col("_who").alias("o"), F.col("_d").alias("d")))).over(w)

@@ -390,8 +390,7 @@ def _neighbours(spark, sf) -> DataFrame:
     e = _t(spark, sf, "embeddings")
     targets = e.where("vec_id % 50 = 0").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
     pool = e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    squares = F.aggregate(F.zip_with("t_x", "c_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-    return comps.nearest(targets, pool, "vec_id", "vec_id", "label", F.sqrt(squares), k=5, but_itself=True)
+    return comps.nearest(targets, pool, "vec_id", "vec_id", "label", {"x": comps.euclid}, k=5, but_itself=True)
 
 
 KNN = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT label, count(*) AS n FROM e GROUP BY label),

@@ -381,7 +381,7 @@ def block_neighbours(spark, sf):
     p = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("all").alias("bucket"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
     blocks = comps.fit_blocks(p, {"USAGE": ["a", "b"], "CTX": ["a"]})
     z = comps.with_blocks(p, blocks)
-    out = comps.nearest(z.where("id % 50 = 0"), z, "id", "id", "bucket", comps.block_distance(blocks), k=1, but_itself=True)
+    out = comps.nearest(z.where("id % 50 = 0"), z, "id", "id", "bucket", comps.block_metrics(blocks), k=1, but_itself=True)
     return out.select(F.col("t_id").alias("t"), _r("dist", 5).alias("dist"))
 
 

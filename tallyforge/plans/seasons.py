@@ -117,7 +117,7 @@ def predict_terms(train: DataFrame, targets: DataFrame, blocks: Mapping[str, Seq
     """3.3, A7: for each target and term the neighbours' weighted share of the cap, the ridge model's, and the blend."""
     fitted = comps.fit_blocks(train, blocks)
     pool, asked = comps.with_blocks(train, fitted), comps.with_blocks(targets, fitted)
-    near = comps.nearest(asked, pool, "contract_id", "contract_id", "PosBucket", comps.block_distance(fitted), k)
+    near = comps.nearest(asked, pool, "contract_id", "contract_id", "PosBucket", comps.block_metrics(fitted), k)
     rows = near.select(F.col("t_contract_id").alias("contract_id"), F.col("c_length").alias("term"), F.col("c_cap_pct").alias("v"), "weight")
     knn = comps.term_statistics(rows, "contract_id", "term", "v")
     out = None
@@ -132,7 +132,7 @@ def predict_terms(train: DataFrame, targets: DataFrame, blocks: Mapping[str, Seq
 def comparables(train: DataFrame, targets: DataFrame, blocks: Mapping[str, Sequence[str]], k: int = 100) -> DataFrame:
     """The five nearest other players of each target, side by side."""
     fitted = comps.fit_blocks(train, blocks)
-    near = comps.nearest(comps.with_blocks(targets, fitted), comps.with_blocks(train, fitted), "contract_id", "contract_id", "PosBucket", comps.block_distance(fitted), k)
+    near = comps.nearest(comps.with_blocks(targets, fitted), comps.with_blocks(train, fitted), "contract_id", "contract_id", "PosBucket", comps.block_metrics(fitted), k)
     best = comps.top_comps(near, "t_playerId", "c_playerId")
     return comps.wide_comps(best, "t_playerId", ["c_playerId", "weight", "dist", "sim_pct"])
 

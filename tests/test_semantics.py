@@ -195,7 +195,7 @@ def test_blocks_and_neighbours(spark):
     df = spark.createDataFrame(data, "id int, pos string, a double, b double, c double")
     blocks = comps.fit_blocks(df, {"VALUE": ["a", "b"], "AGE": ["c"]})
     z = comps.with_blocks(df, blocks)
-    out = comps.nearest(z.where("id < 5"), z.where("id >= 5"), "id", "id", "pos", comps.block_distance(blocks), k=6).toPandas()
+    out = comps.nearest(z.where("id < 5"), z.where("id >= 5"), "id", "id", "pos", comps.block_metrics(blocks), k=6).toPandas()
     x = np.array([r[2:] for r in data])
     std = (x - x.mean(0)) / x.std(0)
     inv = np.linalg.inv(np.cov(std[:, :2].T) + 1e-6 * np.eye(2))
