@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators import ranges
+from tallyforge.sources import sinks
+
 GRID = (0.0, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5)
 
 
@@ -47,16 +50,46 @@ def score_logit(df: DataFrame, model: Logit | None, out: str = "xG", when: Colum
     return df.withColumn(out, p if when is None else F.when(when, p).otherwise(0.0))
 
 
+def _dealt(load: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` groups of one size go to each fold, each to the lightest, of equal ones to the first: those
+    with the ``count`` least numbers load + j·size."""
+    low, high = min(load), min(load) + size * (count + 1)
+    taken = lambda level: [max(0, -(-(level - x) // size)) for x in load]  # noqa: E731  numbers under the level
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(taken(middle)) <= count else (low, middle)
+    out = taken(low)
+    for i, x in enumerate(load):  # numbers at the level, in the order of the folds
+        if sum(out) < count and (low - x) >= 0 and (low - x) % size == 0:
+            out[i] += 1
+    return out
+
+
 def balanced_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """A fold for each group: by size downwards, each to the lightest fold. The driver holds one number a group."""
+    """A fold for each group: by size downwards, then by id, each to the lightest fold.
+
+    Groups of one size are dealt in closed form: the lightest folds take the least of the numbers load + j·size. So the
+    driver holds the distinct sizes and ``k`` loads, and a group's fold is that of its number among those of its size;
+    the numbers come by range, and both sides are joined."""
     spark = df.sparkSession
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), group).collect()
+    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    groups = ranges.numbered(groups, [F.col("_n").desc(), F.col(group)], "_place")
+    classes = groups.groupBy("_n").agg(F.count(F.lit(1)).alias("m"), F.min("_place").alias("first")).orderBy(F.col("_n").desc()).collect()
     load, rows = [0] * k, []
-    for g, n in sizes:
-        i = min(range(k), key=lambda j: (load[j], j))
-        load[i] += n
-        rows.append((g, i))
-    return spark.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
+    for size, count, first in classes:
+        taken = _dealt(load, size, count)
+        rows += [(size, first, list(load), i, n) for i, n in enumerate(taken) if n]
+        load = [x + n * size for x, n in zip(load, taken, strict=True)]
+    dealt = spark.createDataFrame(rows, "_n long, first long, loads array<long>, fold int, taken long")
+    turn = dealt.select("_n", "first", "loads", "fold", F.explode(F.sequence(F.lit(0), F.col("taken") - 1)).alias("j"))
+    number = F.get("loads", F.col("fold")) + F.col("j") * F.col("_n")
+    before = F.lit(0).cast("long")
+    for i in range(k):  # groups that go to fold i before this one
+        gap = number - F.get("loads", F.lit(i))
+        smaller = F.when(gap > 0, F.ceil(gap / F.col("_n"))).otherwise(0)
+        before = before + F.when(F.col("fold") == i, F.col("j")).otherwise(smaller + F.when((F.lit(i) < F.col("fold")) & (gap >= 0) & (gap % F.col("_n") == 0), 1).otherwise(0))
+    turn = turn.select((F.col("first") + before).cast("long").alias("_place"), "fold")
+    return groups.join(turn, "_place").select(group, "fold")
 
 
 def gram(long: DataFrame, row: Sequence[str], feature: str, value: str, weight: str, target: str, fold: str, features: int) -> DataFrame:
@@ -121,6 +154,8 @@ def ridge_cv(long: DataFrame, row: Sequence[str], feature: str, value: str, weig
     """Losses by penalty over folds, the best (the first of equal ones, Q15), its fit on all rows, and a paired
     t-test of fold losses against no penalty. One aggregation serves every penalty and fold."""
     features = (long.agg(F.max(feature)).first()[0] or 0) + 1
+    if features > MOST_DENSE:
+        return ridge_sparse(long, row, feature, value, weight, target, fold, grid)
     # the driver holds a dense matrix of features squared for each fold, filled from columns
     f, i, j, s = (c.to_numpy() for c in gram(long, row, feature, value, weight, target, fold, features).toArrow().columns)
     by_fold: dict[int, np.ndarray] = {}
@@ -144,6 +179,112 @@ def ridge_cv(long: DataFrame, row: Sequence[str], feature: str, value: str, weig
     return {"lambda": best, "cv": mean, "beta": beta, "intercept": intercept, "t": t, "p": p, "folds": len(by_fold)}
 
 
+MOST_DENSE = 4096  # features up to which normal equations are kept as a matrix
+
+
+def ridge_sparse(long: DataFrame, row: Sequence[str], feature: str, value: str, weight: str, target: str, fold: str | None = None, grid: Sequence[float] = (1.0,), tolerance: float = 1e-13, most_rounds: int = 1000) -> dict:
+    """R3, R4 for any number of features: ridge with a free intercept by conjugate gradients over sparse rows.
+
+    One system for each penalty on all rows and, with ``fold``, one for each penalty and fold on the other rows; all go on
+    together. A round is one job: each task multiplies its rows by the directions and sends back a vector of its features
+    for each system, which are summed by feature. No task and not the driver holds features squared, only vectors:
+    features times systems numbers. Directions are scaled by the diagonal. Without a penalty and with too many features
+    one of the solutions is found. ``cv``: weighted mean squared error of the held-out rows by penalty."""
+    spark = long.sparkSession
+    p = int(long.agg(F.max(feature)).first()[0] or 0) + 1
+    tag = F.col(fold).cast("int") if fold else F.lit(-1)
+    cells = F.collect_list(F.struct(F.col(feature).cast("int").alias("f"), F.col(value).cast("double").alias("v")))
+    rows = sinks.cut(long.withColumn("_fold", tag).groupBy(*row, "_fold").agg(cells.alias("xs"), F.first(weight).cast("double").alias("w"), F.first(target).cast("double").alias("y")).select("_fold", "xs", "w", "y"))
+    folds = sorted(r[0] for r in rows.select("_fold").distinct().collect()) if fold else []
+    systems = [(a, None) for a in grid] + [(a, k) for k in folds for a in grid]
+    out_of = np.array([-2 if k is None else k for _, k in systems])
+    penalty = np.append(np.repeat(np.array([[a for a, _ in systems]], float), p, axis=0), np.zeros((1, len(systems))), axis=0)
+
+    def summed(directions: np.ndarray | None) -> np.ndarray:
+        """Xᵀ W X d for each system's direction d; without directions Xᵀ W y and, in as many more columns, the diagonal."""
+        m = len(systems)
+        sent = spark.sparkContext.broadcast(directions)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((p + 1, m if sent.value is not None else 2 * m))
+            for batch in batches:
+                lists = batch.column(1)
+                edge = lists.offsets.to_numpy().astype(np.int64)
+                edge = edge - edge[0]
+                flat = lists.flatten()
+                f = np.concatenate([flat.field(0).to_numpy(zero_copy_only=False), np.full(batch.num_rows, p)])  # and the constant
+                v = np.concatenate([flat.field(1).to_numpy(zero_copy_only=False), np.ones(batch.num_rows)])
+                at = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(edge)), np.arange(batch.num_rows)])
+                w, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+                w = w[:, None] * (batch.column(0).to_numpy(zero_copy_only=False)[:, None] != out_of)
+                if sent.value is None:
+                    np.add.at(total[:, :m], f, v[:, None] * (w * y[:, None])[at])
+                    np.add.at(total[:, m:], f, (v * v)[:, None] * w[at])
+                else:
+                    fit = np.zeros((batch.num_rows, m))
+                    np.add.at(fit, at, v[:, None] * sent.value[f])
+                    np.add.at(total, f, v[:, None] * (w * fit)[at])
+            some = np.flatnonzero(total.any(axis=1))
+            column = total.shape[1]
+            yield pa.RecordBatch.from_pydict({"f": some.astype(np.int32), "s": pa.ListArray.from_arrays(np.arange(0, len(some) * column + 1, column, dtype=np.int32), pa.array(total[some].reshape(-1)))})
+
+        parts = rows.mapInArrow(partial, "f int, s array<double>").select("f", F.posexplode("s").alias("i", "s")).where("s <> 0").groupBy("f", "i").agg(F.sum("s").alias("s")).toArrow()
+        sent.destroy()
+        out = np.zeros((p + 1, m if directions is not None else 2 * m))
+        f, i, s = (c.to_numpy() for c in parts.columns)
+        out[f, i] = s
+        return out
+
+    first = summed(None)
+    b, diagonal = first[:, : len(systems)], first[:, len(systems) :] + penalty
+    scale = 1 / np.where(diagonal > 0, diagonal, 1.0)
+    x = np.zeros_like(b)
+    r = b.copy()
+    z = scale * r
+    d, rz = z.copy(), (r * z).sum(axis=0)
+    aim = tolerance**2 * np.maximum(rz, 1e-300)
+    rounds = 0
+    while (rz > aim).any() and rounds < most_rounds:
+        q = summed(d) + penalty * d
+        step = np.where(rz > aim, rz / np.where((d * q).sum(axis=0) > 0, (d * q).sum(axis=0), 1.0), 0.0)
+        x += step * d
+        r -= step * q
+        z = scale * r
+        after = (r * z).sum(axis=0)
+        d = z + np.where(rz > 0, after / np.where(rz > 0, rz, 1.0), 0.0) * d
+        rz, rounds = after, rounds + 1
+    solved = {a: x[:, i] for i, (a, k) in enumerate(systems) if k is None}
+    losses = _held_out(rows, systems, x, p) if fold else {}
+    mean = {a: float(np.sum([losses[a, k][0] for k in folds]) / max(1e-9, np.sum([losses[a, k][1] for k in folds]))) for a in grid} if fold else {}
+    best = min(grid, key=lambda a: (mean[a], list(grid).index(a))) if mean else grid[0]
+    rmse = {a: [math.sqrt(losses[a, k][0] / max(1e-9, losses[a, k][1])) for k in folds] for a in grid} if fold else {}
+    t, pr = paired_t(rmse[best], rmse[0.0]) if 0.0 in rmse else (math.nan, math.nan)
+    return {"lambda": best, "cv": mean, "beta": solved[best][:p], "intercept": float(solved[best][p]), "t": t, "p": pr, "folds": len(folds), "rounds": rounds}
+
+
+def _held_out(rows: DataFrame, systems: list[tuple[float, int | None]], x: np.ndarray, p: int) -> dict[tuple[float, int], tuple[float, float]]:
+    """(sum of weighted squared errors, sum of weights) of each held-out system, by penalty and fold."""
+    sent = rows.sparkSession.sparkContext.broadcast(x)
+    out_of = np.array([-2 if k is None else k for _, k in systems])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(systems), 2))
+        for batch in batches:
+            lists = batch.column(1)
+            edge = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.flatten()
+            fit = np.tile(sent.value[p], (batch.num_rows, 1))
+            at = np.repeat(np.arange(batch.num_rows), np.diff(edge))
+            np.add.at(fit, at, flat.field(1).to_numpy(zero_copy_only=False)[:, None] * sent.value[flat.field(0).to_numpy(zero_copy_only=False)])
+            w = batch.column(2).to_numpy(zero_copy_only=False)[:, None] * (batch.column(0).to_numpy(zero_copy_only=False)[:, None] == out_of)
+            total[:, 0] += (w * (batch.column(3).to_numpy(zero_copy_only=False)[:, None] - fit) ** 2).sum(axis=0)
+            total[:, 1] += w.sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"i": np.arange(len(systems), dtype=np.int32), "e": total[:, 0], "w": total[:, 1]})
+
+    got = rows.mapInArrow(partial, "i int, e double, w double").groupBy("i").agg(F.sum("e").alias("e"), F.sum("w").alias("w")).collect()
+    return {systems[i]: (e, w) for i, e, w in got if systems[i][1] is not None}
+
+
 def paired_t(a: Sequence[float], b: Sequence[float]) -> tuple[float, float]:
     """Student's t of paired differences and its two-sided probability."""
     d = np.subtract(a, b)
@@ -173,7 +314,7 @@ def design_long(stints: DataFrame, context: Sequence[str], least_minutes: float
     rows = stints.where("minutes > 0").withColumn("row_id", F.struct("gameId", "period", "startSec", "is_home"))
     minutes = rows.select(F.explode("players").alias("playerId"), "minutes").groupBy("playerId").agg(F.sum("minutes").alias("minutes"))
     everyone = rows.select(F.explode(F.concat("players", "opp_players")).alias("playerId")).distinct().join(minutes, "playerId", "left").fillna({"minutes": 0.0})
-    numbered = everyone.withColumn("p", F.row_number().over(Window.orderBy("playerId")) - 1).withColumn("scale", 1 / F.sqrt(F.greatest(F.lit(least_minutes), F.col("minutes"))))
+    numbered = ranges.numbered(everyone, [F.col("playerId")], "p").withColumn("scale", 1 / F.sqrt(F.greatest(F.lit(least_minutes), F.col("minutes"))))
     n = numbered.count()
     base = rows.select("row_id", "gameId", F.col("minutes").alias("w"), (60 * F.col("xGF") / F.col("minutes")).alias("y"), "players", "opp_players", *context)
 
@@ -191,13 +332,13 @@ def design_long(stints: DataFrame, context: Sequence[str], least_minutes: float
 def rapm(stints: DataFrame, context: Sequence[str], grid: Sequence[float] = GRID, k: int = 5) -> tuple[DataFrame, dict]:
     """Offensive, defensive (sign turned) and total rates of players, and the fit's figures."""
     long, players = design_long(stints, context)
-    long = long.join(F.broadcast(balanced_folds(stints, "gameId", k)), "gameId")
+    long = long.join(sinks.small(balanced_folds(stints, "gameId", k)), "gameId")
     fit = ridge_cv(long, ["row_id"], "feature", "value", "w", "y", "fold", grid)
     n = players.count()
     spark = stints.sparkSession
     beta = np.zeros(2 * n + len(context))
     beta[: len(fit["beta"])] = fit["beta"]
-    coefs = spark.createDataFrame([(i, float(beta[i]), float(beta[n + i])) for i in range(n)], "p int, b_off double, b_def double")
+    coefs = spark.createDataFrame([(i, float(beta[i]), float(beta[n + i])) for i in range(n)], "p long, b_off double, b_def double")
     out = players.join(coefs, "p").select("playerId", "minutes", (F.col("b_off") * F.col("scale")).alias("off"), (-F.col("b_def") * F.col("scale")).alias("def"))
     return out.withColumn("total", F.col("off") + F.col("def")), fit
 
