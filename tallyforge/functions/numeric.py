@@ -68,21 +68,37 @@ def cumulative(values: Column, terms: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda t: F.aggregate(F.slice(values, F.lit(1), t), F.lit(0.0), lambda a, v: a + v))
 
 
-def project(base: Column, age: Column, ratios: Column, tail: Column, horizon: int = 9, switch: float = 0.2, growth: tuple[float, float] = (0.6, 1.15), decline: tuple[float, float] = (0.3, 0.95), power: float = 1.10) -> Column:
-    """An array of the next ``horizon`` values. ``ratios`` maps an age to next over this; ``tail`` is the ratio
-    beyond. While the value is on the curve it is multiplied by its age's ratio, clipped; once it is below ``switch``
-    before step k it falls by an equal step to zero at the horizon."""
-    steep = F.pow(F.when(tail > 0, tail).otherwise(1.0), F.lit(power))
-    beyond = F.when(tail > 0, F.greatest(F.lit(decline[0]), F.least(F.lit(decline[1]), steep))).otherwise(F.lit(1.0))
+BANDS = ("m", "lo", "hi")
+
+
+def project_bands(base: Column, age: Column, ratios: Column, tails: Column, horizon: int = 9, switch: float = 0.2, growth: tuple[float, float] = (0.6, 1.15), decline: tuple[float, float] = (0.3, 0.95), power: float = 1.10) -> Column:
+    """A struct of arrays ``m``, ``lo`` and ``hi``, the next ``horizon`` values and their band, all from one base.
+
+    ``ratios`` maps an age to a struct of the ratios of next to this; ``tails`` has those beyond. While a value is on the
+    curve it is multiplied by its age's ratio, clipped, or by a clipped power of the tail; a ratio of zero or less is 1.
+    Once the middle is below ``switch`` before step k, all three fall by the step that takes it to zero at the horizon.
+    Ages are rounded, halves to the even one; null without a base."""
+    beyond = {b: F.when(tails[b] > 0, F.greatest(F.lit(decline[0]), F.least(F.lit(decline[1]), F.pow(tails[b], F.lit(power))))).otherwise(1.0) for b in BANDS}
+
+    def clipped(r: Column) -> Column:
+        return F.when(r > 0, F.greatest(F.lit(growth[0]), F.least(F.lit(growth[1]), r))).otherwise(1.0)
 
     def step(acc: Column, k: Column) -> Column:
-        turns = ~acc["linear"] & (acc["value"] < switch)
+        turns = ~acc["linear"] & (acc["m"] < switch)
         linear = acc["linear"] | turns
-        fall = F.when(turns, acc["value"] / (horizon - k + 1).cast("double")).otherwise(acc["fall"])
-        found = F.try_element_at(ratios, acc["age"].cast("int"))
-        times = F.when(found.isNotNull(), F.greatest(F.lit(growth[0]), F.least(F.lit(growth[1]), found))).otherwise(beyond)
-        value = F.when(linear, acc["value"] - fall).otherwise(acc["value"] * times)
-        return F.struct(value.alias("value"), linear.alias("linear"), fall.alias("fall"), (acc["age"] + 1).alias("age"), F.concat(acc["out"], F.array(value)).alias("out"))
-
-    start = F.struct(base.cast("double").alias("value"), F.lit(False).alias("linear"), F.lit(0.0).alias("fall"), age.cast("int").alias("age"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda acc: acc["out"])
+        fall = F.when(turns, acc["m"] / (horizon - k + 1).cast("double")).otherwise(acc["fall"])
+        found = F.try_element_at(ratios, acc["age"])
+        times = {b: F.when(found["m"].isNotNull(), clipped(F.coalesce(found[b], found["m"]))).otherwise(beyond[b]) for b in BANDS}
+        now = {b: F.when(linear, acc[b] - fall).otherwise(acc[b] * times[b]) for b in BANDS}
+        out = F.concat(acc["out"], F.array(F.struct(*[now[b].alias(b) for b in BANDS])))
+        return F.struct(*[now[b].alias(b) for b in BANDS], linear.alias("linear"), fall.alias("fall"), (acc["age"] + 1).cast("int").alias("age"), out.alias("out"))
+
+    none = F.array().cast("array<struct<m:double,lo:double,hi:double>>")
+    start = F.struct(*[base.cast("double").alias(b) for b in BANDS], F.lit(False).alias("linear"), F.lit(0.0).alias("fall"), F.bround(age.cast("double"), 0).cast("int").alias("age"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda acc: F.struct(*[acc["out"][b].alias(b) for b in BANDS]))
+
+
+def project(base: Column, age: Column, ratios: Column, tail: Column, horizon: int = 9, **rules) -> Column:
+    """The middle of ``project_bands`` alone, from a map of ages to ratios and the tail's ratio."""
+    alike = lambda r: F.struct(*[r.cast("double").alias(b) for b in BANDS])
+    return project_bands(base, age, F.transform_values(ratios, lambda _, r: alike(r)), alike(tail), horizon, **rules)["m"]

@@ -125,7 +125,7 @@ def nearest(targets: DataFrame, pool: DataFrame, target_id: str, pool_id: str, b
     def placed(df: DataFrame) -> DataFrame:
         """With the distances to the pivots by part (``_p``), the cell and the distance to its pivot (``_d``)."""
         literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
-        far = F.array(*[F.array(*[F.coalesce(m(F.col(n), literal(v[n])), F.lit(None).cast("double")) for n, m in metrics.items()]) for v in centres])
+        far = F.array(*[F.array(*[F.when(F.col(n).isNotNull(), m(F.col(n), literal(v[n]))) for n, m in metrics.items()]) for v in centres])
         df = df.withColumn("_p", far if centres else F.array().cast("array<array<double>>"))
         sums = F.transform("_p", lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v))
         df = df.withColumn("_sums", F.when(whole, sums))
@@ -145,7 +145,8 @@ def nearest(targets: DataFrame, pool: DataFrame, target_id: str, pool_id: str, b
     right = right.withColumnsRenamed({x: f"{c}{x}" for x in [*pool.columns, "_p", "_d"]})
     left = sinks.cut(placed(scope).withColumnsRenamed({x: f"{t}{x}" for x in [*targets.columns, "_p", "_d", "_cell", "_sums"]}))
     who, other = F.col(f"{t}{target_id}"), F.col(f"{c}{pool_id}")
-    parts = [F.coalesce(m(F.col(f"{t}{n}"), F.col(f"{c}{n}")), F.lit(0.0)) for n, m in metrics.items()]
+    there = lambda n: F.col(f"{t}{n}").isNotNull() & F.col(f"{c}{n}").isNotNull()
+    parts = [F.when(there(n), m(F.col(f"{t}{n}"), F.col(f"{c}{n}"))).otherwise(0.0) for n, m in metrics.items()]
     distance = sum(parts[1:], parts[0])
     slack = lambda r: r * (1 + 1e-9) + 1e-9
 
@@ -204,10 +205,11 @@ def blended(knn: Column, model: Column, weight: Column) -> Column:
     return F.coalesce(weight * model + (1 - weight) * knn, model, knn)
 
 
-def top_comps(neighbours: DataFrame, target: str, comp: str, k: int = 5) -> DataFrame:
-    """Distinct comparables but the target itself, by weight downwards."""
-    own = neighbours.where(~F.col(target).eqNullSafe(F.col(comp)))
-    once = ranks.keep_first(own, [target, comp], [F.col("weight").desc(), F.col("dist")])
+def top_comps(neighbours: DataFrame, target: str, comp: str, k: int = 5, own: str | None = None) -> DataFrame:
+    """Distinct comparables by weight downwards; not the target itself, or the one that ``own`` names where a target
+    is not a comparable's kind, as a contract is not a player."""
+    others = neighbours.where(F.col(comp).isNotNull() & ~F.col(own or target).eqNullSafe(F.col(comp)))
+    once = ranks.keep_first(others, [target, comp], [F.col("weight").desc(), F.col("dist")])
     return ranks.top_k(once, [target], [F.col("weight").desc(), F.col(comp)], k, "comp_rank")
 
 

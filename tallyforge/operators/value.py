@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import fixed, numeric, text
-from tallyforge.operators import joins, ranks, stats
+from tallyforge.operators import ranges, ranks, stats
 from tallyforge.sources import sinks
 from tallyforge.sources.files import lookup
 
@@ -34,13 +34,16 @@ def min_salary_of(year: Column, table: Mapping[str, int] = fixed.MIN_SALARY) ->
 
 def locf(df: DataFrame, table: DataFrame, at: str, table_at: str, value: str, growth: float = 0.0) -> DataFrame:
     """J20, J21 over any table: the latest value at or before, grown by compounding; before the first, or at null, the
-    first. Each time that occurs is looked up once and joined back, so neither side is sent whole to every task."""
+    first. Each time that occurs is looked up once and joined back; times and values are carried along one axis that is
+    cut by range, so neither side is sent whole to a task."""
     first = table.agg(F.min_by(F.col(value), F.col(table_at)).cast("double").alias("_first"))
-    known = table.select(F.col(table_at).alias("_known_at"), F.col(value).alias("_known"))
-    last = joins.as_of(df.select(F.col(at).alias("_time")).distinct(), known, [], "_time", "_known_at", ["_known_at", "_known"])
-    rows = df.join(last, df[at] == last["_time"], "left").crossJoin(F.broadcast(first))
-    grown = F.col("_known") * F.pow(F.lit(1 + growth), F.col(at) - F.col("_known_at"))
-    return rows.withColumn(value, F.coalesce(grown, F.col("_first"))).drop("_time", "_known_at", "_known", "_first")
+    known = F.struct(F.col(table_at).alias("at"), F.col(value).cast("double").alias("value"))
+    both = table.select(F.col(table_at).alias("_time"), F.lit(0).alias("_side"), known.alias("_known"))
+    asked = df.where(F.col(at).isNotNull()).select(F.col(at).alias("_time"), F.lit(1).alias("_side")).distinct()
+    line = ranges.carried(both.unionByName(asked, allowMissingColumns=True), [F.col("_time"), F.col("_side")], "_known", "_last").where("_side = 1").select("_time", "_last")
+    rows = df.join(line, df[at] == line["_time"], "left").crossJoin(F.broadcast(first))
+    grown = F.col("_last.value") * F.pow(F.lit(1 + growth), F.col(at) - F.col("_last.at"))
+    return rows.withColumn(value, F.coalesce(grown, F.col("_first"))).drop("_time", "_last", "_first")
 
 
 def replacement_levels(players: DataFrame, team: str, pos: str, toi: str, games: str, value: str, cutoff: Mapping[str, int], trim_low: float = 0.0, trim_high: float = 0.0, least_games: int = 10, least_toi: float = 100.0, seq: str = "playerId") -> DataFrame:

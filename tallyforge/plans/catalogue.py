@@ -346,16 +346,18 @@ def _knots_sql() -> str:
     return ", ".join(rows)
 
 
-@query(f"""WITH k(source, pos, x0, y0, x1, y1) AS (VALUES {_knots_sql()}),
-v AS (SELECT source, pos, age, max(least(1.05, greatest(0, y0 + (y1 - y0) * (age - x0) / (x1 - x0)::DOUBLE))) AS raw FROM k, (SELECT unnest(range(18, 39)) AS age) WHERE age BETWEEN x0 AND x1 GROUP BY ALL),
-p AS (SELECT *, raw / max(raw) OVER (PARTITION BY source, pos) AS v FROM v)
-SELECT age, pos, round(avg(v), 7) AS avg, round(min(v), 7) AS lower, round(max(v), 7) AS upper FROM p GROUP BY age, pos""")
+@query(f"""WITH k(source, pos, x0, y0, x1, y1) AS (VALUES {_knots_sql()}), c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'D' END AS pos, 16 + (c_custkey % 97) / 4.0::DOUBLE AS age FROM customer),
+v AS (SELECT c_custkey, source, pos, age, max(CASE WHEN age BETWEEN x0 AND x1 THEN y0 + (y1 - y0) * (age - x0) / (x1 - x0)::DOUBLE END) AS inner_, min_by(y0, x0) AS first_, max_by(y1, x1) AS last_ FROM c JOIN k USING (pos) GROUP BY ALL),
+w AS (SELECT *, greatest(0, least(1.05, coalesce(inner_, CASE WHEN age < 18 THEN first_ ELSE last_ END))) AS raw FROM v), p AS (SELECT *, raw / max(raw) OVER (PARTITION BY source, pos) AS v FROM w)
+SELECT c_custkey, pos, round(avg(v), 7) AS avg, round(min(v), 7) AS lower, round(max(v), 7) AS upper FROM p GROUP BY c_custkey, pos""")
 def age_curve(spark, sf):
+    """The three published curves at the age of each customer, each over its peak among them: mean, least and greatest."""
     knots = [(source, pos, [{"x": float(x), "y": y} for x, y in ks]) for (source, pos), ks in fixed.AGE_KNOTS.items()]
     curves = spark.createDataFrame(knots, "source string, pos string, knots array<struct<x double, y double>>")
-    rows = curves.crossJoin(files.series(spark, 18, 38, "age")).withColumn("raw", numeric.piecewise(F.col("age").cast("double"), F.col("knots")))
+    people = _t(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("D").alias("pos"), (16 + (F.col("c_custkey") % 97) / 4.0).alias("age"))
+    rows = people.join(F.broadcast(curves), "pos").withColumn("raw", numeric.piecewise(F.col("age"), F.col("knots")))
     rows = ranks.over_peak(rows, ["source", "pos"], "raw", "v")
-    return rows.groupBy("age", "pos").agg(_r(F.avg("v"), 7).alias("avg"), _r(F.min("v"), 7).alias("lower"), _r(F.max("v"), 7).alias("upper"))
+    return rows.groupBy("c_custkey", "pos").agg(_r(F.avg("v"), 7).alias("avg"), _r(F.min("v"), 7).alias("lower"), _r(F.max("v"), 7).alias("upper"))
 
 
 @query("""WITH y AS (SELECT o_orderpriority AS p, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders GROUP BY ALL), r AS (SELECT *, lead(v) OVER (PARTITION BY p ORDER BY y) / v AS ratio FROM y)
@@ -365,25 +367,33 @@ def adjacent_ratio(spark, sf):
     return ranks.adjacent_ratio(y, ["p"], "y", "v").select("p", "y", _r("ratio", 6).alias("ratio"), _r("tail_ratio", 6).alias("tail_ratio"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT c_custkey, 0 AS k, c_acctbal / 1000 AS v, 20 + c_custkey % 12 AS age, false AS linear, 0::DOUBLE AS fall FROM customer WHERE c_acctbal > 0
-UNION ALL SELECT c_custkey, k + 1, CASE WHEN linear THEN v - fall WHEN v < 0.2 THEN v - v / (9 - k) ELSE v * CASE WHEN age < 30 THEN greatest(0.6, least(1.15, 1.6 - 0.025 * age)) ELSE greatest(0.3, least(0.95, 0.85 ** 1.1)) END END,
-  age + 1, linear OR v < 0.2, CASE WHEN NOT linear AND v < 0.2 THEN v / (9 - k) ELSE fall END FROM r WHERE k < 9)
-SELECT c_custkey, round(max(CASE WHEN k = 1 THEN v END), 10) AS year1, round(max(CASE WHEN k = 5 THEN v END), 10) AS year5, round(max(CASE WHEN k = 9 THEN v END), 10) + 0.0 AS year9, round(sum(CASE WHEN k BETWEEN 1 AND 4 THEN v END), 10) AS term4 FROM r GROUP BY c_custkey""")
-def projection_9(spark, sf):
-    ratios = F.create_map(*[x for age in range(18, 30) for x in (F.lit(age), F.lit(1.6 - 0.025 * age))])
-    rows = _t(spark, sf, "customer").where("c_acctbal > 0").withColumn("proj", numeric.project(F.col("c_acctbal") / 1000, 20 + F.col("c_custkey") % 12, ratios, F.lit(0.85)))
-    at = lambda i: F.get("proj", F.lit(i - 1))
-    term = F.get(numeric.cumulative(F.col("proj"), 8), F.lit(3))
-    return rows.select("c_custkey", _r(at(1), 10).alias("year1"), _r(at(5), 10).alias("year5"), (_r(at(9), 10) + F.lit(0.0)).alias("year9"), _r(term, 10).alias("term4"))
+_STEP = "CASE WHEN linear OR v < 0.2 THEN {x} - CASE WHEN linear THEN fall ELSE v / (9 - k) END ELSE {x} * CASE WHEN age < 30 THEN CASE WHEN {r} <= 0 THEN 1 ELSE greatest(0.6, least(1.15, {r})) END ELSE greatest(0.3, least(0.95, {t} ** 1.1)) END END"
 
 
-@query("""WITH t AS (SELECT year(o_orderdate) AS y, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) IN (1996, 1997, 1999) GROUP BY 1), g AS (SELECT unnest(range(1994, 2004)) AS y),
-a AS (SELECT g.y, (SELECT max_by(v, t.y) FROM t WHERE t.y <= g.y) AS v, (SELECT max(t.y) FROM t WHERE t.y <= g.y) AS ty FROM g)
-SELECT y, round(CASE WHEN v IS NULL THEN (SELECT min_by(v, y) FROM t) ELSE v * 1.05 ** (y - ty) END, 4) AS cap FROM a""")
+@query(f"""WITH RECURSIVE r AS (SELECT c_custkey, 0 AS k, c_acctbal / 1000 AS v, c_acctbal / 1000 AS lo, c_acctbal / 1000 AS hi, round_even(20 + (c_custkey % 37) / 2.0::DOUBLE, 0)::INT AS age, false AS linear, 0::DOUBLE AS fall FROM customer
+UNION ALL SELECT c_custkey, k + 1, {_STEP.format(x="v", r="(1.6 - 0.025 * age)", t="0.85::DOUBLE")}, {_STEP.format(x="lo", r="(CASE WHEN age = 25 THEN -0.5 ELSE 1.5 - 0.025 * age END)", t="0.8::DOUBLE")}, {_STEP.format(x="hi", r="(1.7 - 0.025 * age)", t="0.9::DOUBLE")},
+  age + 1, linear OR v < 0.2, CASE WHEN NOT linear AND v < 0.2 THEN v / (9 - k) ELSE fall END FROM r WHERE k < 9)
+SELECT c_custkey, round(max(CASE WHEN k = 1 THEN v END), 9) AS year1, round(max(CASE WHEN k = 5 THEN v END), 9) + 0.0 AS year5, round(max(CASE WHEN k = 9 THEN v END), 9) + 0.0 AS year9, round(max(CASE WHEN k = 6 THEN lo END), 9) + 0.0 AS low6, round(max(CASE WHEN k = 6 THEN hi END), 9) + 0.0 AS high6,
+  round(sum(CASE WHEN k BETWEEN 1 AND 4 THEN v END), 9) + 0.0 AS term4 FROM r GROUP BY c_custkey""")
+def projection_9(spark, sf):
+    """Nine years ahead for every customer, those that fall from the first step on among them, with the band."""
+    at = lambda age: F.struct(F.lit(1.6 - 0.025 * age).alias("m"), F.lit(-0.5 if age == 25 else 1.5 - 0.025 * age).alias("lo"), F.lit(1.7 - 0.025 * age).alias("hi"))
+    ratios = F.create_map(*[x for age in range(18, 30) for x in (F.lit(age), at(age))])
+    tails = F.struct(F.lit(0.85).alias("m"), F.lit(0.8).alias("lo"), F.lit(0.9).alias("hi"))
+    rows = _t(spark, sf, "customer").withColumn("p", numeric.project_bands(F.col("c_acctbal") / 1000, 20 + (F.col("c_custkey") % 37) / 2.0, ratios, tails))
+    year = lambda band, k: _r(F.get(f"p.{band}", F.lit(k - 1)), 9) + F.lit(0.0)
+    term = F.get(numeric.cumulative(F.col("p.m"), 8), F.lit(3))
+    return rows.select("c_custkey", year("m", 1).alias("year1"), year("m", 5).alias("year5"), year("m", 9).alias("year9"), year("lo", 6).alias("low6"), year("hi", 6).alias("high6"), (_r(term, 9) + F.lit(0.0)).alias("term4"))
+
+
+@query("""WITH t AS (SELECT date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS d, count(*)::DOUBLE AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), g AS (SELECT o_orderkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS d FROM orders)
+SELECT o_orderkey, round(CASE WHEN t.v IS NULL THEN (SELECT min_by(v, d) FROM t) ELSE t.v * 1.05 ** (g.d - t.d) END, 4) AS cap FROM g ASOF LEFT JOIN t ON g.d >= t.d""")
 def cap_locf_growth(spark, sf):
-    known = _t(spark, sf, "orders").groupBy(F.year("o_orderdate").cast("bigint").alias("year")).agg(F.count(F.lit(1)).cast("double").alias("cap")).where("year in (1996, 1997, 1999)")
-    out = value.locf(files.series(spark, 1994, 2003, "y"), known, "y", "year", "cap", growth=0.05)
-    return out.select("y", _r("cap").alias("cap"))
+    """For each order the last day that had urgent ones, at or before it: their number, grown by the days since."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    o = _t(spark, sf, "orders").withColumn("y", day)
+    known = o.where("o_orderpriority = '1-URGENT'").groupBy(F.col("y").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("cap"))
+    return value.locf(o.select("o_orderkey", "y"), known, "y", "day", "cap", growth=0.05).select("o_orderkey", _r("cap").alias("cap"))
 
 
 def _neighbours(spark, sf) -> DataFrame:
@@ -422,11 +432,28 @@ def eval_true_term(spark, sf):
     return e.groupBy("term").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("err"), 3).alias("mae")).join(rates.drop("n"), "term").select("term", "n", "mae", _r("within_1x", 5).alias("within_1x"), _r("within_2x", 5).alias("within_2x"))
 
 
-@query(r"""WITH s AS (SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(p_name || ', ' || p_type || ' Jr.', '[^\w\s,''-]', ' ', 'g'), '\s+', ' ', 'g'))) AS n FROM part)
-SELECT p_partkey, regexp_replace(trim(regexp_replace(trim(split_part(n, ',', 2)) || ' ' || trim(split_part(n, ',', 1)), '\s+', ' ', 'g')), '( (jr|sr|ii|iii|iv|v))+$', '') AS name FROM s""")
+def _dirty_names() -> tuple[list[str], str]:
+    """The known spellings, each once, and the map as SQL rows."""
+    names = list(fixed.NAME_SPELLINGS)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return names, ", ".join(f"({i}, {quoted(n)}, {quoted(fixed.NAME_SPELLINGS[n])})" for i, n in enumerate(names))
+
+
+@query(f"""WITH m(i, raw, good) AS (VALUES {_dirty_names()[1]}), p AS (SELECT c_custkey, raw, good, c_custkey // {len(_dirty_names()[0])} % 3 AS turn FROM customer JOIN m ON i = c_custkey % {len(_dirty_names()[0])})
+SELECT c_custkey, regexp_replace(CASE WHEN turn = 2 AND strpos(raw, ' ') = 0 THEN raw ELSE good END, '(^| )((jr|sr|ii|iii|iv|v)( |$))+$', '') AS name, trim(regexp_replace(regexp_replace(raw, '[^a-z''-]', ' ', 'g'), ' +', ' ', 'g')) AS junior FROM p""")
 def canonical_name(spark, sf):
-    p = _t(spark, sf, "part")
-    return p.select("p_partkey", text.canonical_name(F.concat(F.lit(""), F.col("p_name"), F.lit(", "), F.col("p_type"), F.lit(" Jr.")), {}).alias("name_")).select("p_partkey", F.col("name_").alias("name"))
+    """Known misspellings as sources write them: in capitals, family name first, with odd blanks, quotes and suffixes."""
+    names, _ = _dirty_names()
+    k = F.col("c_custkey")
+    raw = F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
+    parts = F.split(raw, " ", 2)
+    turn = F.floor(k / len(names)) % 3
+    given, family = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    shouted = F.concat(F.lit("\u00a0 "), F.upper(F.regexp_replace(raw, " ", "  ")), F.lit(" "))
+    turned = F.when(family.isNull(), raw).otherwise(F.concat(family, F.lit(", "), given))
+    dirty = F.when(turn == 0, shouted).when(turn == 1, F.regexp_replace(raw, "'", "\u2019")).otherwise(F.regexp_replace(turned, "-", "\u2013"))
+    junior = F.concat(raw, F.lit(" Jr. III"))  # known spellings are looked up before suffixes go
+    return _t(spark, sf, "customer").select("c_custkey", text.canonical_name(dirty).alias("name"), text.canonical_name(junior).alias("junior"))
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') SELECT c_custkey, EXISTS (SELECT 1 FROM a WHERE k = c_custkey) AS has_pending, c_custkey IN (SELECT c_custkey FROM customer EXCEPT SELECT k FROM a) AS in_except FROM customer""")
@@ -480,4 +507,4 @@ def rapm_ridge(spark, sf):
     return out.select("playerId", _r("off", 5).alias("off"), _r("def", 5).alias("def"), _r("total", 5).alias("total"))
 
 
-from tallyforge.plans import derived  # noqa: E402, F401  registers its queries
+from tallyforge.plans import derived, wholes  # noqa: E402, F401  register their queries

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyforge import schema as S
 from tallyforge.functions import fixed, numeric, text
 from tallyforge.operators import comps, events, joins, models, ranks, stats, stints, value
+from tallyforge.sources import sinks
 
 # ---- play by play to rates ------------------------------------------------------------------------------------------
 
@@ -102,15 +103,22 @@ def market_and_values(skaters: DataFrame, contracts: DataFrame) -> tuple[DataFra
 
 
 def project_contracts(contracts: DataFrame, bank: DataFrame, curve: DataFrame, horizon: int = 9) -> DataFrame:
-    """3.3, A6: contracts with their base value, the projected values of the years after and sums by term."""
-    ratio_rows = ranks.adjacent_ratio(curve, ["pos"], "age", "avg")
-    tables = ratio_rows.where("ratio is not null").groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct(F.col("age").cast("int"), "ratio"))).alias("ratios"), F.max("tail_ratio").alias("tail"))
+    """3.3, A6: contracts with their base value, the projected values of the years after with their low and high band, and
+    sums by term. ``curve``: pos, age, avg, lower, upper."""
+    steps = None
+    for name, column in zip(numeric.BANDS, ("avg", "lower", "upper"), strict=True):
+        one = ranks.adjacent_ratio(curve.where("avg is not null"), ["pos"], "age", column).select("pos", "age", F.col("ratio").alias(name), F.col("tail_ratio").alias(f"tail_{name}"))
+        steps = one if steps is None else steps.join(one, ["pos", "age"])
+    ratio = F.struct(F.col("age").cast("int").alias("key"), F.struct(*[F.col(b) for b in numeric.BANDS]).alias("value"))
+    tails = F.struct(*[F.coalesce(F.max(f"tail_{b}"), F.max("tail_m"), F.lit(1.0)).alias(b) for b in numeric.BANDS])
+    tables = steps.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.when(F.col("m").isNotNull(), ratio))).alias("ratios"), tails.alias("tails"))
     last = joins.latest_before(contracts.select("contract_id", "playerId", "start_year"), bank.select("playerId", F.col("start_year").alias("stats_year"), "GAR_total"), "playerId", "start_year", "stats_year", 3, ["contract_id"])
     pick = [F.max(F.when(F.col("recency") == i, F.col("GAR_total"))) for i in (1, 2, 3)]
     base = last.groupBy("contract_id").agg(numeric.blend(pick, fixed.PROJECTION_BLEND).alias("base"))
-    out = contracts.join(base, "contract_id", "left").withColumn("pos", F.when(F.col("PosBucket") == "D", "D").otherwise("F")).join(F.broadcast(tables), "pos", "left")
-    out = out.withColumn("projection", numeric.project(F.col("base"), F.col("age"), F.col("ratios"), F.col("tail"), horizon))
-    return out.withColumn("term_values", numeric.cumulative(F.col("projection"), 8)).drop("ratios", "tail", "pos")
+    out = contracts.join(base, "contract_id", "left").withColumn("pos", F.when(F.col("PosBucket") == "D", "D").otherwise("F")).join(sinks.small(tables), "pos", "left")
+    out = out.withColumn("_bands", F.when(F.col("base").isNotNull() & F.col("ratios").isNotNull(), numeric.project_bands(F.col("base"), F.col("age"), F.col("ratios"), F.col("tails"), horizon)))
+    out = out.withColumns({"projection": F.col("_bands.m"), "projection_low": F.col("_bands.lo"), "projection_high": F.col("_bands.hi")})
+    return out.withColumn("term_values", numeric.cumulative(F.col("projection"), 8)).drop("ratios", "tails", "pos", "_bands")
 
 
 def predict_terms(train: DataFrame, targets: DataFrame, blocks: Mapping[str, Sequence[str]], features: Sequence[str], k: int = 100, terms: Sequence[int] = tuple(range(1, 9))) -> DataFrame:
@@ -133,8 +141,8 @@ def comparables(train: DataFrame, targets: DataFrame, blocks: Mapping[str, Seque
     """The five nearest other players of each target, side by side."""
     fitted = comps.fit_blocks(train, blocks)
     near = comps.nearest(comps.with_blocks(targets, fitted), comps.with_blocks(train, fitted), "contract_id", "contract_id", "PosBucket", comps.block_metrics(fitted), k)
-    best = comps.top_comps(near, "t_playerId", "c_playerId")
-    return comps.wide_comps(best, "t_playerId", ["c_playerId", "weight", "dist", "sim_pct"])
+    best = comps.top_comps(near, "t_contract_id", "c_playerId", own="t_playerId")
+    return comps.wide_comps(best, "t_contract_id", ["c_playerId", "weight", "dist", "sim_pct"])
 
 
 def error_breakdowns(evaluated: DataFrame, dimensions: Sequence[str]) -> DataFrame:
