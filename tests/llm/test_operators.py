@@ -297,24 +297,99 @@ def test_licences_that_stand_among_each_other(spark):
     assert got == {0: ["Apache-2.0", "MIT"], 1: ["MIT"], 2: ["MPL-2.0"], 3: ["GPL-2.0-or-later", "LGPL-2.1-or-later", "Unlicense"]}
 
 
+def expression(template):
+    """A template as a regular expression over normalised words."""
+    parts = [re.escape(" ".join(p)) for p in licenses.pieces(template)]
+    return re.compile(r"(?: [a-z0-9+]+){1,12}? ".join(parts) + r"(?= |$)")
+
+
+def brute_sentences(text, known):
+    segments = [s for s in map(licenses.normalise, re.split(r"(?<=[.!?:;])\s+|\n", text or "")) if s]
+    whole, out, at = " ".join(segments), [], 0
+    while at < len(whole):
+        hits = [(m.end(), -k, name) for k, (name, e) in enumerate(known) if (m := e.match(whole, at))]
+        if hits and not (licenses.is_phrase(max(hits)[2]) and re.search(r"(^| )(not|t) $", whole[:at])):
+            end, _, name = max(hits)
+            out.append(name)
+            at = end
+        nxt = whole.find(" ", at)
+        at = nxt + 1 if nxt >= 0 else len(whole)
+    return out
+
+
 def test_licence_sentences_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    known = {licenses.normalise(text): name for name, text in licenses.SENTENCES.items()}
+    known = [(name, expression(text)) for name, text in licenses.SENTENCES.items()]
     got = {r.doc_id: r.sentences for r in licenses.scan(docs).collect()}
     seen = 0
     for r in docs.select("doc_id", "text").collect():
-        pieces = [p for p in map(licenses.normalise, re.split(r"(?<=[.!?:;])\s+|\n", r.text or "")) if p]
-        want, i = [], 0
-        while i < len(pieces):
-            hit = next((j for j in range(i + 1, min(i + 40, len(pieces)) + 1) if " ".join(pieces[i:j]) in known), None)
-            if hit:
-                want.append(known[" ".join(pieces[i:hit])])
-            i = hit or i + 1
+        want = brute_sentences(r.text, known) if licenses.is_marked(r.text or "") else []
         seen += len(want)
         assert got[r.doc_id] == want
     assert seen > 20
 
 
+def brute_match(found, rules, gap):
+    """By its words: at each free sentence the first rule whose wanted ones follow, each the next free one of its name with
+    no more than ``gap`` segments of no known sentence since the one before."""
+    held = [sum(stop - first for first, stop, _ in found[:k]) for k in range(len(found))]
+    lone = [found[k][0] - held[k] for k in range(len(found))]
+    taken, out = set(), []
+    for i in range(len(found)):
+        for licence, wanted in rules if i not in taken else ():
+            at = [i] if found[i][2] == wanted[0] else []
+            for want in wanted[1:] if at else ():
+                later = [k for k in range(at[-1] + 1, len(found)) if k not in taken and found[k][2] == want and lone[k] - lone[at[-1]] <= gap]
+                at = [*at, later[0]] if later else []
+                if not at:
+                    break
+            if at:
+                out.append((licence, found[i][0]))
+                taken |= set(at)
+                break
+    return out
+
+
+def test_licence_rules_against_brute_force():
+    rng = np.random.default_rng(12)
+    rules = (("A", ("x", "y", "z")), ("B", ("x", "z")), ("C", ("y", "y")), ("D", ("z",)), ("A", ("w", "x", "w")))
+    for _ in range(2000):
+        found, at = [], 0
+        for _ in range(int(rng.integers(0, 12))):
+            at += int(rng.integers(0, 4))
+            size = int(rng.integers(1, 3))
+            found.append((at, at + size, "wxyz"[rng.integers(0, 4)]))
+            at += size
+        gap = int(rng.integers(0, 5))
+        assert licenses.match(found, rules, gap) == brute_match(found, rules, gap)
+
+
+def test_licences_with_slots_names_and_tags(spark):
+    say = licenses.SENTENCES
+    bsd = lambda who: " ".join([say["bsd-grant"], "1. " + say["bsd-source"], "2. " + say["bsd-binary"], "3. " + say["bsd-endorse"].format(who)])
+    cases = {
+        bsd("Google Inc."): ["BSD-3-Clause"],
+        bsd("the University of California, Berkeley and its regents"): ["BSD-3-Clause"],
+        bsd("the copyright holder").split("3. Neither")[0]: ["BSD-2-Clause"],
+        "This project is licensed under the MIT License - see the LICENSE file": ["MIT"],
+        "License: MIT": ["MIT"],
+        "This is not licensed under the MIT License.": [],
+        "under MIT No Attribution? It is licensed under the MIT No Attribution License!": ["MIT-0"],
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": ["CC-BY-4.0"],
+        "Licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0"],
+        "# SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+        "// SPDX-License-Identifier: GPL-2.0-only": ["GPL-2.0-only"],
+        "// SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"],
+        say["gpl2-only-redistribute"]: ["GPL-2.0-only"],
+        say["gpl2-redistribute"]: ["GPL-2.0-or-later"],
+        "Released under GPLv3 or later": ["GPL-3.0-or-later"],
+        "Copyright 2020 Some One " + " ".join(say[k] for k in ("mit-grant", "mit-keep", "mit-as-is")): ["MIT"],
+        "the licence of a poet": [],
+    }
+    got = {r.doc_id: r.matches for r in licenses.scan(frame(spark, list(cases))).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+
+
 def test_quality_model_on_labels_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.join(labels, "doc_id", "left_semi")
