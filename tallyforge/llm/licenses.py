@@ -150,7 +150,7 @@ _END = re.compile(r"(?<=[.!?:;])\s+|\n")
 _PUNCT = re.compile(r"[^a-z0-9+]+")
 _LIST_MARK = re.compile(r"^\s*(?:\(?(?:\d{1,2}|[A-Za-z])[.)]|[*+-])\s+")
 #: A text in which none of these occurs cannot hold a known sentence.
-MARKS = ("licen", "permi", "warrant", "distribut", "liab", "unencumbered", "anyone", "mozilla", "endorse", "released", "available")
+MARKS = ("licen", "permi", "warrant", "distribut", "liab", "unencumbered", "anyone", "mozilla", "endorse", "released", "available", "dedicated")
 
 
 def is_marked(text: str) -> bool:
