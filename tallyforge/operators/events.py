@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import rink, text
 from tallyforge.operators import joins, ranks
-from tallyforge.sources.files import explode_alternatives
+from tallyforge.sources.files import explode_variant
 
 #: Where a play's fields are found, the first that is there.
 PLAY_FIELDS = {
@@ -20,7 +20,7 @@ PLAY_FIELDS = {
 
 def parse_plays(games: DataFrame, json: str = "json", keep: Sequence[str] = ("gameId", "home_id", "away_id")) -> DataFrame:
     """One row for each play with its order, kind, side, place, geometry and strength."""
-    rows = explode_alternatives(games, json, ["$.plays", "$.items"], PLAY_FIELDS, keep)
+    rows = explode_variant(games, json, ["$.plays", "$.items"], PLAY_FIELDS, keep)
     home = F.col("team_id") == F.col("home_id")
     rows = rows.select(
         *keep, F.col("item_seq").alias("event_seq"), F.col("period").try_cast("int").alias("period"), text.clock_seconds(F.col("time")).alias("eventSec"), F.upper("type").alias("type"),

@@ -13,7 +13,7 @@ from tallyforge.functions import fixed
 from tallyforge.operators import joins, stints, value
 from tallyforge.plans import seasons
 from tallyforge.plans.catalogue import _r, _t, query
-from tallyforge.sources import sinks
+from tallyforge.sources import files, sinks
 
 # ---- contracts: predictions and comparables ---------------------------------------------------------------------------
 
@@ -24,12 +24,12 @@ K = 20
 def _contracts(spark: SparkSession, sf: str) -> DataFrame:
     o, k, cents = _t(spark, sf, "orders"), F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("bigint")
     return o.select(
-        k.alias("contract_id"), F.col("o_custkey").alias("playerId"), F.when(k % 3 == 0, "D").otherwise("F").alias("PosBucket"), (k % 8 + 1).cast("int").alias("length"), (F.col("o_totalprice") / 37e3).alias("cap_pct"),
+        k.alias("contract_id"), F.col("o_custkey").alias("playerId"), F.when(k % 3 == 0, "D").otherwise("F").alias("PosBucket"), (k % 8 + 1).cast("int").alias("length"), (F.col("o_totalprice") / 36871.37).alias("cap_pct"),
         ((cents * 7919 + k) % 10007).cast("double").alias("a"), ((cents * 104729 + k) % 9973).cast("double").alias("b"), F.when(k % 11 > 0, ((cents * 31 + k) % 8191).cast("double")).alias("c"),
     )
 
 
-CONTRACTS = """o AS (SELECT o_orderkey AS id, o_custkey AS p, CASE WHEN o_orderkey % 3 = 0 THEN 'D' ELSE 'F' END AS pos, o_orderkey % 8 + 1 AS len, o_totalprice / 37e3 AS cap, ((round(o_totalprice * 100)::BIGINT * 7919 + o_orderkey) % 10007)::DOUBLE AS a, ((round(o_totalprice * 100)::BIGINT * 104729 + o_orderkey) % 9973)::DOUBLE AS b, CASE WHEN o_orderkey % 11 > 0 THEN ((round(o_totalprice * 100)::BIGINT * 31 + o_orderkey) % 8191)::DOUBLE END AS c FROM orders)"""
+CONTRACTS = """o AS (SELECT o_orderkey AS id, o_custkey AS p, CASE WHEN o_orderkey % 3 = 0 THEN 'D' ELSE 'F' END AS pos, o_orderkey % 8 + 1 AS len, o_totalprice / 36871.37::DOUBLE AS cap, ((round(o_totalprice * 100)::BIGINT * 7919 + o_orderkey) % 10007)::DOUBLE AS a, ((round(o_totalprice * 100)::BIGINT * 104729 + o_orderkey) % 9973)::DOUBLE AS b, CASE WHEN o_orderkey % 11 > 0 THEN ((round(o_totalprice * 100)::BIGINT * 31 + o_orderkey) % 8191)::DOUBLE END AS c FROM orders)"""
 NEAREST = f"""{CONTRACTS}, m AS (SELECT avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_samp(a, a) AS caa, covar_samp(a, b) AS cab, covar_samp(b, b) AS cbb, avg(c) AS mc, stddev_pop(c) AS sc FROM o),
 v AS (SELECT caa / (sa * sa) + 1e-6 AS x, cab / (sa * sb) AS y, cbb / (sb * sb) + 1e-6 AS w FROM m), z AS (SELECT o.*, (a - ma) / sa AS za, (b - mb) / sb AS zb, (c - mc) / sc AS zc FROM o, m),
 d AS (SELECT t.id AS t, t.p AS tp, k.id AS k, k.p AS kp, k.len, k.cap, 2.0::DOUBLE * sqrt(greatest(0, (w * (t.za - k.za) ** 2 - 2 * y * (t.za - k.za) * (t.zb - k.zb) + x * (t.zb - k.zb) ** 2) / (x * w - y * y))) + coalesce(1.2::DOUBLE * abs(t.zc - k.zc), 0) AS dist
@@ -155,3 +155,94 @@ def stints_by_situation(spark, sf):
         one = stints.for_situation(made, situation).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("endSec") - F.col("startSec")).cast("bigint").alias("seconds")).select(F.lit(situation).alias("situation"), "n", "seconds")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---- texts and games --------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 > 0 THEN (props ->> '$.k')::BIGINT END AS k, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS shown, event_id % 7 = 0 AS is_malformed FROM events""")
+def variant_props(spark, sf):
+    """Properties of events as VARIANT: alternative paths of a field, blanks, and texts that are cut off."""
+    e = _t(spark, sf, "events")
+    number = F.col("value").cast("string")
+    nested = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "shown": {"x": '), (F.col("value") * 2).cast("string"), F.lit("}}"))).otherwise(F.concat(F.lit(', "shown": {"x": " "}, "old": "'), number, F.lit('"}')))
+    whole = F.concat(F.regexp_replace("props", r"\}$", ""), nested)
+    rows = e.select("event_id", F.when(F.col("event_id") % 7 == 0, F.substring(whole, 1, 6)).otherwise(whole).alias("json"))
+    out = files.variant_fields(rows, "json", {"k": ("bigint", ["$.k"]), "shown": ("double", ["$.shown.x", "$.old"])})
+    return out.select("event_id", "k", "shown", "is_malformed")
+
+
+_TEAMS = sorted({code for code in fixed.TEAM_CODES.values()})
+_NAMES = {code: name for name, code in reversed(list(fixed.TEAM_CODES.items()))}
+
+
+@query(f"""WITH g AS (SELECT o_orderkey AS id, o_orderdate::DATE AS d, o_custkey % {len(_TEAMS)} AS h, (o_custkey + 1 + o_orderkey % {len(_TEAMS) - 1}) % {len(_TEAMS)} AS a FROM orders),
+s AS (SELECT *, least(h, a) AS x, greatest(h, a) AS y FROM g WHERE h <> a), r AS (SELECT *, d + (id % 4)::INT - 1 AS shown FROM s),
+m AS (SELECT r.id, s.id AS game, date_diff('day', r.shown, s.d) AS off, row_number() OVER (PARTITION BY r.id ORDER BY abs(date_diff('day', r.shown, s.d)), date_diff('day', r.shown, s.d), s.id) AS n FROM r JOIN s ON r.x = s.x AND r.y = s.y AND abs(date_diff('day', r.shown, s.d)) <= 1)
+SELECT r.id, game AS game_id, off::INT AS day_offset FROM r LEFT JOIN m ON m.id = r.id AND n = 1""")
+def matched_games(spark, sf):
+    """Games that a second source names by text, a day or two off, matched to the schedule by teams and day."""
+    k, n = F.col("o_orderkey"), len(_TEAMS)
+    name = lambda at, table: F.element_at(F.array(*[F.lit(x) for x in table]), (at + 1).cast("int"))
+    home, away = F.col("o_custkey") % n, (F.col("o_custkey") + 1 + k % (n - 1)) % n
+    games = _t(spark, sf, "orders").select(k.alias("gameId"), F.col("o_orderdate").cast("date").alias("gameDate"), home.alias("h"), away.alias("a")).where("h <> a")
+    side = lambda at, mark: F.struct(name(F.col(at), _TEAMS).alias("Team"), F.lit(mark).alias("home_or_away"))
+    schedule = games.select("gameId", "gameDate", F.inline(F.array(side("h", "home"), side("a", "away"))))
+    shown = F.date_add("gameDate", (F.col("gameId") % 4 - 1).cast("int"))
+    title = F.concat(F.lit("Game "), F.col("gameId").cast("string"), F.lit(" - "), shown.cast("string"), F.lit(", Final"))
+    raw = games.select("gameId", title.alias("Game"), F.explode(F.array(name(F.col("h"), [_NAMES[c] for c in _TEAMS]), name(F.col("a"), [_NAMES[c] for c in _TEAMS]))).alias("Team")).drop("gameId")
+    found, rest = seasons.match_games(raw, schedule)
+    own = F.regexp_extract("Game", r"Game (\d+)", 1).cast("bigint").alias("id")
+    hits = found.select(own, F.col("gameId").alias("game_id"), "day_offset").distinct()
+    return hits.unionByName(rest.select(own).distinct(), allowMissingColumns=True)
+
+
+@query("""WITH s AS (SELECT 'Player ' || l_suppkey AS name, year(l_shipdate) AS season, l_suppkey AS id, l_linenumber AS n, l_orderkey AS seq, l_quantity AS q, l_tax AS t, l_discount AS d, CASE l_suppkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'C' ELSE 'LW' END AS pos FROM lineitem),
+t AS (SELECT id, season, min(q) AS lo FROM s GROUP BY ALL)
+SELECT s.id, s.season, round(sum(q), 4) AS goals, round(sum(d * q) / sum(q), 6) AS rate, CASE WHEN any_value(pos) = 'D' THEN 'D' ELSE 'F' END AS bucket, CASE WHEN s.id % 5 = 0 THEN s.id + 1000000 WHEN s.id % 5 = 1 THEN s.id + 2000000 END AS found, 'ES' AS situation FROM s GROUP BY s.id, s.season""")
+def situation_masters(spark, sf):
+    """One row for each player of a season: summed counts, weighted rates, bucket, and the identifier by name and position
+    or by name alone."""
+    k = F.col("l_suppkey")
+    line = _t(spark, sf, "lineitem").select(
+        F.concat(F.lit("Player "), k.cast("string")).alias("Player"), F.year("l_shipdate").cast("bigint").alias("season"), F.when(k % 3 == 0, "D").when(k % 3 == 1, "C").otherwise("LW").alias("Position"), F.col("l_returnflag").alias("Team"),
+        F.col("l_orderkey").alias("ingest_seq"), F.col("l_quantity").alias("goals"), F.col("l_discount").alias("rate"), F.col("l_quantity").alias("TOI"),
+    )
+    people = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("player "), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_suppkey").alias("seq"))
+    ids = people.where("id % 5 = 0").withColumns({"PosBucket": F.when(F.col("id") % 3 == 0, "D").otherwise("F"), "id": F.col("id") + 1000000})
+    names = people.where("id % 5 <= 1").withColumn("id", F.col("id") + 2000000)
+    out = seasons.situation_master(line.drop("rate", "TOI"), line.select("Player", "season", "ingest_seq", "rate", "TOI"), "ES", ids, names)
+    return out.select(F.regexp_extract("name", r"(\d+)", 1).cast("bigint").alias("id"), "season", _r("goals").alias("goals"), _r("rate", 6).alias("rate"), F.col("PosBucket").alias("bucket"), F.col("playerId").alias("found"), F.col("Situation").alias("situation"))
+
+
+def _game_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(plays, shifts, games, skaters) dealt from line items: an order is a game of one period, its lines are plays, and
+    the parts of its lines are skaters who stay on for a while."""
+    line, k = _t(spark, sf, "lineitem"), F.col("l_partkey")
+    base = line.select(
+        F.col("l_orderkey").alias("gameId"), F.lit(1).alias("period"), (k * 37 % 1200).cast("bigint").alias("eventSec"), (F.col("l_linenumber") * 100000 + k).alias("event_seq"), k, F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"),
+        F.when(k % 2 == 0, "HOM").otherwise("AWY").alias("teamAbbrev"), (F.col("l_extendedprice") % 89).alias("x"),
+    ).distinct()
+    kind = F.when(F.col("q") > 40, "GOAL").when(F.col("q") > 10, "SHOT-ON-GOAL").when(F.col("q") > 5, "FACEOFF").otherwise("STOPPAGE")
+    plays = base.select("gameId", "period", "eventSec", "event_seq", kind.alias("type"), "teamAbbrev", (k % 2 == 0).alias("is_home"), F.col("x").alias("dist"), (F.col("s") % 90).cast("double").alias("angle"), (F.col("q") > 10).alias("isFenwick"), F.when(k % 5 == 0, "PP").otherwise("EV").alias("strengthBucket"), F.lit("N").alias("faceoff_zone_home"))
+    shifts = base.groupBy("gameId", "period", F.col("s").alias("playerId")).agg(F.min("teamAbbrev").alias("teamAbbrev"), F.min("eventSec").alias("startSec")).withColumns({"endSec": F.least(F.col("startSec") + 300, F.lit(1200)).cast("bigint"), "shiftNumber": F.lit(1)})
+    return plays, shifts, base.select("gameId").distinct().withColumns({"home_team": F.lit("HOM"), "away_team": F.lit("AWY")}), shifts.select("playerId").distinct()
+
+
+@query()
+def shots_on_shifts(spark, sf):
+    """Expected goals from the model, attributed to the shifts that were on."""
+    plays, shifts, _, _ = _game_tables(spark, sf)
+    _, out, _ = seasons.shot_values(plays, shifts)
+    return out.select("gameId", "playerId", _r("shift_xGF", 4).alias("xgf"), _r("shift_xGA", 4).alias("xga"), "fenwickF", "fenwickA")
+
+
+@query()
+def skater_ratings(spark, sf):
+    """Stints from plays and shifts, and the ridge rates of skaters over all of them, whatever the numbers on the ice."""
+    plays, shifts, games, skaters = _game_tables(spark, sf)
+    scored, _, _ = seasons.shot_values(plays, shifts)
+    rows = sinks.cut(stints.build(scored, shifts, games, skaters))
+    alone = rows.where((F.size("players") > 0) & (F.size("opp_players") > 0)).withColumn("strength_key", F.lit("5v5"))
+    out, _ = seasons.skater_rates(alone, "ES")
+    return out.select("playerId", _r("off").alias("off"), _r("def").alias("def"), _r("total").alias("total"))

@@ -76,6 +76,30 @@ def explode_alternatives(df: DataFrame, text: str, paths: Sequence[str], fields:
     return rows.select(*keep, "item_seq", *[c.alias(n) for n, c in first.items()])
 
 
+def variant_fields(df: DataFrame, text: str, fields: Mapping[str, tuple[str, Sequence[str]]], malformed: str = "is_malformed") -> DataFrame:
+    """Typed columns from a JSON text that is parsed once, as a VARIANT. A field is (type, alternative paths): the
+    first path that is there and not blank and casts to the type. Texts that are no JSON are marked in ``malformed``;
+    their fields, and those of null texts, are null."""
+    parsed = df.withColumn("_v", F.try_parse_json(F.col(text)))
+    own = {n: F.coalesce(*[F.nullif(F.trim(F.try_variant_get("_v", p, "string")), F.lit("")).try_cast(kind) if kind != "variant" else F.try_variant_get("_v", p, kind) for p in paths]) for n, (kind, paths) in fields.items()}
+    return parsed.withColumns(own | {malformed: F.col(text).isNotNull() & F.col("_v").isNull()}).drop("_v")
+
+
+def explode_variant(df: DataFrame, text: str, paths: Sequence[str], fields: Mapping[str, Sequence[str]], keep: Sequence[str] = ()) -> DataFrame:
+    """As ``explode_alternatives``, from a VARIANT: the text is parsed once, and an item's fields are read from it by
+    path without parsing the item again. Malformed texts give no rows; ``set_aside`` has them."""
+    arrays = F.coalesce(*[F.try_variant_get("_v", p, "array<variant>") for p in paths])
+    rows = df.withColumn("_v", F.try_parse_json(F.col(text))).select(*keep, F.posexplode(arrays).alias("item_seq", "_item"))
+    first = {n: F.coalesce(*[F.nullif(F.trim(F.try_variant_get("_item", p, "string")), F.lit("")) for p in ps]) for n, ps in fields.items()}
+    return rows.select(*keep, "item_seq", *[c.alias(n) for n, c in first.items()])
+
+
+def set_aside(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """K5: (rows whose text is JSON or null, rows whose text is malformed)."""
+    bad = F.col(text).isNotNull() & F.try_parse_json(F.col(text)).isNull()
+    return df.where(~bad), df.where(bad)
+
+
 def pad_ragged(df: DataFrame, cells: str, width: int) -> DataFrame:
     """Rows of scraped cells cut or filled with nulls to a width."""
     nulls = F.array_repeat(F.lit(None).cast("string"), width)

@@ -21,6 +21,14 @@ def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ("season",
     writer.partitionBy(*[c for c in partition_by if c in df.columns]).parquet(path)
 
 
+def sorted_for_lookup(df: DataFrame, path: str, key: str, files: int | None = None, row_group_bytes: int = 8 << 20) -> None:
+    """D3: a layout for point lookups: cut by range of the key into files, sorted in each, in small row groups that carry
+    the least and greatest key and a Bloom filter of the keys. A filter on the key reads the one group that may hold it."""
+    dealt = df.repartitionByRange(files, F.col(key)) if files else df.repartitionByRange(F.col(key))
+    writer = dealt.sortWithinPartitions(key).write.option("parquet.block.size", row_group_bytes).option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.option("parquet.page.row.count.limit", 1000).parquet(path)
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """K2."""
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
