@@ -72,9 +72,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows as a compressed columnar table in the shared folder; for rows that are wide or read more than once."""
-    return _written(df, f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+def stored(df: DataFrame, name: str, owned: bool = True) -> DataFrame:
+    """The same rows as a compressed columnar table in the shared folder; for rows that are wide or read more than once.
+    Where a run owns what its operators store, the table goes with it, unless ``owned`` is off."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    out = _written(df, path)
+    if _owners and owned:
+        _owners[-1]._tables.append((out, path))
+    return out
+
+
+_owners: list[Scratch] = []  # runs that delete also what the operators they call return
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -84,18 +92,22 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 class Scratch:
     """Tables and broadcasts of one operator's run; leaving the block deletes them, so what the operator returns must
-    have been stored outside."""
+    have been stored outside. With ``owns`` the tables that operators return inside the block are deleted too."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, owns: bool = False):
+        self.spark, self.owns = spark, owns
         self._tables: list[tuple[DataFrame, str]] = []
         self._broadcasts: list = []
 
     def __enter__(self) -> Scratch:
         tidy(self.spark)
+        if self.owns:
+            _owners.append(self)
         return self
 
     def __exit__(self, *failure) -> None:
+        if self.owns:
+            _owners.remove(self)
         self.drop(*(df for df, _ in self._tables))
         for sent in self._broadcasts:
             sent.destroy()

@@ -131,20 +131,14 @@ def test_similar_things_share_a_rarest_element(weighted):
                     assert set(some[edge[a] : edge[a + 1]].tolist()) & set(some[edge[b] : edge[b + 1]].tolist())
 
 
-def files(folder: str) -> set[str]:
-    return {os.path.relpath(os.path.join(d, f), folder).split(os.sep)[0] for d, _, names in os.walk(folder) for f in names}
-
-
-def leftovers(spark, folder: str, allowed: set[str]) -> set[str]:
-    for _ in range(40):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        left = {x for x in files(folder) if re.sub(r"-[0-9a-f]{32}$", "", x) not in allowed}
-        checkpoints = [f for d, _, names in os.walk(folder) for f in names if "/rdd-" in d]
-        if not checkpoints and all("-" in x and len(x) == 36 for x in left):
-            return set()
-        time.sleep(0.25)
-    return left
+def tables(folder: str) -> set[str]:
+    """Tables and checkpoints that have files, by name."""
+    found = set()
+    for d, _, names in os.walk(folder):
+        if names:
+            parts = os.path.relpath(d, folder).split(os.sep)
+            found.add("/".join(parts[:2]) if len(parts) > 1 and parts[1].startswith("rdd-") else parts[0])
+    return found
 
 
 RESULT = {
@@ -156,10 +150,16 @@ RESULT = {
 @pytest.mark.parametrize("name", sorted(RESULT))
 def test_only_the_result_stays(spark, name):
     folder = R.shared_dir(spark).removeprefix("file:")
-    leftovers(spark, folder, set())
-    before = {x for x in files(folder) if len(x) != 36}
+    before = tables(folder)
     out = ({"pipeline": corpus_pipeline.run} | queries.QUERIES)[name](spark, SF)
     assert out.count() > 0
+    assert {re.sub(r"-[0-9a-f]{32}$", "", x) for x in tables(folder) - before if "/rdd-" not in x} == RESULT[name]
     del out
-    left = leftovers(spark, folder, RESULT[name] | {re.sub(r"-[0-9a-f]{32}$", "", x) for x in before})
+    for _ in range(60):  # Spark deletes a checkpoint when the JVM finds that nothing refers to it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        left = {x for x in tables(folder) - before if "/rdd-" in x}
+        if not left:
+            return
+        time.sleep(0.25)
     assert not left, left
