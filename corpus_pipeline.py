@@ -102,9 +102,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder; each result is written to the shared folder and read again, and deleted
     once the next is there. What stays is the mix, with ids and numbers and no texts."""
     docs = R.load(spark, sf_dir, "documents")
-    with R.Scratch(spark) as scratch:
+    with R.Scratch(spark, owns=True) as scratch:
         for name, stage in STAGES[:-1]:
             kept = scratch.stored(stage(spark, docs, sf_dir), f"stage-{name}")
             scratch.drop(docs)
             docs = kept
-        return R.stored(STAGES[-1][1](spark, docs, sf_dir), f"stage-{STAGES[-1][0]}")
+        return R.stored(STAGES[-1][1](spark, docs, sf_dir), f"stage-{STAGES[-1][0]}", owned=False)
