@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators import ranks
 from tallyforge.sources import sinks
 
 
@@ -73,13 +74,18 @@ def outer_facts(facts: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFram
 
 def tolerant_date_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_date: str, right_date: str, row: Sequence[str], tol: int = 1, order: Sequence[Column] = ()) -> DataFrame:
     """For each left row (named by ``row``) the right row of equal keys with the nearest date within ``tol`` days:
-    the same day first, then the day before, then the day after. The tolerance is an equi-join on the day, each right
-    row standing for the days it may serve, so dense keys do not multiply."""
+    the same day first, then the day before, then the day after. The tolerance is an equi-join on the day. Of the right
+    rows that a day's rows could take, only the first in order can be theirs: a day of a key has one row before the
+    join, so dense keys pair nothing more than once. ``order`` is of right columns."""
     days = F.explode(F.array(*[F.lit(d) for d in sorted(range(-tol, tol + 1), key=lambda d: (abs(d), d))]))
-    served = right.withColumn("_offset", days).withColumn("_day", F.date_sub(F.col(right_date).cast("date"), F.col("_offset")))
+    dated = right.withColumn("_date", F.col(right_date).cast("date")).where("_date is not null")
+    # the first of a date (found in part before the shuffle), then the first of the days that it may serve
+    dated = ranks.keep_first(dated, [*keys, "_date"], list(order) or [F.lit(0)])
+    served = dated.withColumn("_offset", days).withColumn("_day", F.date_sub(F.col("_date"), F.col("_offset"))).drop("_date")
+    served = ranks.keep_first(served, [*keys, "_day"], [F.abs("_offset"), F.col("_offset")])
     out = left.withColumn("_day", F.col(left_date).cast("date")).join(served, [*keys, "_day"])
-    rank = F.row_number().over(Window.partitionBy(*row).orderBy(F.abs("_offset"), "_offset", *order))
-    return out.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_day").withColumnRenamed("_offset", "day_offset")
+    out = ranks.keep_first(out, row, [F.abs("_offset"), F.col("_offset"), *order])
+    return out.drop("_day").withColumnRenamed("_offset", "day_offset")
 
 
 def dyadic_nodes(low: Column, high: Column) -> Column:

@@ -32,3 +32,21 @@ def test_neighbours_in_boxes_with_missing_parts_and_copies(spark, itself):
         want[t] = [(round(a, 9), j) for a, j in sorted((round(float(a), 12), j) for j, a in enumerate(dist) if not (itself and j == t))[:5]]
     assert found == want
     assert sum(counts[:2]) < 0.1 * counts[2], counts
+
+
+def test_a_day_of_a_dense_key_joins_one_row(spark):
+    """300 left and 300 right rows of a key and day, and of the next: as many joined rows as left ones, not 300 times."""
+    left = [(i, "k", f"2024-01-0{1 + i % 4}") for i in range(300)] + [(900, None, "2024-01-01"), (901, "k", None), (902, "q", "2024-01-01")]
+    right = [(j, "k", f"2024-01-0{2 + j % 2}") for j in range(300)]
+    a, b = spark.createDataFrame(left, "i long, k string, d string"), spark.createDataFrame(right, "j long, k string, e string")
+    out = joins.tolerant_date_join(a, b, ["k"], "d", "e", ["i"], 1, [F.col("j").desc()])
+    got = {r.i: (r.j, r.day_offset) for r in out.collect()}
+    best = {"2024-01-02": 298, "2024-01-03": 299}
+    want = {}
+    for i, _, d in left[:300]:
+        at = {"2024-01-01": ("2024-01-02", 1), "2024-01-02": ("2024-01-02", 0), "2024-01-03": ("2024-01-03", 0), "2024-01-04": ("2024-01-03", -1)}[d]
+        want[i] = (best[at[0]], at[1])
+    assert got == want
+    from tests.plans import most_rows
+
+    assert most_rows(out) <= 2 * len(left) + 3 * len(right)
