@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,6 +40,12 @@ def column_seconds(df: DataFrame, column: str, out: str, share: float = 0.3) ->
     return df.crossJoin(F.broadcast(kind)).withColumn(out, F.when(is_clock, clock_seconds(text).cast("double")).otherwise(F.trim(text).try_cast("double") * 60)).drop("_clocks")
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that it names several times and that is worked out once: the variable of a lambda, not a copy of
+    the expression at each place, which would multiply from step to step."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def repair_mojibake(c: Column) -> Column:
     """Text whose UTF-8 bytes were read as Latin-1, set right; other text unchanged."""
     latin = ~c.rlike(r"[^\x00-\xFF]")
@@ -50,14 +56,15 @@ def repair_mojibake(c: Column) -> Column:
 @F.pandas_udf(StringType())
 def _strip(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
-        return None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch))
+        return x if x is None or x.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch))
 
     return s.map(one)
 
 
 def strip_accents(c: Column) -> Column:
-    """Compatibility decomposition without combining marks. ASCII text stays in the JVM; the rest goes in Arrow batches."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _strip(c)).otherwise(c)
+    """Compatibility decomposition without combining marks, in Arrow batches; ASCII text passes as it is. The column
+    is named once: Spark sends every row of a batch whatever condition stands around the function."""
+    return _strip(c)
 
 
 def clean_blanks(c: Column) -> Column:
@@ -68,15 +75,20 @@ def clean_blanks(c: Column) -> Column:
 def canonical_name(c: Column, spellings: Mapping[str, str] | None = None) -> Column:
     """One spelling of a person's name: repaired, dashes and quotes plain, "Last, First" turned, accents and other
     punctuation away, lower case, known spellings mapped, suffixes dropped. Null becomes empty."""
-    s = repair_mojibake(c)
+    def turned(s: Column) -> Column:
+        parts = F.transform(F.split(s, ","), lambda x: F.trim(x))
+        both = F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(0)), F.array_join(F.slice(parts, 3, 100), " "))
+        return F.when(s.contains(","), F.trim(F.regexp_replace(both, r"\s+", " "))).otherwise(s)
+
+    def plain(s: Column) -> Column:
+        return F.lower(F.trim(F.regexp_replace(F.regexp_replace(s, r"(?U)[^\w\s\-']", " "), r"(?U)\s+", " ")))
+
+    s = _once(c, repair_mojibake)
     s = F.regexp_replace(F.regexp_replace(s, "[–—−]", "-"), "[‘’]", "'")
-    s = F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
-    parts = F.transform(F.split(s, ","), lambda x: F.trim(x))
-    turned = F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(0)), F.array_join(F.slice(parts, 3, 100), " "))
-    s = F.when(s.contains(","), F.trim(F.regexp_replace(turned, r"\s+", " "))).otherwise(s)
-    s = F.regexp_replace(strip_accents(s), r"(?U)[^\w\s\-']", " ")
-    s = F.lower(F.trim(F.regexp_replace(s, r"(?U)\s+", " ")))
-    s = lookup(s, fixed.NAME_SPELLINGS if spellings is None else spellings, s) if (spellings is None or spellings) else s
+    s = _once(F.trim(F.regexp_replace(s, r"(?U)\s+", " ")), turned)
+    s = plain(strip_accents(s))
+    known = fixed.NAME_SPELLINGS if spellings is None else spellings
+    s = _once(s, lambda x: lookup(x, known, x)) if known else s
     ends = "|".join(fixed.NAME_SUFFIXES)
     return F.coalesce(F.regexp_replace(s, rf"(^|\s)(({ends})(\s+|$))+$", ""), F.lit(""))
 

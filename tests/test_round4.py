@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text
 from tallyforge.functions import text
 from tallyforge.operators import comps, joins
 
@@ -50,3 +51,12 @@ def test_a_day_of_a_dense_key_joins_one_row(spark):
     from tests.plans import most_rows
 
     assert most_rows(out) <= 2 * len(left) + 3 * len(right)
+
+
+def test_a_canonical_name_works_out_each_step_once(spark):
+    """The column itself stands in the plan a few times, whatever the steps that name their input several times."""
+    df = spark.createDataFrame([("Müller Jr., Jörg",), ("Ã‰ric O’Neil",), (None,)], "s string")
+    out = df.select(text.canonical_name(F.concat("s", F.lit("")), {}).alias("name"))
+    assert [r.name for r in out.collect()][::2] == ["jorg muller", ""]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("concat(s#") <= 2 and plan.lower().count("regexp_replace") < 40
