@@ -134,6 +134,48 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"{k}__i" for k in keys], "_bin", "_level")
 
 
+def sums_in_intervals(points: DataFrame, intervals: DataFrame, row: Sequence[str], at: str, start: str, stop: str, sums: Mapping[str, str | None], unit: float = 1.0) -> DataFrame:
+    """J25 by sums, without keys: for each interval (named by ``row``) the sums over points with start <= at < stop; a sum
+    of None counts points. Null where there is none.
+
+    Points are added up by steps of ``unit``, and steps by dyadic nodes of the levels that intervals use. An interval adds
+    the nodes that tile its whole steps, two for each binary digit of its length, and meets single points in the two
+    steps at its ends alone. So no interval is paired with the points inside it."""
+    step = lambda c: F.floor(F.col(c) / unit).cast("long")
+    totals = lambda of: [F.sum(F.lit(1) if of[n] is None else F.col(of[n])).alias(n) for n in sums]
+    asked = intervals.where(F.col(start) < F.col(stop)).select(*row, F.col(start).alias("_start"), F.col(stop).alias("_stop"))
+    asked = asked.withColumns({"_a": step("_start"), "_b": step("_stop")})
+    nodes = sinks.cut(asked.where(F.col("_a") + 1 < F.col("_b")).select(*row, F.inline(dyadic_nodes(F.col("_a") + 1, F.col("_b")))))
+    levels = sorted(r[0] for r in nodes.select("level").distinct().collect())  # one for each binary digit
+    steps = sinks.cut(points.where(F.col(at).isNotNull()).groupBy(step(at).alias("_step")).agg(*totals(sums)))
+    held = None
+    # a level's nodes are added up from those of the level below that was asked for
+    below, depth = steps.withColumnRenamed("_step", "node"), 0
+    for level in levels:
+        below = sinks.cut(below.groupBy(F.shiftright("node", level - depth).alias("node")).agg(*totals({n: n for n in sums})))
+        depth, one = level, below.withColumn("level", F.lit(level))
+        held = one if held is None else held.unionByName(one)
+    edges = asked.select(*row, "_start", "_stop", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_step"))
+    single = points.select(F.col(at).alias("_at"), step(at).alias("_step"), *[(F.lit(1) if c is None else F.col(c)).alias(n) for n, c in sums.items()])
+    found = points_in_steps(single, edges, list(sums)).select(*row, *sums)
+    if held is not None:
+        found = found.unionByName(nodes.join(held, ["level", "node"]).select(*row, *sums))
+    return found.groupBy(*row).agg(*[F.sum(n).alias(n) for n in sums])
+
+
+def points_in_steps(single: DataFrame, edges: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """For each edge (its interval's ``_start`` and ``_stop`` and a ``_step``) the sums over points of the step inside, by
+    running sums of the step: at the last point before the stop less those before the start."""
+    w = Window.partitionBy("_step").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = [c for c in edges.columns if c not in ("_start", "_stop", "_step")]
+    ends = F.inline(F.array(F.struct(F.col("_start").alias("_at"), F.lit(-1).alias("_sign")), F.struct(F.col("_stop").alias("_at"), F.lit(1).alias("_sign"))))
+    # an end comes before the points at it: points at the start are inside, those at the stop are not
+    line = edges.select("_step", F.struct(*own).alias("_own"), ends).withColumn("_side", F.lit(0))
+    line = line.unionByName(single.groupBy("_step", "_at").agg(*[F.sum(n).alias(n) for n in sums]).withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    run = line.withColumns({n: F.coalesce(F.sum(n).over(w), F.lit(0)) for n in sums}).where("_side = 0")
+    return run.groupBy("_own").agg(*[F.sum(F.col(n) * F.col("_sign")).alias(n) for n in sums]).select("_own.*", *sums)
+
+
 def attribute_points_to_intervals(intervals: DataFrame, points: DataFrame, keys: Sequence[str], row: Sequence[str], at: str, start: str, stop: str, value: str, team: str, point_team: str, bin_size: float | None = None) -> DataFrame:
     """For each interval row the sum and number of values at points inside, for its own team and against it."""
     inside = points_in_intervals(points, intervals, keys, at, start, stop, bin_size=bin_size)

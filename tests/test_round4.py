@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text
 from tallyforge.functions import text
 from tallyforge.operators import comps, joins
+from tests.plans import most_rows
 
 
 @pytest.mark.parametrize("itself", [True, False])
@@ -48,7 +49,6 @@ def test_a_day_of_a_dense_key_joins_one_row(spark):
         at = {"2024-01-01": ("2024-01-02", 1), "2024-01-02": ("2024-01-02", 0), "2024-01-03": ("2024-01-03", 0), "2024-01-04": ("2024-01-03", -1)}[d]
         want[i] = (best[at[0]], at[1])
     assert got == want
-    from tests.plans import most_rows
 
     assert most_rows(out) <= 2 * len(left) + 3 * len(right)
 
@@ -60,3 +60,21 @@ def test_a_canonical_name_works_out_each_step_once(spark):
     assert [r.name for r in out.collect()][::2] == ["jorg muller", ""]
     plan = out._jdf.queryExecution().analyzed().toString()
     assert plan.count("concat(s#") <= 2 and plan.lower().count("regexp_replace") < 40
+
+
+@pytest.mark.parametrize("unit", [1.0, 0.25, 8.0])
+def test_sums_in_intervals_pair_nothing(spark, unit):
+    """Long intervals over all points: no join gives out more rows than intervals have nodes."""
+    rng = np.random.default_rng(12)
+    points = [(float(t), float(v) if v % 5 else None) for t, v in zip(rng.integers(-2000, 8000, 1500) / 4, rng.integers(0, 50, 1500))]
+    spans = [(j, float(s), float(s + n)) for j, (s, n) in enumerate(zip(rng.integers(-3000, 8000, 60) / 4, 10.0 ** rng.uniform(-1, 4, 60)))] + [(900, 5.0, 5.0), (901, 7.0, 3.0), (902, -1e4, 1e4), (903, None, 4.0)]
+    p, s = spark.createDataFrame(points, "t double, v double"), spark.createDataFrame(spans, "j long, a double, b double")
+    out = joins.sums_in_intervals(p, s, ["j"], "t", "a", "b", {"n": None, "total": "v"}, unit)
+    got = {r.j: (r.n, r.total or 0.0) for r in out.collect() if r.n}
+    want = {}
+    for j, a, b in spans:
+        inside = [v for t, v in points if a is not None and a <= t < b]
+        if inside:
+            want[j] = (len(inside), float(sum(v or 0 for v in inside)))
+    assert got == want
+    assert most_rows(out) <= 60 * 2 * 16
