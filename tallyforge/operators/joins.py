@@ -180,11 +180,13 @@ def attribute_points_to_intervals(intervals: DataFrame, points: DataFrame, keys:
     """For each interval row the sum and number of values at points inside, for its own team and against it."""
     inside = points_in_intervals(points, intervals, keys, at, start, stop, bin_size=bin_size)
     own = F.col(team) == F.col(point_team)
-    sums = inside.groupBy(*row).agg(
+    # grouped by the keys too, by which the joined rows lie already
+    named = list(dict.fromkeys([*keys, *row]))
+    sums = inside.groupBy(*named).agg(
         F.coalesce(F.sum(F.when(own, F.col(value))), F.lit(0.0)).alias("value_for"), F.coalesce(F.sum(F.when(~own, F.col(value))), F.lit(0.0)).alias("value_against"),
         F.count(F.when(own, 1)).alias("n_for"), F.count(F.when(~own, 1)).alias("n_against"),
     )
-    out = intervals.join(sums, list(row), "left")
+    out = intervals.join(sums, named, "left")
     return out.fillna(0, ["value_for", "value_against", "n_for", "n_against"])
 
 

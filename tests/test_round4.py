@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text
 from tallyforge.functions import text
 from tallyforge.operators import comps, joins
+from tallyforge.plans import seasons
 from tests.plans import most_rows
 
 
@@ -78,3 +79,13 @@ def test_sums_in_intervals_pair_nothing(spark, unit):
             want[j] = (len(inside), float(sum(v or 0 for v in inside)))
     assert got == want
     assert most_rows(out) <= 60 * 2 * 16
+
+
+def test_a_shift_stays_one_row_when_shots_meet_it(spark):
+    """No shift is multiplied by bins: nothing of the plan is a row for each minute."""
+    plays = spark.createDataFrame([(1, 1, 10 * i, i, "GOAL" if i % 3 == 0 else "SHOT-ON-GOAL", "H" if i % 2 else "A", i % 2 == 1, float(i % 7), float(i % 5), True, "EV") for i in range(100)], "gameId long, period int, eventSec long, event_seq long, type string, teamAbbrev string, is_home boolean, dist double, angle double, isFenwick boolean, strengthBucket string")
+    shifts = spark.createDataFrame([(1, 1, 7, "H", 0, 600, 1), (1, 1, 8, "A", 300, 1200, 1), (1, None, 9, "A", 0, 1200, 1)], "gameId long, period int, playerId long, teamAbbrev string, startSec long, endSec long, shiftNumber int")
+    _, out, _ = seasons.shot_values(plays, shifts)
+    got = {r.playerId: (r.fenwickF, r.fenwickA) for r in out.collect()}
+    assert got == {7: (30, 30), 8: (35, 35), 9: (0, 0)}
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
