@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import fixed
-from tallyforge.operators.joins import active_set_at, as_of
+from tallyforge.sources import sinks
 
 PERIOD_END = 1200
 
@@ -25,42 +25,49 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column], state:
     return df.withColumn(out, F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
-def faceoff_starts(events: DataFrame, keys: Sequence[str] = ("gameId", "period"), at: str = "eventSec", kind: str = "type") -> DataFrame:
-    """(keys, t, goal, fo_start, fo_zone): what each second with events holds; a face-off start is a face-off with a
-    stoppage in that second or the one before (G18)."""
-    marks = events.groupBy(*keys, F.col(at).alias("t")).agg(
-        F.bool_or(F.col(kind) == "GOAL").alias("goal"), F.bool_or(F.col(kind) == "FACEOFF").alias("fo"), F.bool_or(F.col(kind) == "STOPPAGE").alias("stop"),
-        F.max(F.when(F.col(kind) == "FACEOFF", F.col("faceoff_zone_home"))).alias("fo_zone"),
-    )
-    w = Window.partitionBy(*keys).orderBy("t").rangeBetween(-1, 0)
-    return marks.withColumn("fo_start", F.col("fo") & F.bool_or("stop").over(w)).select(*keys, "t", "goal", "fo_start", "fo_zone")
-
-
-def build(events: DataFrame, shifts: DataFrame, games: DataFrame, skaters: DataFrame, b2b: DataFrame | None = None, bin_size: float = 60.0) -> DataFrame:
-    """Two rows for each stint, one for each side (A2).
+def build(events: DataFrame, shifts: DataFrame, games: DataFrame, skaters: DataFrame, b2b: DataFrame | None = None) -> DataFrame:
+    """Two rows for each stint, one for each side.
 
     ``events``: gameId, period, eventSec, event_seq, type, teamAbbrev, home_score, away_score, faceoff_zone_home, isFenwick, xG;
     ``shifts``: gameId, period, playerId, teamAbbrev, startSec, endSec; ``games``: gameId, home_team, away_team;
     ``skaters``: playerId of those that count. Players are those with start <= t < end; a state at grid point j is both
     sets at j with the score at the point before; a stint runs from one cut to the next and carries the state of its
-    opening; cuts are changes of state, goals and face-off starts (Q6, Q7). Expected goals fall in (start, end].
+    opening; cuts are changes of state, goals and face-off starts (Q6, Q7). A face-off start is a face-off with a stoppage
+    in that second or the one before. Expected goals fall in (start, end].
+
+    Shifts and events go to their game's task in one shuffle. There each second of a period that holds something becomes a
+    row, and windows over the period, all in one order, carry the score, the sums and the shifts so far: nothing is
+    joined or moved again.
     """
     keys = ["gameId", "period"]
-    lasting = shifts.join(F.broadcast(games), "gameId").where((F.col("endSec") >= F.col("startSec")) & ((F.col("teamAbbrev") == F.col("home_team")) | (F.col("teamAbbrev") == F.col("away_team"))))
-    lasting = lasting.join(skaters.select("playerId").distinct(), "playerId", "left_semi")
-    events = events.join(games.select("gameId"), "gameId", "left_semi").join(lasting.select("gameId").distinct(), "gameId", "left_semi")
-    marks = faceoff_starts(events)
-    bounds = lasting.select(*keys, F.explode(F.array("startSec", "endSec")).alias("t"))
-    ends = lasting.select(*keys).unionByName(events.select(*keys)).distinct().select(*keys, F.explode(F.array(F.lit(0), F.lit(PERIOD_END)).cast("array<bigint>")).alias("t"))
-    grid = bounds.unionByName(marks.select(*keys, "t")).unionByName(ends).select(*keys, F.col("t").cast("bigint").alias("t")).distinct()
-    for side in ("home", "away"):
-        own = lasting.where(F.col("teamAbbrev") == F.col(f"{side}_team")).select(*keys, "playerId", "startSec", "endSec")
-        grid = active_set_at(grid, own, keys, [*keys, "t"], "t", "startSec", "endSec", "playerId", bin_size).withColumnRenamed("active", side)
+    counted = shifts.where(F.col("endSec") >= F.col("startSec")).join(sinks.small(skaters.select("playerId").distinct()), "playerId", "left_semi")
+    line = counted.select(*keys, "teamAbbrev", F.struct("playerId", "startSec", "endSec").alias("shift"))
+    play = F.struct(F.col("eventSec").cast("bigint").alias("t"), "event_seq", "type", "home_score", "away_score", F.col("faceoff_zone_home").alias("zone"), F.when(F.col("isFenwick"), F.col("xG").cast("double")).alias("xG"))
+    line = line.unionByName(events.select(*keys, "teamAbbrev", play.alias("play")), allowMissingColumns=True)
+    line = line.repartition("gameId").join(sinks.small(games.select("gameId", "home_team", "away_team")), "gameId")
+    at_home, away = F.col("teamAbbrev") == F.col("home_team"), F.col("teamAbbrev") == F.col("away_team")
+    is_shift, kind = F.col("shift").isNotNull(), F.col("play.type")
+    line = line.where(~is_shift | at_home | away)
+    # what a row says is told in its first second; its others, and the ends of the period, are only points
+    own = F.when(is_shift, F.array(*[F.col(f"shift.{c}").cast("bigint") for c in ("startSec", "endSec")])).otherwise(F.array("play.t"))
+    line = line.select("*", F.posexplode(F.concat(own, F.array(F.lit(0), F.lit(PERIOD_END)).cast("array<bigint>"))).alias("i", "t"))
+    tells, plays = F.col("i") == 0, ~is_shift & (F.col("i") == 0)
+    seconds = line.groupBy(*keys, "t").agg(
+        F.first("home_team").alias("home_team"), F.first("away_team").alias("away_team"),
+        F.collect_list(F.when(tells & is_shift & at_home, F.col("shift"))).alias("home_from"), F.collect_list(F.when(tells & is_shift & away, F.col("shift"))).alias("away_from"),
+        F.bool_or(is_shift).alias("shifts"), F.bool_or(plays & (kind == "GOAL")).alias("goal"), F.bool_or(plays & (kind == "FACEOFF")).alias("fo"), F.bool_or(plays & (kind == "STOPPAGE")).alias("stop"),
+        F.max(F.when(plays & (kind == "FACEOFF"), F.col("play.zone"))).alias("fo_zone"), F.max(F.when(plays, F.struct("play.event_seq", "play.home_score", "play.away_score"))).alias("score"),
+        F.sum(F.when(plays & at_home, F.col("play.xG"))).alias("h"), F.sum(F.when(plays & ~at_home, F.col("play.xG"))).alias("a"),
+    )
     w = Window.partitionBy(*keys).orderBy("t")
-    scores = events.select(*keys, "eventSec", "event_seq", "home_score", "away_score")
-    grid = as_of(grid, scores, keys, "t", "eventSec", ["home_score", "away_score"], ["event_seq"])
-    grid = grid.withColumn("diff_here", F.coalesce("home_score", F.lit(0)) - F.coalesce("away_score", F.lit(0)))
-    grid = grid.join(marks, [*keys, "t"], "left").withColumn("fo_start", F.coalesce("fo_start", F.lit(False)))
+    past = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = {c: F.coalesce(F.sum(c).over(past), F.lit(0.0)) for c in ("h", "a")}
+    grid = seconds.withColumns({"fo_start": F.coalesce(F.col("fo") & F.bool_or("stop").over(w.rangeBetween(-1, 0)), F.lit(False)), "score": F.last("score", ignorenulls=True).over(past), "home": F.flatten(F.collect_list("home_from").over(past)), "away": F.flatten(F.collect_list("away_from").over(past)), **so_far})
+    grid = grid.withColumn("shifts", F.max("shifts").over(Window.partitionBy("gameId"))).where(F.col("shifts") & F.col("t").isNotNull())
+    for side in ("home", "away"):
+        on = F.filter(side, lambda s: (s["startSec"] <= F.col("t")) & (F.col("t") < s["endSec"]))
+        grid = grid.withColumn(side, F.array_sort(F.array_distinct(F.transform(on, lambda s: s["playerId"]))))
+    grid = grid.withColumn("diff_here", F.coalesce("score.home_score", F.lit(0)) - F.coalesce("score.away_score", F.lit(0)))
     # the state at a point carries the score of the point before; the first point has that of itself and the sets of the second
     grid = grid.withColumn("j", F.row_number().over(w) - 1).withColumn("diff", F.coalesce(F.lag("diff_here").over(w), F.col("diff_here")))
     for side in ("home", "away"):
@@ -72,26 +79,13 @@ def build(events: DataFrame, shifts: DataFrame, games: DataFrame, skaters: DataF
     grid = grid.withColumn("cut", cut).withColumn("last", F.lead("t").over(w).isNull())
     opened = grid.where((F.col("j") == 0) | F.col("cut") | F.col("last"))
     nh, na = F.size("home_"), F.size("away_")
-    opened = opened.withColumn("strength", F.when(nh == na, "ES").when(nh > na, "PP").otherwise("PK")).withColumn("before", F.lag("strength").over(w)).withColumn("endSec", F.lead("t").over(w))
-    stints = opened.where(F.col("endSec").isNotNull() & (F.col("endSec") > F.col("t"))).join(F.broadcast(games), "gameId")
-    stints = stints.select(*keys, F.col("t").alias("startSec"), "endSec", "home_", "away_", "diff", "fo_start", "fo_zone", "before", "strength", "home_team", "away_team", "j")
-    fen = events.where("isFenwick").select(*keys, "eventSec", "teamAbbrev", "xG")
-    stints = add_xg(stints, fen, keys)
+    opened = opened.withColumn("strength", F.when(nh == na, "ES").when(nh > na, "PP").otherwise("PK"))
+    opened = opened.withColumns({"before": F.lag("strength").over(w), "endSec": F.lead("t").over(w), "home_xg": F.lead("h").over(w) - F.col("h"), "away_xg": F.lead("a").over(w) - F.col("a")})
+    stints = opened.where(F.col("endSec").isNotNull() & (F.col("endSec") > F.col("t")))
+    stints = stints.select(*keys, F.col("t").alias("startSec"), "endSec", "home_", "away_", "diff", "fo_start", "fo_zone", "before", "strength", "home_team", "away_team", "j", "home_xg", "away_xg")
     return sides(stints, b2b)
 
 
-def add_xg(stints: DataFrame, shots: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sums over (start, end] as differences of running sums at both ends: two as-of joins, no range pairs."""
-    totals = shots.join(stints.select(*keys, "home_team").distinct(), list(keys))
-    w = Window.partitionBy(*keys).orderBy("eventSec").rangeBetween(Window.unboundedPreceding, 0)
-    own = F.col("teamAbbrev") == F.col("home_team")
-    run = totals.select(*keys, "eventSec", F.sum(F.when(own, F.col("xG")).otherwise(0.0)).over(w).alias("h"), F.sum(F.when(~own, F.col("xG")).otherwise(0.0)).over(w).alias("a")).distinct()
-    out = as_of(stints, run, keys, "startSec", "eventSec", ["h", "a"], prefix="s_")
-    out = as_of(out, run, keys, "endSec", "eventSec", ["h", "a"], prefix="e_")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.withColumn("home_xg", zero("e_h") - zero("s_h")).withColumn("away_xg", zero("e_a") - zero("s_a")).drop("s_h", "s_a", "e_h", "e_a")
-
-
 def sides(stints: DataFrame, b2b: DataFrame | None = None) -> DataFrame:
     """The home and the away row of each stint, with the features of A2 seen from that side."""
     minutes = (F.col("endSec") - F.col("startSec")) / 60.0
