@@ -22,6 +22,7 @@ from tallyforge.llm import _vec as V
 SHINGLE = 8  # a power of two
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
+BLOCK_BYTES = 1 << 18  # of text that is worked on at a time: its arrays of 64-bit numbers stay in a core's cache
 
 _rng = np.random.default_rng(41)
 _turn = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -78,7 +79,7 @@ def _elements(lines: pa.Array) -> S.Elements:
 
 
 def _signatures(shingle: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, BANDS * ROWS), np.uint32)
+    out = np.zeros((BANDS * ROWS, n), np.uint32)
     if n:
         first = np.searchsorted(line, np.arange(n))
         h = (shingle >> V.U(32)).astype(np.uint32)
@@ -86,8 +87,8 @@ def _signatures(shingle: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
         for j in range(BANDS * ROWS):
             np.bitwise_xor(h, _turn[j], out=turned)
             np.multiply(turned, _times[j], out=turned)
-            out[:, j] = np.minimum.reduceat(turned, first)
-    return out
+            np.minimum.reduceat(turned, first, out=out[j])
+    return out.T
 
 
 LINES = "key long, line int, node long, size int, bands array<long>"
@@ -98,7 +99,7 @@ def _lines(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     row for each document, of line -1 and with the number of its written lines as size."""
     seen = np.zeros(0, np.uint64)
     none = pa.list_(pa.int64())
-    for lo, hi, block in V.blocks(batch.column(2)):
+    for lo, hi, block in V.blocks(batch.column(2), BLOCK_BYTES):
         start, stop, doc, number = _written(block)
         node, size = block.hashes(start, stop), (stop - start).astype(np.int32)
         distinct, one = np.unique(node, return_index=True)
@@ -124,7 +125,7 @@ def _wanted(texts: DataFrame, scratch: R.Scratch):
         bits = scratch.bits(nodes, "node")
 
         def wanted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for _, _, block in V.blocks(batch.column(0)):
+            for _, _, block in V.blocks(batch.column(0), BLOCK_BYTES):
                 start, stop, _, _ = _written(block)
                 node, one = np.unique(block.hashes(start, stop), return_index=True)
                 ok = np.flatnonzero(R.has_bit(bits.value, node))
