@@ -26,7 +26,12 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column], state:
 
 
 def build(events: DataFrame, shifts: DataFrame, games: DataFrame, skaters: DataFrame, b2b: DataFrame | None = None) -> DataFrame:
-    """Two rows for each stint, one for each side.
+    """Two rows for each stint, one for each side."""
+    return sides(segments(events, shifts, games, skaters), b2b)
+
+
+def segments(events: DataFrame, shifts: DataFrame, games: DataFrame, skaters: DataFrame) -> DataFrame:
+    """One row for each stint, from which ``sides`` makes two: half of their bytes, for what is to be stored or moved.
 
     ``events``: gameId, period, eventSec, event_seq, type, teamAbbrev, home_score, away_score, faceoff_zone_home, isFenwick, xG;
     ``shifts``: gameId, period, playerId, teamAbbrev, startSec, endSec; ``games``: gameId, home_team, away_team;
@@ -82,12 +87,11 @@ def build(events: DataFrame, shifts: DataFrame, games: DataFrame, skaters: DataF
     opened = opened.withColumn("strength", F.when(nh == na, "ES").when(nh > na, "PP").otherwise("PK"))
     opened = opened.withColumns({"before": F.lag("strength").over(w), "endSec": F.lead("t").over(w), "home_xg": F.lead("h").over(w) - F.col("h"), "away_xg": F.lead("a").over(w) - F.col("a")})
     stints = opened.where(F.col("endSec").isNotNull() & (F.col("endSec") > F.col("t")))
-    stints = stints.select(*keys, F.col("t").alias("startSec"), "endSec", "home_", "away_", "diff", "fo_start", "fo_zone", "before", "strength", "home_team", "away_team", "j", "home_xg", "away_xg")
-    return sides(stints, b2b)
+    return stints.select(*keys, F.col("t").alias("startSec"), "endSec", "home_", "away_", "diff", "fo_start", "fo_zone", "before", "strength", "home_team", "away_team", "j", "home_xg", "away_xg")
 
 
-def sides(stints: DataFrame, b2b: DataFrame | None = None) -> DataFrame:
-    """The home and the away row of each stint, with the features of A2 seen from that side."""
+def sides(stints: DataFrame, b2b: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """The home and the away row of each stint, with the features of A2 seen from that side, and the columns ``keep``."""
     minutes = (F.col("endSec") - F.col("startSec")) / 60.0
     zone = F.coalesce("fo_zone", F.lit("N"))
 
@@ -110,7 +114,7 @@ def sides(stints: DataFrame, b2b: DataFrame | None = None) -> DataFrame:
             F.concat_ws("v", F.size(f"{own}_").cast("string"), F.size(f"{other}_").cast("string")).alias("strength_key"),
         )
 
-    out = stints.withColumn("minutes", minutes).select("gameId", "period", "startSec", "endSec", "minutes", (F.col("period") == 2).cast("int").alias("per2"), (F.col("period") >= 3).cast("int").alias("per3"), F.inline(F.array(row(True), row(False))))
+    out = stints.withColumn("minutes", minutes).select("gameId", "period", "startSec", "endSec", "minutes", *keep, (F.col("period") == 2).cast("int").alias("per2"), (F.col("period") >= 3).cast("int").alias("per3"), F.inline(F.array(row(True), row(False))))
     if b2b is not None:
         for side, name in (("team", "row_b2b"), ("opponent", "opp_b2b")):
             out = out.join(F.broadcast(b2b.select("gameId", F.col("team").alias(side), F.col("b2b").alias(name))), ["gameId", side], "left").fillna({name: 0})
