@@ -192,18 +192,25 @@ def season_blend(df: DataFrame, key: str, year: str, columns: Sequence[str], wei
     return out.select(key, year, *[numeric.blend([F.col(f"_{c}_{i}") for i in range(len(weights))], weights).alias(c) for c in columns])
 
 
-def market_rates(contracts: DataFrame, keys: Sequence[str], bucket: str, cap_share: str, metric: str, trim_from: int = 20, least: int = 15) -> DataFrame:
+def market_rates(contracts: DataFrame, keys: Sequence[str], bucket: str, cap_share: str, metric: str | Sequence[str], trim_from: int = 20, least: int = 15) -> DataFrame:
     """(keys, bucket, rate, n) with a bucket ALL: the median share of the cap for a unit of the metric,
-    within the 20-80 percentile band where there are enough; buckets of under ``least`` contracts take ALL's rate."""
-    good = contracts.where((F.col(metric) > 0) & (F.col(cap_share) > 0)).withColumn("_ratio", F.col(cap_share) / F.col(metric))
-    rows = good.withColumn("_bucket", F.explode(F.array(F.lit("ALL"), F.col(bucket))))
-    group = [*keys, "_bucket"]
-    edges = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile("_ratio", F.array(F.lit(0.2), F.lit(0.8))).alias("_q"))
-    inside = rows.join(edges, group).where((F.col("_n") < trim_from) | F.col("_ratio").between(F.col("_q")[0], F.col("_q")[1]))
-    found = inside.groupBy(*group).agg(F.median("_ratio").alias("own_rate"), F.count(F.lit(1)).alias("n"))
-    whole = found.where("_bucket = 'ALL'").select(*keys, F.col("own_rate").alias("_all"))
-    out = found.join(whole, list(keys)) if keys else found.crossJoin(F.broadcast(whole))
-    return out.select(*keys, F.col("_bucket").alias("bucket"), F.when(F.col("n") >= least, F.col("own_rate")).otherwise(F.col("_all")).alias("rate"), "n")
+    within the 20-80 percentile band where there are enough; buckets of under ``least`` contracts take ALL's rate. Several
+    metrics are placed together, and ``metric`` names them. Quantiles are those of ``stats.quantiles``: no task holds the
+    ratios of a group, whatever its size."""
+    metrics = [metric] if isinstance(metric, str) else list(metric)
+    share = F.col(cap_share)
+    once = sinks.cut(contracts.select(*keys, F.col(bucket).alias("_own"), *[F.when((F.col(m) > 0) & (share > 0), share / F.col(m)).alias(m) for m in metrics]))
+    ratios = F.array(*[F.struct(F.lit(m).alias("metric"), b.alias("_bucket"), F.col(m).alias("_ratio")) for m in metrics for b in (F.lit("ALL"), F.col("_own"))])
+    group = [*keys, "metric", "_bucket"]
+    rows = once.select(*keys, F.inline(ratios)).where("_ratio is not null")
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    edges = sinks.small(sinks.cut(counts.join(stats.quantile_columns(rows, group, "_ratio", {"_lo": 0.2, "_hi": 0.8}), group)))
+    inside = rows.join(edges, group).where((F.col("_n") < trim_from) | F.col("_ratio").between(F.col("_lo"), F.col("_hi"))).select(*group, "_ratio")
+    found = inside.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(stats.quantile_columns(inside, group, "_ratio", {"own_rate": 0.5}), group)
+    found = sinks.cut(found)
+    out = found.join(found.where("_bucket = 'ALL'").select(*keys, "metric", F.col("own_rate").alias("_all")), [*keys, "metric"])
+    out = out.select(*keys, F.col("_bucket").alias("bucket"), F.when(F.col("n") >= least, F.col("own_rate")).otherwise(F.col("_all")).alias("rate"), "n", "metric")
+    return out.drop("metric") if isinstance(metric, str) else out
 
 
 def goal_table(standings: DataFrame, teams: DataFrame, first: int = 2020) -> DataFrame:

@@ -1,10 +1,12 @@
 """Stints stored once and laid out as they are; exact market rates in parts; statistics of every row's neighbours."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import models, stints
+from tallyforge.operators import models, stints, value
 from tests.test_round5 import PLAYS, SHIFTS
 
 CONTEXT = ["is_home", "late"]
@@ -52,3 +54,32 @@ def test_a_stint_is_one_row_until_its_sides_are_asked_for(spark):
     assert [(r.startSec, r.endSec) for r in made.orderBy("startSec").collect()] == [(0, 600), (600, 1200)]
     both = stints.sides(made.withColumn("fold", F.lit(3)), keep=["fold"])
     assert both.count() == 4 and both.where("fold = 3").count() == 4
+
+
+def test_market_rates_hold_no_group_in_a_task(spark):
+    """Two metrics at once against numpy; groups above and below what a sketch keeps whole, and thin ones that take ALL's rate."""
+    rng = np.random.default_rng(8)
+    rows = [(2000 + i % 2, "D" if i % 5 == 0 else "F", float(rng.integers(1, 50)), float(rng.normal(1, 1)), float(rng.integers(-1, 4))) for i in range(9000)]
+    rows += [(2002, "D" if i < 9 else "F", float(i + 1), 2.0, None) for i in range(30)] + [(2003, "F", None, 1.0, 1.0), (2003, "F", 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "y long, b string, share double, u double, v double")
+    out = value.market_rates(df, ["y"], "b", "share", ["u", "v"])
+    want = {}
+    for at, m in ((3, "u"), (4, "v")):
+        for y in (2000, 2001, 2002):
+            own = {}
+            for b in ("ALL", "D", "F"):
+                x = np.array([r[2] / r[at] for r in rows if r[0] == y and b in ("ALL", r[1]) and r[2] and r[at] is not None and r[at] > 0])
+                if len(x):
+                    lo, hi = np.quantile(x, [0.2, 0.8])
+                    own[b] = x if len(x) < 20 else x[(x >= lo - 1e-12) & (x <= hi + 1e-12)]
+            want |= {(y, b, m): (round(float(np.median(x if len(x) >= 15 else own["ALL"])), 9), len(x)) for b, x in own.items()}
+    assert {(r.y, r.bucket, r.metric): (round(r.rate, 9), r.n) for r in out.collect()} == want
+    one = value.market_rates(df, ["y"], "b", "share", "u")
+    assert one.columns == ["y", "bucket", "rate", "n"] and one.count() == sum(m == "u" for _, _, m in want)
+    calls = []
+    kept, value.sinks.cut = value.sinks.cut, lambda x: calls.append(x._jdf.queryExecution().analyzed().toString()) or kept(x)
+    try:
+        value.market_rates(df, ["y"], "b", "share", "u")
+    finally:
+        value.sinks.cut = kept
+    assert calls and not any(re.search(r"\b(percentile|median)\(", plan) for plan in calls)
