@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import models, stints, value
+from tallyforge.plans import catalogue
+from tests.compare import duck
 from tests.test_round5 import PLAYS, SHIFTS
 
 CONTEXT = ["is_home", "late"]
@@ -83,3 +85,13 @@ def test_market_rates_hold_no_group_in_a_task(spark):
     finally:
         value.sinks.cut = kept
     assert calls and not any(re.search(r"\b(percentile|median)\(", plan) for plan in calls)
+
+
+def test_every_row_has_statistics_of_its_neighbours(spark):
+    """In the query and in its SQL, and knn_comps keeps the rows that it is asked for."""
+    sf = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.t_id for r in catalogue.knn_term_stats(spark, sf).select("t_id").collect()} == ids
+    found = duck(sf).sql(catalogue.ORACLES["knn_term_stats"]).df()
+    assert set(found.t_id) == ids and (found.groupby("t_id").n.sum() == 5).all()
+    assert {r.t_id for r in catalogue.knn_comps(spark, sf).select("t_id").collect()} == {i for i in ids if i % 50 == 0}
