@@ -56,10 +56,11 @@ def segments(events: DataFrame, shifts: DataFrame, games: DataFrame, skaters: Da
     # what a row says is told in its first second; its others, and the ends of the period, are only points
     own = F.when(is_shift, F.array(*[F.col(f"shift.{c}").cast("bigint") for c in ("startSec", "endSec")])).otherwise(F.array("play.t"))
     line = line.select("*", F.posexplode(F.concat(own, F.array(F.lit(0), F.lit(PERIOD_END)).cast("array<bigint>"))).alias("i", "t"))
-    tells, plays = F.col("i") == 0, ~is_shift & (F.col("i") == 0)
+    line = line.withColumns({c: F.when(F.col("i") == 0, F.col(c)) for c in ("shift", "play")}).drop("i")
+    plays = F.col("play").isNotNull()
     seconds = line.groupBy(*keys, "t").agg(
         F.first("home_team").alias("home_team"), F.first("away_team").alias("away_team"),
-        F.collect_list(F.when(tells & is_shift & at_home, F.col("shift"))).alias("home_from"), F.collect_list(F.when(tells & is_shift & away, F.col("shift"))).alias("away_from"),
+        F.collect_list(F.when(is_shift & at_home, F.col("shift"))).alias("home_from"), F.collect_list(F.when(is_shift & away, F.col("shift"))).alias("away_from"),
         F.bool_or(is_shift).alias("shifts"), F.bool_or(plays & (kind == "GOAL")).alias("goal"), F.bool_or(plays & (kind == "FACEOFF")).alias("fo"), F.bool_or(plays & (kind == "STOPPAGE")).alias("stop"),
         F.max(F.when(plays & (kind == "FACEOFF"), F.col("play.zone"))).alias("fo_zone"), F.max(F.when(plays, F.struct("play.event_seq", "play.home_score", "play.away_score"))).alias("score"),
         F.sum(F.when(plays & at_home, F.col("play.xG"))).alias("h"), F.sum(F.when(plays & ~at_home, F.col("play.xG"))).alias("a"),
